@@ -9,6 +9,7 @@ bounded dictionary keeps its ids as little-endian unsigned 32-bit integers.
 """
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -24,13 +25,29 @@ _MIXED = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　][ \
 _BORDER = re.compile(r"(?<=\S)(?=[ \n])")
 
 
+#: Starts the name of a chunk that isn't a blank or newline with a word after it: the first of a text, or one after a run of white space.
+_AS_IS = "\ue000"
+
+
 def spaced_chunks(text: str) -> list[str]:
-    """Chunks that keep their white space; joined they are the text."""
+    """Names of chunks that keep their white space. A name is the chunk without its blank, which costs no copy of the word."""
     parts = text.replace("\n", " \n").split(" ")
-    if "" in parts or "\n" in parts or " \n" in text or _MIXED.search(text):
-        return [c for c in _BORDER.split(text) if c]
-    # every part but the first lost the blank before it, unless it starts with the newline it was split at
-    return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
+    if "" in parts or "\n" in parts or " \n" in text or _MIXED.search(text) or _AS_IS in text:
+        return [_name(c, i) for i, c in enumerate(c for c in _BORDER.split(text) if c)]
+    if parts[0][0] != "\n":
+        parts[0] = _AS_IS + parts[0]
+    return parts
+
+
+def _name(chunk: str, i: int) -> str:
+    if i and len(chunk) > 1 and not chunk[1].isspace() and chunk[1] != _AS_IS and chunk[0] in " \n":
+        return chunk[1:] if chunk[0] == " " else chunk
+    return _AS_IS + chunk
+
+
+def spaced_chunk(name: str) -> str:
+    """The chunk of a name."""
+    return name[1:] if name[0] == _AS_IS else name if name[0] == "\n" else " " + name
 
 
 def bare_chunks(text: str) -> list[str]:
@@ -46,8 +63,8 @@ class ChunkEncoder:
     looked up in lower case.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], lower: bool = False):
-        self.split, self.encode, self.lower, self.known = split, encode, lower, {"": b""}
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], drops_space: bool = False):
+        self.split, self.encode, self.lower, self.known = bare_chunks if drops_space else spaced_chunks, encode, drops_space, {"": b""}
 
     def _base(self, chunk: str) -> tuple[str, str]:
         base, tail = chunk, ""
@@ -58,11 +75,22 @@ class ChunkEncoder:
     def _learn(self, new: list[str]) -> None:
         bases = [self._base(c) for c in new]
         known = self.known
-        missing = list({x for b in bases for x in b}.difference(known))
-        known.update(zip(missing, self.encode(missing)))
-        known.update([(c, known[b] + known[t]) for c, (b, t) in zip(new, bases)])
+        missing = list({b for b, _ in bases}.difference(known))
+        known.update(zip(missing, self.encode(missing if self.lower else [spaced_chunk(n) for n in missing])))
+        tails = list({t for _, t in bases if t})
+        mark = dict(zip(tails, self.encode(tails))) | {"": b""}
+        known.update([(c, known[b] + mark[t]) for c, (b, t) in zip(new, bases)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles
+        try:
+            return self._run(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _run(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         start = 0
         while start < len(texts):  # some texts at a time, bounded by their characters
@@ -94,13 +122,30 @@ def library_encoder(file: str) -> ChunkEncoder:
     """
     if file not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(file)
         drops_space = "Replace" in repr(t.normalizer)
 
-        def encode(chunks: list[str]) -> list[bytes]:
+        def one_by_one(chunks: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _ENCODERS[file] = ChunkEncoder(bare_chunks if drops_space else spaced_chunks, encode, drops_space)
+        def encode(chunks: list[str]) -> list[bytes]:
+            # a chunk of Latin letters is one word to the library, so many go into a call and are told apart by the words' numbers
+            plain = [c for c in chunks if (c if drops_space else c[1:]).isalpha() and max(c) < "\u0250" and "\u0130" not in c and (drops_space or c[0] == " ")]
+            rest = list(set(chunks).difference(plain))
+            found = dict(zip(rest, one_by_one(rest)))
+            runs = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+            joint = t.encode_batch([(" " if drops_space else "").join(r) for r in runs], add_special_tokens=False)
+            for run, e in zip(runs, joint):
+                words, raw = np.array(e.word_ids), array("I", e.ids).tobytes()
+                cuts = [0, *((np.flatnonzero(words[1:] != words[:-1]) + 1) * 4).tolist(), len(raw)]
+                if len(cuts) != len(run) + 1:
+                    found.update(zip(run, one_by_one(run)))
+                else:
+                    found.update(zip(run, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
+            return [found[c] for c in chunks]
+
+        _ENCODERS[file] = ChunkEncoder(encode, drops_space)
     return _ENCODERS[file]

@@ -71,7 +71,7 @@ class RankBpe:
         con.register("m", pa.table({"pair": pa.array([p for p, _ in cuts], pa.int64()), "rank": pa.array([r for _, r in cuts], pa.int64())}))
         con.execute("CREATE TABLE merges AS SELECT pair, rank, rank::INT AS merged FROM m")
         con.unregister("m"), con.unregister("v")
-        self.texts = chunks.ChunkEncoder(chunks.spaced_chunks, self.encode_chunks)
+        self.texts = chunks.ChunkEncoder(self.encode_chunks)
 
     def encode_chunks(self, new: list[str]) -> list[bytes]:
         cut = [self.pieces_of(c) for c in new]
