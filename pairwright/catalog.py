@@ -4,10 +4,166 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import clean, compare, graph, metrics, split, vectors
+from .sources.associations import ASSOC_SQL, associations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+def query(name: str, sql: str | None = None, derived: bool = True):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = f"WITH {ASSOC_SQL}\n{sql}" if derived else sql
+        return f
+
+    return register
+
+
+def prepared(spark: SparkSession, d: str) -> clean.Prepared:
+    return clean.prepare(associations(spark, d))
+
+
+def splitted(spark: SparkSession, d: str) -> tuple[clean.Prepared, DataFrame]:
+    p = prepared(spark, d)
+    return p, split.split_pairs(p.pairs)
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    p, s = splitted(spark, d)
+    return graph.structural_cells(s, p.positives, p.labels)
+
+
+def scored(spark: SparkSession, d: str, scorer: str = "a") -> DataFrame:
+    return cells(spark, d).select("pair_id", "label_index", "y", F.col(scorer).alias("score"))
+
+
+def entity_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.concat(F.lit("SUP"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("entity"), F.col("embedding").alias("v"))
+
+
+CELLS = """, train AS (SELECT * FROM splits WHERE split = 'train'),
+ld AS (SELECT label_index, count(p.pair_id) AS ld FROM kept LEFT JOIN (SELECT * FROM positives WHERE pair_id IN (SELECT pair_id FROM train)) p USING (label_index) GROUP BY 1),
+ed AS (SELECT e, count(*) AS d FROM (SELECT e1 AS e FROM train UNION ALL SELECT e2 FROM train) GROUP BY 1),
+pd AS (SELECT pair_id, coalesce(a.d, 0) + coalesce(b.d, 0) AS pd FROM splits s LEFT JOIN ed a ON a.e = s.e1 LEFT JOIN ed b ON b.e = s.e2 WHERE split = 'test'),
+cells AS (SELECT pd.pair_id, ld.label_index, (p.pair_id IS NOT NULL)::INT AS y,
+  (ld + pd)::DOUBLE / ((SELECT max(ld) FROM ld) + (SELECT max(pd) FROM pd)) AS a, ld::DOUBLE / (SELECT max(ld) FROM ld) AS b
+  FROM pd CROSS JOIN ld LEFT JOIN positives p ON p.pair_id = pd.pair_id AND p.label_index = ld.label_index)"""
+STEPS = """, steps AS (SELECT label_index, score, sum(y) AS p, count(*) AS n FROM sc GROUP BY 1, 2),
+run AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM steps WINDOW w AS (PARTITION BY label_index ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+agg AS (SELECT label_index, sum(p) AS P1, sum(n) AS A1, sum(p * tp / seen::DOUBLE) AS ap, sum(p * ((seen - tp) - (n - p) / 2.0::DOUBLE)) AS above,
+  sum(CASE WHEN score >= 0.5 THEN p ELSE 0 END) AS hit, sum(CASE WHEN score >= 0.5 THEN n ELSE 0 END) AS said FROM run GROUP BY 1),
+lab AS (SELECT label_index, round(CASE WHEN P1 > 0 AND A1 > P1 THEN 1 - above / (P1 * (A1 - P1))::DOUBLE END, 6) AS auroc, round(CASE WHEN P1 > 0 THEN ap / P1 END, 6) AS auprc,
+  round(CASE WHEN said + P1 > 0 THEN 2 * hit::DOUBLE / (said + P1) END, 6) AS f1 FROM agg)"""
+SC = CELLS + ", sc AS (SELECT pair_id, label_index, y, a AS score FROM cells)"
+
+
+@query("label_table", "SELECT label_index, label_id, label_name, n, round(n::DOUBLE / (SELECT count(*) FROM pairs), 6) AS prevalence FROM kept")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    p = prepared(spark, d)
+    n = p.pairs.agg(F.count(F.lit(1)).alias("_n"))
+    return p.labels.join(F.broadcast(n)).select("label_index", "label_id", "label_name", "n", F.round(F.col("n") / F.col("_n"), 6).alias("prevalence"))
+
+
+query("canonical_triples", "SELECT * FROM triples")(lambda s, d: clean.triples(associations(s, d)))
+query("self_pairs", "SELECT count(*) AS n_rows, count(DISTINCT entity_1) AS n_pairs, count(DISTINCT label_id) AS n_labels FROM (SELECT DISTINCT * FROM assoc) WHERE entity_1 = entity_2")(lambda s, d: clean.self_pairs(associations(s, d)))
+query("exact_duplicates", "SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM assoc)) AS n_distinct FROM assoc")(
+    lambda s, d: associations(s, d).groupBy(clean.KEYS).agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
+)
+query("label_frequency", "SELECT label_id, label_name, n FROM freq")(lambda s, d: clean.frequency(clean.triples(associations(s, d))))
+query("labels_excluded", "SELECT label_id, n FROM freq WHERE n < (SELECT avg(n) FROM freq)")(
+    lambda s, d: (lambda f: f.join(F.broadcast(f.agg(F.avg("n").alias("m"))), F.col("n") < F.col("m")).select("label_id", "n"))(clean.frequency(clean.triples(associations(s, d))))
+)
+query("pair_table", "SELECT pair_id, e1, e2 FROM pairs")(lambda s, d: prepared(s, d).pairs.select("pair_id", "e1", "e2"))
+query("label_matrix", "SELECT pair_id, label_index FROM positives")(lambda s, d: prepared(s, d).positives)
+query("labels_of_pair", "SELECT pair_id, string_agg(label_index::VARCHAR, ',' ORDER BY label_index) AS labels, count(*) AS n FROM positives GROUP BY 1")(
+    lambda s, d: prepared(s, d).positives.groupBy("pair_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_set("label_index")), lambda x: x.cast("string"))).alias("labels"), F.count(F.lit(1)).alias("n"))
+)
+query("entities", "SELECT entity, count(*) AS n_pairs FROM (SELECT e1 AS entity FROM pairs UNION ALL SELECT e2 FROM pairs) GROUP BY 1")(lambda s, d: split.entities(prepared(s, d).pairs))
+query("missing_values", "SELECT 'entity_1' AS \"column\", count_if(trim(coalesce(entity_1, '')) = '') AS missing FROM assoc UNION ALL SELECT 'entity_2', count_if(trim(coalesce(entity_2, '')) = '') FROM assoc UNION ALL SELECT 'label_id', count_if(trim(coalesce(label_id, '')) = '') FROM assoc UNION ALL SELECT 'label_name', count_if(trim(coalesce(label_name, '')) = '') FROM assoc")(
+    lambda s, d: clean.missing_counts(associations(s, d), clean.KEYS)
+)
+query("strip_counts", r"SELECT 'text' AS \"column\", coalesce(sum((text <> regexp_replace(text, '^\s+|\s+$', '', 'g'))::INT), 0)::BIGINT AS changed FROM documents".replace('\\"', '"'), False)(
+    lambda s, d: clean.strip_counts(s.read.parquet(f"{d}/documents.parquet"), ["text"])
+)
+query("name_conflicts", "SELECT 'id_to_names' AS \"check\", count(*) AS n_bad FROM (SELECT label_id FROM assoc GROUP BY 1 HAVING count(DISTINCT label_name) > 1) UNION ALL SELECT 'name_to_ids', count(*) FROM (SELECT label_name FROM assoc GROUP BY 1 HAVING count(DISTINCT label_id) > 1)")(
+    lambda s, d: clean.name_conflicts(associations(s, d))
+)
+query("pair_checks", "SELECT unnest(['unordered', 'self', 'repeated', 'gaps']) AS \"check\", 0::BIGINT AS n_bad")(lambda s, d: clean.pair_checks(prepared(s, d).pairs))
+query("label_checks", "SELECT unnest(['no_label', 'repeated', 'frequency']) AS \"check\", 0::BIGINT AS n_bad")(lambda s, d: clean.label_checks(prepared(s, d)))
+query(
+    "audit",
+    """, per AS (SELECT pair_id, count(*) AS k FROM positives GROUP BY 1)
+SELECT 'raw_rows' AS metric, count(*)::DOUBLE AS value FROM assoc UNION ALL SELECT 'distinct_rows', count(*)::DOUBLE FROM (SELECT DISTINCT * FROM assoc)
+UNION ALL SELECT 'triples', count(*)::DOUBLE FROM triples UNION ALL SELECT 'labels_kept', count(*)::DOUBLE FROM kept UNION ALL SELECT 'pairs', count(*)::DOUBLE FROM pairs
+UNION ALL SELECT 'positives', count(*)::DOUBLE FROM positives UNION ALL SELECT 'labels_per_pair_mean', round(avg(k), 6) FROM per
+UNION ALL SELECT 'labels_per_pair_median', quantile_cont(k, 0.5)::DOUBLE FROM per UNION ALL SELECT 'labels_per_pair_min', min(k)::DOUBLE FROM per UNION ALL SELECT 'labels_per_pair_max', max(k)::DOUBLE FROM per""",
+)(lambda s, d: clean.audit(associations(s, d), prepared(s, d)))
+query("split", "SELECT pair_id, e1, e2, split FROM splits")(lambda s, d: splitted(s, d)[1])
+query("split_checks", "SELECT unnest(['several', 'uncovered', 'alien']) AS \"check\", 0::BIGINT AS n_bad")(lambda s, d: (lambda p, x: split.split_checks(p.pairs, x))(*splitted(s, d)))
+query("split_label_stats", """SELECT s.split, label_index, count(p.pair_id) AS n_pos, round(count(p.pair_id)::DOUBLE / any_value(s.n), 6) AS prevalence
+FROM (SELECT split, count(*) AS n FROM splits GROUP BY 1) s CROSS JOIN kept k LEFT JOIN (SELECT * FROM positives JOIN splits USING (pair_id)) p USING (split, label_index) GROUP BY 1, 2""")(
+    lambda s, d: (lambda p, x: split.label_stats(x, p.positives, p.labels))(*splitted(s, d))
+)
+query("prevalence_shift", """, st AS (SELECT s.split, label_index, abs(count(p.pair_id)::DOUBLE / any_value(s.n) - any_value(k.n)::DOUBLE / (SELECT count(*) FROM pairs)) AS x
+FROM (SELECT split, count(*) AS n FROM splits GROUP BY 1) s CROSS JOIN kept k LEFT JOIN (SELECT pair_id, label_index, split FROM positives JOIN splits USING (pair_id)) p USING (split, label_index) GROUP BY 1, 2)
+SELECT split, round(max(x), 6) AS max_shift, round(avg(x), 6) AS mean_shift FROM st GROUP BY 1""")(lambda s, d: (lambda p, x: split.prevalence_shift(x, p.positives, p.labels))(*splitted(s, d)))
+query("entity_overlap", """, te AS (SELECT e1 AS e FROM splits WHERE split = 'train' UNION SELECT e2 FROM splits WHERE split = 'train'),
+k AS (SELECT split, (e1 IN (SELECT e FROM te))::INT + (e2 IN (SELECT e FROM te))::INT AS known FROM splits WHERE split <> 'train')
+SELECT split, count_if(known = 2) AS n_both, count_if(known = 1) AS n_one, count_if(known = 0) AS n_neither FROM k GROUP BY 1""")(lambda s, d: split.entity_overlap(splitted(s, d)[1]))
+query("sample_pairs", "SELECT pair_id, e1, e2 FROM pairs ORDER BY ('0x' || substr(md5(pair_id::VARCHAR || ':5'), 1, 8))::BIGINT, pair_id LIMIT 100")(
+    lambda s, d: split.sample(prepared(s, d).pairs, "pair_id", 100, 5).select("pair_id", "e1", "e2")
+)
+query("degrees", "SELECT 'pair_id' AS side, pair_id AS node, count(*) AS degree FROM positives GROUP BY pair_id UNION ALL SELECT 'label_index', label_index, count(*) FROM positives GROUP BY label_index")(lambda s, d: graph.degrees(prepared(s, d).positives))
+LINKS = """, lr AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(pair_id || '-' || label_index || ':7'), 1, 8))::BIGINT, pair_id, label_index) - 1 AS r, count(*) OVER () AS n FROM positives),
+links AS (SELECT pair_id, label_index, CASE WHEN r < n // 10 THEN 'test' WHEN r < 2 * (n // 10) THEN 'val' WHEN r < 2 * (n // 10) + (n - 2 * (n // 10)) * 3 // 10 THEN 'supervise' ELSE 'message' END AS role FROM lr)"""
+query("link_split", LINKS + " SELECT pair_id, label_index, role FROM links")(lambda s, d: graph.link_split(prepared(s, d).positives))
+query("link_counts", LINKS + " SELECT role, count(*) AS n_edges, count(DISTINCT pair_id) AS n_pairs, count(DISTINCT label_index) AS n_labels FROM links GROUP BY 1")(
+    lambda s, d: graph.link_split(prepared(s, d).positives).groupBy("role").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("pair_id").alias("n_pairs"), F.countDistinct("label_index").alias("n_labels"))
+)
+query("negatives", """SELECT * FROM (SELECT DISTINCT pair_id, ('0x' || substr(md5(pair_id || '-' || label_index || ':11'), 1, 8))::BIGINT % (SELECT count(*) FROM kept) AS label_index FROM positives)
+ANTI JOIN positives USING (pair_id, label_index)""")(lambda s, d: (lambda p: graph.negatives(p.positives, p.labels))(prepared(s, d)))
+query("structural_cells", CELLS + " SELECT pair_id, label_index, y, round(a, 9) AS a, round(b, 9) AS b FROM cells")(lambda s, d: cells(s, d).select("pair_id", "label_index", "y", F.round("a", 9).alias("a"), F.round("b", 9).alias("b")))
+query("per_label_metrics", SC + STEPS + " SELECT * FROM lab")(lambda s, d: metrics.per_label(scored(s, d)))
+query("macro_metrics", SC + STEPS + """ SELECT metric, round(avg(v), 6) AS value, count(v) AS included, count_if(v IS NULL) AS skipped
+FROM (SELECT 'auroc' AS metric, auroc AS v FROM lab UNION ALL SELECT 'auprc', auprc FROM lab UNION ALL SELECT 'f1', f1 FROM lab) GROUP BY 1""")(lambda s, d: metrics.macro(metrics.per_label(scored(s, d))))
+query("micro_auprc", SC + """, st AS (SELECT score, sum(y) AS p, count(*) AS n FROM sc GROUP BY 1), rn AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM st WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT round(sum(p * tp / seen::DOUBLE) / sum(p), 6) AS micro_auprc FROM rn""")(lambda s, d: metrics.micro_auprc(scored(s, d)))
+GRID = SC + """, bk AS (SELECT greatest(least(floor(score * 100 + 1e-9), 95), 4)::INT AS b, y FROM sc),
+grid AS (SELECT t::INT AS t, coalesce(sum(y), 0) AS hit, count(y) AS said FROM range(5, 96) g(t) LEFT JOIN bk ON b >= t GROUP BY 1),
+f AS (SELECT t, round(CASE WHEN said + (SELECT sum(y) FROM sc) > 0 THEN 2 * hit::DOUBLE / (said + (SELECT sum(y) FROM sc)) ELSE 0 END, 6) AS micro_f1 FROM grid)"""
+query("threshold_grid", GRID + " SELECT t, micro_f1 FROM f")(lambda s, d: metrics.thresholds(scored(s, d)))
+query("best_threshold", GRID + " SELECT t, micro_f1 FROM f ORDER BY micro_f1 DESC, t LIMIT 1")(lambda s, d: metrics.best_threshold(scored(s, d)))
+query("pair_ap50", SC + """, rk AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY pair_id ORDER BY score DESC, label_index ROWS UNBOUNDED PRECEDING)),
+pp AS (SELECT pair_id, sum(CASE WHEN r <= 50 AND y = 1 THEN tp / r::DOUBLE ELSE 0 END) AS s, sum(y) AS p FROM rk GROUP BY 1)
+SELECT round(avg(CASE WHEN p > 0 THEN s / least(p, 50) ELSE 0 END), 6) AS ap_at_k, count(*) AS n_pairs, count_if(p = 0) AS n_empty FROM pp""")(lambda s, d: metrics.pair_ap(scored(s, d)))
+query("label_ap50", SC + """, rk AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY label_index ORDER BY score DESC, pair_id ROWS UNBOUNDED PRECEDING))
+SELECT label_index, round(coalesce(sum(CASE WHEN y = 1 THEN tp / r::DOUBLE ELSE 0 END) / nullif(sum(y), 0), 0), 6) AS ap FROM rk WHERE r <= 50 GROUP BY 1""")(lambda s, d: metrics.label_ap(scored(s, d)))
+query("flat_ap50", SC + """, rk AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (ORDER BY score DESC, pair_id, label_index ROWS UNBOUNDED PRECEDING))
+SELECT round(coalesce(sum(CASE WHEN y = 1 THEN tp / r::DOUBLE ELSE 0 END) / nullif(sum(y), 0), 0), 6) AS ap FROM rk WHERE r <= 50""")(lambda s, d: metrics.flat_ap(scored(s, d)))
+query("agreement", CELLS + """ SELECT count_if(a >= 0.5 AND b >= 0.5) AS both_pos, count_if(a < 0.5 AND b < 0.5) AS both_neg, count_if(a >= 0.5 AND b < 0.5) AS a_only, count_if(a < 0.5 AND b >= 0.5) AS b_only,
+round(100 * avg(((a >= 0.5) = (b >= 0.5))::INT), 4) AS agree_pct FROM cells""")(lambda s, d: compare.agreement(cells(s, d)))
+query("pearson", CELLS + " SELECT round(corr(a, b), 6) AS pearson, count(*) AS n FROM cells")(lambda s, d: compare.pearson(cells(s, d)))
+query("topk_jaccard", CELLS + """, rk AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY a DESC, label_index) AS ra, row_number() OVER (PARTITION BY pair_id ORDER BY b DESC, label_index) AS rb FROM cells),
+j AS (SELECT count_if(ra <= 10 AND rb <= 10)::DOUBLE / count_if(ra <= 10 OR rb <= 10) AS j FROM rk GROUP BY pair_id)
+SELECT round(avg(j), 6) AS mean, round(median(j), 6) AS median, round(stddev_pop(j), 6) AS std, round(min(j), 6) AS least, round(max(j), 6) AS most FROM j""")(lambda s, d: compare.jaccard(cells(s, d)))
+V = "SELECT 'SUP' || lpad(vec_id::VARCHAR, 9, '0') AS entity, embedding::DOUBLE[] AS v FROM embeddings"
+query("vector_checks", "SELECT unnest(['length', 'not_finite', 'zero']) AS \"check\", unnest([(SELECT count(*) FROM embeddings WHERE len(embedding) <> (SELECT mode(len(embedding)) FROM embeddings)), 0, (SELECT count(*) FROM embeddings WHERE list_max(embedding) = 0 AND list_min(embedding) = 0)]) AS n_bad", False)(lambda s, d: vectors.checks(entity_vectors(s, d)))
+query("vector_norms", "SELECT round(min(n), 6) AS least, round(median(n), 6) AS median, round(avg(n), 6) AS mean, round(max(n), 6) AS most, round(stddev_pop(n), 6) AS std, count(*) AS n FROM (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)", False)(lambda s, d: vectors.norms(entity_vectors(s, d)))
+query("pair_cosines", f", v AS ({V}) SELECT pair_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM pairs JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2")(lambda s, d: vectors.pair_cosines(prepared(s, d).pairs, entity_vectors(s, d)))
+query("neighbour_sum", f", v AS ({V}), pv AS (SELECT pair_id, list_transform(list_zip(a.v, b.v), lambda x: (x[1] + x[2])::FLOAT::DOUBLE) AS v FROM pairs JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2), lo AS (SELECT label_index, unnest(range(len(v)))::INT AS dim, unnest(v) AS x FROM positives JOIN pv USING (pair_id)) SELECT label_index, dim, round(sum(x), 4) AS value FROM lo GROUP BY 1, 2")(
+    lambda s, d: (lambda p: graph.neighbour_sum(p.positives, vectors.pair_vectors(p.pairs, entity_vectors(s, d))))(prepared(s, d))
+)
+query("text_hash", "SELECT doc_id, sha256(text) AS hash, len(string_split_regex(text, '\\s+'))::INT AS n_words, len(string_split_regex(text, '\\s+')) > 64 AS truncated FROM documents", False)(
+    lambda s, d: (lambda n: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash"), n.alias("n_words"), (n > 64).alias("truncated")))(F.size(F.split("text", r"\s+")))
+)
+query("chat_transcript", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript, count(*) AS n_turns FROM conversations GROUP BY 1", False)(
+    lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"]))).alias("transcript"), F.count(F.lit(1)).alias("n_turns"))
+)
+query("event_props", "SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1", False)(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").withColumn("p", F.from_json("props", "k long")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("total"))
+)
