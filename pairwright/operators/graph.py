@@ -62,3 +62,13 @@ def neighbour_sum(positives: DataFrame, vectors: DataFrame) -> DataFrame:
     """label_index, dim, value: sum of the vectors (pair_id, v) of a label's pairs, per dimension, summed before the shuffle."""
     long = positives.join(vectors, "pair_id").select("label_index", F.posexplode("v").alias("dim", "x"))
     return long.groupBy("label_index", "dim").agg(F.round(F.sum(F.col("x").cast("double")), 4).alias("value"))
+
+
+def hops(positives: DataFrame, vectors: DataFrame, n: int = 2) -> DataFrame:
+    """side, node, dim, value after n rounds of sums: labels from pairs (pair_id, v), pairs from labels, and so on. A row per node and dimension all the way."""
+    at, other = "pair_id", "label_index"
+    long = vectors.select("pair_id", F.posexplode("v").alias("dim", "x")).select("pair_id", "dim", F.col("x").cast("double").alias("value"))
+    for _ in range(n):
+        long = positives.join(long, at).groupBy(other, "dim").agg(F.sum("value").alias("value"))
+        at, other = other, at
+    return long.select(F.lit(at).alias("side"), F.col(at).cast("long").alias("node"), "dim", "value")
