@@ -127,21 +127,25 @@ def library_encoder(file: str) -> ChunkEncoder:
 
         t = Tokenizer.from_file(file)
         drops_space = "Replace" in repr(t.normalizer)
+        # a vocabulary that drops white space marks the last token of a word, the other the blank before its first
+        border = np.zeros(t.get_vocab_size(), bool)
+        border[[i for w, i in t.get_vocab().items() if (w.endswith("</w>") if drops_space else w.startswith("\u0120"))]] = True
 
         def one_by_one(chunks: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
 
         def encode(chunks: list[str]) -> list[bytes]:
-            # a chunk of Latin letters is one word to the library, so many go into a call and are told apart by the words' numbers
+            # a chunk of Latin letters is one word to the library, so many go into a call and are told apart by the tokens that end or begin a word
             plain = [c for c in chunks if (c if drops_space else c[1:]).isalpha() and max(c) < "\u0250" and "\u0130" not in c and (drops_space or c[0] == " ")]
             rest = list(set(chunks).difference(plain))
             found = dict(zip(rest, one_by_one(rest)))
             runs = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-            joint = t.encode_batch([(" " if drops_space else "").join(r) for r in runs], add_special_tokens=False)
+            joint = t.encode_batch_fast([(" " if drops_space else "").join(r) for r in runs], add_special_tokens=False)
             for run, e in zip(runs, joint):
-                words, raw = np.array(e.word_ids), array("I", e.ids).tobytes()
-                cuts = [0, *((np.flatnonzero(words[1:] != words[:-1]) + 1) * 4).tolist(), len(raw)]
-                if len(cuts) != len(run) + 1:
+                raw = array("I", e.ids).tobytes()
+                at = np.flatnonzero(border[np.frombuffer(raw, np.uint32)])
+                cuts = [0, *((at + 1) * 4).tolist()] if drops_space else [*(at * 4).tolist(), len(raw)]
+                if len(cuts) != len(run) + 1 or cuts[0] or cuts[-1] != len(raw):
                     found.update(zip(run, one_by_one(run)))
                 else:
                     found.update(zip(run, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
