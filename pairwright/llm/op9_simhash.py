@@ -14,10 +14,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import partitions, table, text_or_empty, written
 from .components import components
 
 #: Fingerprints of a key that one group compares with each other at once.
@@ -147,12 +147,33 @@ def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, seed: int =
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """16 bytes that stand for the doc_id and text of a row, for null ones too."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), text_or_empty().cast("string"))))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: that of its smallest doc_id. The decisions are ids; texts are joined to them once."""
-    found = written(near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    one = keyed.join(found.withColumnRenamed("doc_id", "_kept"), F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return one.dropDuplicates(["_id"]).select(*docs.columns)
+    """One row of each component stays: that of its smallest doc_id, a null one only if it has no other; then of the smallest key.
+
+    The decisions are keys of a row's doc_id and text, so that rows of null or repeated doc_id
+    are told apart; texts are joined to them once.
+    """
+    marks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t or "") for t in b.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
+
+    rows = written(marks.mapInArrow(run, "doc_id long, row binary, fp long"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = written(rows.groupBy("fp").agg(first), "nodes")
+    roots = components(links(nodes.select("fp"), 4))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = written(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_kept")), "kept")
+    keyed = docs.withColumn("_row", row_key(docs))
+    one = keyed.join(kept, keyed["_row"] == kept["_kept"], "left_semi")
+    return one.dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

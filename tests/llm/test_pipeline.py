@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pairwright.llm import op3_secrets, op7_toxicity
+from pairwright.llm import op3_secrets, op7_toxicity, op9_simhash
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -83,3 +83,17 @@ def test_pipeline(spark, tmp_path):
             assert (r.start, r.ids_crc32) == (at, zlib.crc32(ids[at : at + r.length].tobytes()))
             at += r.length
         assert at == len(ids)
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    some = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(n))
+    alone, copied, single, twice = [some(60) for _ in range(5)], some(60), some(60), [some(60) for _ in range(3)]
+    rows = [(None, t) for t in alone]  # unrelated
+    rows += [(None, copied), (4, copied.upper()), (None, copied.title())]  # a component of three
+    rows += [(None, single), (None, single)]  # equal rows
+    rows += [(7, twice[0]), (7, twice[1]), (3, twice[1].upper()), (7, twice[2])]  # an id of three texts, one of them in a component of a smaller id
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in op9_simhash.stage(spark, docs, "").collect()]
+    want = [(None, t) for t in [*alone, single]] + [(4, copied.upper()), (3, twice[1].upper()), (7, twice[0]), (7, twice[2])]
+    assert sorted(got, key=str) == sorted(want, key=str)
