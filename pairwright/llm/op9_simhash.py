@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import partitions, table, text_or_empty, written
 from .components import components
 
@@ -26,18 +27,10 @@ SLICE = 2000
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of a whole text over shingles of words, repeats included; 0 if it has no word."""
-    import xxhash
-
-    parts = text.encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
-    n = len(parts)
-    if n <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), seed) if n else 0
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    m = n - words + 1
-    h = np.fromiter((digest(joined[a:e], seed) for a, e in zip(starts[:m].tolist(), ends[words - 1 :].tolist())), np.uint64, m)
+    h = near_copies.shingle_hashes(text, words, seed)
+    m = len(h)
+    if not m:
+        return 0
     rows = -(-m // 255)
     padded = np.zeros(rows * 255, np.uint64)
     padded[:m] = h
@@ -156,20 +149,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: that of its smallest doc_id, a null one only if it has no other; then of the smallest key.
 
     The decisions are keys of a row's doc_id and text, so that rows of null or repeated doc_id
-    are told apart; texts are joined to them once.
+    are told apart; texts are joined to them once. Links are those of near_copies: five words,
+    similarity 0.8. The bounds of near_duplicates are the contract of its query only.
     """
-    marks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("row"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t or "") for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
-
-    rows = written(marks.mapInArrow(run, "doc_id long, row binary, fp long"), "fingerprints")
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("row"))
+    rows = written(near_copies.marks(named), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    nodes = written(rows.groupBy("fp").agg(first), "nodes")
-    roots = components(links(nodes.select("fp"), 4))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    nodes = written(rows.groupBy("node").agg(first), "nodes")
+    roots = components(near_copies.similar_links(named, rows))
+    placed = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = written(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_kept")), "kept")
     keyed = docs.withColumn("_row", row_key(docs))
     one = keyed.join(kept, keyed["_row"] == kept["_kept"], "left_semi")

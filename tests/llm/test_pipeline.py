@@ -97,3 +97,26 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     got = [tuple(r) for r in op9_simhash.stage(spark, docs, "").collect()]
     want = [(None, t) for t in [*alone, single]] + [(4, copied.upper()), (3, twice[1].upper()), (7, twice[0]), (7, twice[2])]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_dedup_by_shingle_similarity(spark):
+    rng = random.Random(13)
+    words = lambda n: ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    texts = []
+    for length, changes in [(60, 1), (100, 1), (300, 3), (500, 10), (100, 3), (100, 5), (3000, 30), (3000, 200)] * 12:
+        w = words(length)
+        for _ in range(2):  # a copy of the text, and a copy of that copy
+            texts.append(w)
+            w = list(w)
+            for k in rng.sample(range(length // 10), changes) if changes < length // 10 else rng.sample(range(length), changes):
+                w[k * 9 % length] = "other" + str(rng.random())
+    sets, root = [shingles(w) for w in texts], list(range(len(texts)))
+    for i in range(1, len(texts), 2):
+        a, b = sets[i - 1], sets[i]
+        if len(a & b) >= 0.8 * len(a | b):
+            root[i] = i - 1
+    assert 40 <= sum(r != i for i, r in enumerate(root)) <= len(texts) // 2 - 12
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in op9_simhash.stage(spark, docs, "").collect()}
+    assert got == {i for i, r in enumerate(root) if r == i}
