@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import dense_id
 from .common import partitions, table, written
 
 #: States: before the first turn, then the role of the last turn.
@@ -26,7 +27,7 @@ LEGAL = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",
 #: States a conversation may end in.
 FINAL = ("start", "user", "assistant")
 COST = {"keep": 0, "merge": 1, "relabel": 2, "merge_relabel": 3, "insert": 3}
-#: Turn numbers in a piece.
+#: Most rows of a piece.
 PIECE = 1024
 INFINITE = 1 << 40
 
@@ -144,14 +145,20 @@ def repaired(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     rows = (
         turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.lower(F.trim("role")).alias("role"), F.col("text").cast("string"))
         .distinct()
-        .withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-(1 << 40))))
     )
     rows = written(rows, "turns")
     n = partitions(spark)
 
-    # pieces of conversations that have several: their matrices, chained per conversation
-    many = rows.groupBy("conv_id").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).where("a < b").select(F.col("conv_id").alias("_conv"))
-    cut = rows.join(many, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").repartition(n, "conv_id", "piece")
+    # conversations of more rows than a piece are numbered and cut; there is at most one for each `piece` rows of the table
+    long = written(rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece).select(F.col("conv_id").alias("_conv")), "long")
+    is_long = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    short = rows.join(F.broadcast(long), is_long, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    numbered = dense_id(rows.join(F.broadcast(long), is_long, "left_semi"), [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")], "_at")
+    firsts = numbered.groupBy("conv_id").agg(F.min("_at").alias("_from")).withColumnRenamed("conv_id", "_conv")
+    pieces = numbered.join(F.broadcast(firsts), is_long).withColumn("piece", F.floor((F.col("_at") - F.col("_from")) / piece)).drop("_conv", "_at", "_from")
+
+    # their matrices, chained per conversation
+    cut = pieces.repartition(n, "conv_id", "piece")
     cut = cut.sortWithinPartitions("conv_id", "piece", F.col("turn").asc_nulls_first(), "role", "text")
     sides = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("costs", pa.list_(pa.int64()))])
 
@@ -212,7 +219,8 @@ def repaired(turns: DataFrame, piece: int = PIECE) -> DataFrame:
 
         yield from _batched(grouped_rows(batches, ("conv_id", "piece"), on), shape)
 
-    placed = rows.join(borders, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("piece") == F.col("_piece")), "left").drop("_conv", "_piece")
+    placed = pieces.join(borders, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("piece") == F.col("_piece"))).drop("_conv", "_piece")
+    placed = placed.unionByName(short.withColumns({"enter": F.lit(None).cast("string"), "leave": F.lit(None).cast("string")}))
     placed = placed.repartition(n, "conv_id", "piece").sortWithinPartitions("conv_id", "piece", F.col("turn").asc_nulls_first(), "role", "text")
     return placed.mapInArrow(render, "conv_id long, piece long, seq long, turn long, action string, role string, merged boolean, rendered string, cost long")
 

@@ -88,6 +88,21 @@ def test_role_repair(spark):
     assert op2_chat.repaired(df.limit(0)).count() == 0
 
 
+def test_role_repair_of_a_conversation_of_few_turn_numbers(spark):
+    rng = random.Random(6)
+    rows = [(None, rng.choice([*range(8), None]), rng.choice(["user", "assistant", "system", None]), f"t{j}", "x") for j in range(5000)] + [(1, 5000 * j, "user", f"t{j}", "x") for j in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string").repartition(3)
+    got = op2_chat.repaired(df).collect()
+    held = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.piece, r.seq)):
+        if r.action != "insert":
+            held[r.conv_id, r.piece].append(r)
+    assert {k: len(v) for k, v in held.items()} == {(None, 0): 1024, (None, 1): 1024, (None, 2): 1024, (None, 3): 1024, (None, 4): 904, (1, 0): 3}
+    order = sorted(rows[:5000], key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3]))
+    assert [r.rendered.split("\n")[-2] for p in range(5) for r in held[None, p]] == [r[3] for r in order]
+    assert sum(r.cost for r in got if r.conv_id is None) == op2_chat.repair([r[2] for r in order])[0]  # uncut
+
+
 def test_secrets(spark):
     rng = random.Random(4)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
