@@ -22,8 +22,16 @@ from .common import table, text_or_empty
 #: Most labelled rows of each class that training reads: those of the smallest hashes of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 BUCKETS, DIMENSION, GRAMS = 1 << 18, 4, (3, 4, 5)
-#: A bucket gets a vector if its share of the words differs between the classes by so many standard errors; other n-grams count as zero vectors.
-LEAST_Z, LEAST_TEXTS = 6.0, 3
+#: The buckets whose shares of the words differ most between the classes, in standard errors, get a vector, at most so many; other n-grams count as zero vectors.
+MOST_BUCKETS, LEAST_TEXTS = 2000, 2
+#: A bucket's share of a text is shrunk by z^4 / (z^4 + SHRINK^4), z being these standard errors, and its vector decays.
+SHRINK, DECAY = 5.0, 1e-5
+#: Without a bucket whose classes differ by so many standard errors, which chance hardly gives, nothing is learnt.
+CHANCE = 5.0
+#: Most characters of a text that training reads; longer texts aren't in the sample.
+MOST_CHARS = 50_000
+#: Largest share of toxic texts that a text without evidence is taken to have: below the threshold, so that such a text is never rejected.
+MOST_PRIOR = 0.25
 EPOCHS, RATE, SEED = 150, 0.05, 7
 #: Distinct words whose numbers a worker keeps.
 CACHE_WORDS = 1_500_000
@@ -89,8 +97,15 @@ def _bag(text: str) -> Counter:
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """Joint training of n-gram vectors and the softmax by Adam over the whole sample."""
+    """Joint training of n-gram vectors and the softmax by Adam over the whole sample.
+
+    With no text, one class or no n-gram that tells the classes apart beyond chance there
+    is nothing to learn: every score is then that of the prior, which rejects nothing.
+    """
     prior = float((weights * labels).sum() / max(weights.sum(), 1e-9)) if len(labels) else 0.0
+    if 0 < prior < 1:
+        weights = np.where(labels == 1, weights * min(1.0, MOST_PRIOR * (1 - prior) / (prior * (1 - MOST_PRIOR))), weights)
+    prior = min(prior, MOST_PRIOR)
     bias0 = float(np.log((prior + 1e-4) / (1 - prior + 1e-4)))
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), bias0)
@@ -98,7 +113,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
     if not vocabulary:
         return Model(np.zeros(BUCKETS), bias0)
-    listed = list(vocabulary)
+    n_texts, listed = len(bags), list(vocabulary)
     made = [gram_buckets(listed[k : k + 20_000]) for k in range(0, len(listed), 20_000)]
     grams, counts = np.concatenate([g.astype(np.int32) for g, _ in made]), np.concatenate([c for _, c in made])
     del made
@@ -106,15 +121,21 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     word = np.fromiter((vocabulary[w] for b in bags for w in b), np.int64, len(doc))
     share = np.fromiter((n / sum(b.values()) for b in bags for n in b.values()), np.float64, len(doc))
+    del bags, vocabulary, listed
     # in how many texts of either class the words of a bucket are
     seen = [np.bincount(word[labels[doc] == k], minlength=len(counts)).astype(np.float64) for k in (0, 1)]
     in_class = [np.bincount(grams, s[gram_word], minlength=BUCKETS) for s in seen]
     clean, toxic = (c / max(1.0, s.sum()) for c, s in zip(in_class, seen))
     both = (in_class[0] + in_class[1]) / (seen[0].sum() + seen[1].sum())
     error = np.sqrt(both * (1 / max(1.0, seen[0].sum()) + 1 / max(1.0, seen[1].sum()))) + 1e-12
-    chosen = (np.abs(toxic - clean) / error >= LEAST_Z) & (in_class[0] + in_class[1] >= LEAST_TEXTS)
-    of = chosen[grams]
+    z = np.where(in_class[0] + in_class[1] >= LEAST_TEXTS, np.abs(toxic - clean) / error, 0.0)
+    if z.max() < CHANCE:
+        return Model(np.zeros(BUCKETS), bias0)
+    bar = np.partition(z, BUCKETS - MOST_BUCKETS)[BUCKETS - MOST_BUCKETS] if BUCKETS > MOST_BUCKETS else 0.0
+    trust = np.where((z > 0) & (z >= bar), z**4 / (z**4 + SHRINK**4), 0.0)
+    of = trust[grams] > 0
     grams, gram_word = grams[of], gram_word[of]
+    del in_class, seen, clean, toxic, both, error, z, of
     # the mean over words of the mean over n-grams is one sparse row of bucket shares per text
     have = np.bincount(gram_word, minlength=len(counts))
     start = np.cumsum(have) - have
@@ -127,12 +148,14 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     used, slot = np.unique(grams[place], return_inverse=True)
     cell, at = np.unique(np.repeat(doc, size) * len(used) + slot, return_inverse=True)
     value = np.bincount(at, np.repeat(share / counts[word], size)).astype(np.float32)
+    del at, place, grams, gram_word, word, share
     doc, slot = cell // len(used), cell % len(used)
     filled, doc_at = np.unique(doc, return_index=True)
     by_slot = np.argsort(slot, kind="stable")
     slot_at = np.searchsorted(slot[by_slot], np.arange(len(used)))
-    doc_of, value_of = doc[by_slot], value[by_slot][:, None]
     scale = np.float32(1 / np.sqrt(np.add.reduceat(value * value, doc_at).mean()))
+    value *= trust[used][slot].astype(np.float32)
+    doc_of, value_of = doc[by_slot], value[by_slot][:, None]
     rng = np.random.default_rng(SEED)
     vectors = rng.normal(0, 1e-3, (len(used), DIMENSION)).astype(np.float32)
     linear = np.zeros((DIMENSION, 2), np.float32)
@@ -143,20 +166,20 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     onehot = np.eye(2, dtype=np.float32)[labels]
     weight = (weights / weights.sum()).astype(np.float32)[:, None]
     for epoch in range(1, EPOCHS + 1):
-        means = np.zeros((len(bags), DIMENSION), np.float32)
+        means = np.zeros((n_texts, DIMENSION), np.float32)
         means[filled] = np.add.reduceat(vectors[slot] * value[:, None], doc_at, axis=0) * scale
         logits = means @ linear + bias
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=1, keepdims=True)
         wrong = (p - onehot) * weight
-        grads = [np.add.reduceat((wrong @ linear.T)[doc_of] * value_of, slot_at, axis=0) * scale, means.T @ wrong, wrong.sum(axis=0)]
+        grads = [np.add.reduceat((wrong @ linear.T)[doc_of] * value_of, slot_at, axis=0) * scale + DECAY * vectors, means.T @ wrong, wrong.sum(axis=0)]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             params[k] -= RATE * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.99**epoch)) + 1e-8)
     out = np.zeros(BUCKETS)
-    out[used] = vectors.astype(np.float64) @ (linear[:, 1] - linear[:, 0]).astype(np.float64) * float(scale)
+    out[used] = vectors.astype(np.float64) @ (linear[:, 1] - linear[:, 0]).astype(np.float64) * float(scale) * trust[used]
     return Model(out, float(bias[1] - bias[0]))
 
 
@@ -166,7 +189,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on the labelled rows that aren't held out. Rows of null doc_id, label or text are left out; of several labels of a doc_id the largest counts."""
+    """Fits on the labelled rows that aren't held out. Rows of null doc_id, label or text are left out; of several labels of a doc_id the largest counts, of several texts the smallest."""
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
         .where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -178,12 +201,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").toLocalIterator()
-    got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows), key=lambda r: r[:2])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MOST_CHARS).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toLocalIterator()
+    got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows), key=lambda r: r[0])
     y = np.array([r[2] for r in got], np.int64)
     each = Counter(y.tolist())
     weight = np.array([sizes[k] / each[k] for k in y.tolist()], np.float64)  # the classes weigh as all labelled rows do
-    return fit([r[1] for r in got], y, weight)
+    texts = [r[1] for r in got]
+    del got
+    return fit(texts, y, weight)
 
 
 class Scorer:
@@ -237,7 +263,11 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the model doesn't predict as toxic. A row and its score stay together: no join."""
+    """Rows whose text the model doesn't predict as toxic, columns as they are. A row and its score stay together: no join.
+
+    Null and empty texts get the score of the prior and stay; long texts count whole; an
+    empty table gives no rows.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     shipped = spark.sparkContext.broadcast(model)
 
