@@ -1,37 +1,20 @@
-"""Helpers shared by the corpus operators: tables, shared folders, numbering."""
+"""Helpers shared by the corpus operators: tables, shared folders, joins with hot keys."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; the path may be of any file system that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the setting is absent (local tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return got.get()
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        return found
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
@@ -53,28 +36,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def range_cuts(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 ascending cut points that deal the values of a long column into ranges of near equal counts.
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of many rows with one row a key, whose column `count` says how many of the `total` rows have it.
 
-    Only this column is read; the sketch is merged from the tasks, so that the driver gets n numbers.
+    Keys of more than a share of the rows are few, at most 4 x partitions, and are
+    broadcast, so that their rows stay where they are; the others are joined by key.
     """
-    if n < 2:
-        return []
-    got = df.where(F.col(key).isNotNull()).agg(
-        F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n).alias("cuts")
-    ).first()[0]
-    return sorted(set(got or []))
-
-
-def range_of(key: Column, cuts: list[int]) -> Column:
-    """Number of the range of a value: how many cut points are smaller. Null counts as smaller than all."""
-    if not cuts:
-        return F.lit(0)
-    # a binary search over a constant array, spelled out as nested conditions of depth log2(n)
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return search(0, len(cuts))
+    limit = max(1, total // (4 * partitions(rows.sparkSession)))
+    hot = F.broadcast(values.where(F.col(count) > limit).drop(count))
+    cold = values.where(F.col(count) <= limit).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key))

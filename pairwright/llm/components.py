@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -17,17 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     `edges` has columns u, v of one orderable type. Each round hooks every node's
     larger neighbours to the smallest one it knows, then its smaller neighbours
-    likewise; minima are taken before the shuffle. Rounds grow with the logarithm
-    of the longest chain. No edges: no rows.
+    likewise; minima are taken before the shuffle, and a hub's edges stay where they
+    are. Rounds grow with the logarithm of the longest chain. No edges: no rows.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(edges)
-    while True:
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(least, "u")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = spread_join(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), least, "u", "n", before[0])
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        hooked = spread_join(large, least, "u", "n", large.count())
         small = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "small")
         now = _state(edges)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, spread_join, written
 
 WORDS, LEAST = 5, 0.8
 #: BANDS keys of ROWS min-hashes each.
@@ -142,10 +142,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Spanning links (u, v) among the nodes of `rows` = marks(docs)."""
     spark = docs.sparkSession
-    keyed = rows.select("node", F.explode("keys").alias("key")).distinct()
+    keyed = written(rows.select("node", F.explode("keys").alias("key")).distinct(), "keyed")
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
     counts = groups.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
-    shared = written(keyed.join(counts, "key").withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")), "shared")
+    counts = written(counts.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")), "counts")
+    shared = written(spread_join(keyed, counts, "key", "n", keyed.count()), "shared")
     sets = sketches(docs).join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))

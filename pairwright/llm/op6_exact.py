@@ -1,8 +1,9 @@
 """Exact dedup against a persistent digest index, all in DataFrame operations.
 
-The index is a table bucketed and sorted by digest. New rows are reduced to one
-candidate per digest, a sort-merge anti-join drops the digests that the index
-has, and the rest is appended. Only digests and ids are shuffled, texts never.
+The index is a table bucketed and sorted by digest. New rows come in batches; each is
+reduced to one candidate per digest, a sort-merge anti-join drops the digests that
+the index has, and the rest is appended. The query shuffles digests and ids only, the
+stage of the pipeline texts once.
 """
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, text_or_empty, written
+from .common import free_name, partitions, spread_join, table, text_or_empty, written
 
 #: Runs of white space other than a single blank, which stays as it is.
 SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -62,25 +63,39 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.unhex(digest(text_or_empty())).alias("digest"))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Of each digest: the smallest doc_id and the number of rows. Summed before the shuffle, so a hot digest costs a row a task."""
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("group_size"))
+def in_batches(rows: DataFrame, index: DigestIndex, batches: int) -> None:
+    """Adds digests (doc_id, digest) to the index in batches of ascending doc_id, those of null doc_id last.
 
-
-def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    Each batch is reduced to its smallest doc_id of each digest, which is summed up
+    before the shuffle, and goes through the anti-join with what the index holds.
+    """
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
+    bounds = [None, *sorted(set(cuts or [])), None]
+    for low, high in zip(bounds, bounds[1:]):
+        some = F.lit(True) if low is None else F.col("doc_id") > low
+        if high is not None:
+            some &= F.col("doc_id") <= high
+        elif low is not None:
+            some |= F.col("doc_id").isNull()
+        index.add(rows.where(some).groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+
+
+def deduplicated(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
     """Adds the table to the index and returns doc_id, keep_id, group_size, kept, text_sha256 per row.
 
     The row that stays is the one the index holds, so that rows of an earlier batch
     win over those of a later one. Equal rows with equal doc_id: all carry kept where
     doc_id = keep_id. Null doc_ids never stay unless all of a group are null (keep_id
-    is then null and kept is false). group_size counts the rows of this table.
+    is then null and kept is false). group_size counts the rows of this table. Null
+    and empty texts are equal; long texts count whole; other columns are left out,
+    whatever their names. An empty table gives no rows.
     """
     rows = written(digests(docs), "digests")  # the texts are read once
-    groups = grouped(rows)
-    index.add(groups.select("digest", "doc_id"))
+    in_batches(rows, index, batches)
+    sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     kept = index.read().select("digest", F.col("doc_id").alias("keep_id"))
-    sizes = groups.select("digest", "group_size").join(kept, "digest")
-    return rows.join(sizes, "digest").select(
+    groups = written(sizes.hint("merge").join(kept, "digest").withColumn("_n", F.col("group_size")), "groups")
+    return spread_join(rows, groups, "digest", "_n", rows.count()).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -89,27 +104,45 @@ def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
+#: Batches in which a whole table goes through its index.
+BATCHES = 4
+
+
 def fresh_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
 
 
+def row_key(doc_id: Column, text_digest: Column) -> Column:
+    """16 bytes that stand for the doc_id and the text of a row, for null ones too."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")).cast("binary"), F.lit(":").cast("binary"), text_digest)))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """The rows of `docs` whose key is one of `keys` (one binary column), of rows of an equal key one.
+
+    Texts cross once: the join and the choice of one go by the same key. The keys grow
+    with the documents, so they are never broadcast.
+    """
+    name = free_name(docs, "row")
+    keyed = docs.withColumn(name, key)
+    return keyed.join(keys.toDF(name).hint("merge"), name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` that stay; of rows that share doc_id and text one.
+    """The rows of `docs` that stay, with their columns as they are; of rows that share doc_id and text one.
 
     The index decides who stays by digest and doc_id; the texts are read once more
-    and a semi-join keeps those rows. Rows of a null doc_id stay only where no row
-    of their text has one.
+    and a semi-join keeps those rows. Rows of a null doc_id stay only where no row of
+    their text has one. Null and empty texts are equal; an empty table gives none.
     """
     index = fresh_index(spark)
-    index.add(grouped(written(digests(docs), "digests")).select("digest", "doc_id"))
-    kept = index.read().select("digest", F.col("doc_id").alias("keep_id"))
-    keyed = docs.withColumn("digest", F.unhex(digest(text_or_empty())))
-    one = keyed.join(kept, (keyed["digest"] == kept["digest"]) & keyed["doc_id"].cast("long").eqNullSafe(kept["keep_id"]), "left_semi")
-    return one.dropDuplicates(["digest"]).select(*docs.columns)
+    in_batches(written(digests(docs), "digests"), index, BATCHES)
+    kept = index.read().select(row_key(F.col("doc_id"), F.col("digest")).alias("row"))
+    return keep_rows(docs, kept, row_key(docs["doc_id"], F.unhex(digest(text_or_empty()))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents"), fresh_index(spark))
+    return deduplicated(table(spark, sf_dir, "documents"), fresh_index(spark), BATCHES)
 
 
 ORACLE_SQL = r"""

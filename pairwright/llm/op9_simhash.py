@@ -14,12 +14,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import partitions, table, text_or_empty, written
+from .common import partitions, spread_join, table, text_or_empty, written
 from .components import components
+from .op6_exact import keep_rows, row_key
 
 #: Fingerprints of a key that one group compares with each other at once.
 SLICE = 2000
@@ -80,7 +81,8 @@ def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 def links(nodes: DataFrame, most: int) -> DataFrame:
     """Spanning links (u, v) among distinct fingerprints `fp` that differ in at most `most` bits: their components are those of all links."""
     spark = nodes.sparkSession
-    keys = block_keys(nodes.count(), most)
+    n = nodes.count()
+    keys = block_keys(n, most)
     packed = []
     for k, blocks in enumerate(keys):
         value = F.lit(k).cast("long")
@@ -88,8 +90,8 @@ def links(nodes: DataFrame, most: int) -> DataFrame:
             value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
         packed.append(value)
     keyed = nodes.select("fp", F.explode(F.array(*packed)).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keyed.join(counts, "key").withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+    counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")), "counts")
+    shared = spread_join(keyed, counts, "key", "n", len(keys) * n)
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     dealt = (
@@ -128,40 +130,36 @@ def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, seed: int =
 
     Null text counts as empty. Repeated rows and equal texts share a fingerprint, hence
     a component. component_id is the smallest doc_id of the component, null only where
-    all its doc_ids are null. An empty table gives no rows. Other columns are left out.
+    all its doc_ids are null. Long texts count whole. An empty table gives no rows. Other
+    columns are left out, whatever their names.
     """
     rows = written(fingerprints(docs, words, seed), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), most))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
-    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def row_key(docs: DataFrame) -> Column:
-    """16 bytes that stand for the doc_id and text of a row, for null ones too."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), text_or_empty().cast("string"))))
+    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    named = written(spread_join(placed, ids, "root", "_n", placed.count()).select("fp", "component_id", "n"), "named")
+    return spread_join(rows, named, "fp", "n", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: that of its smallest doc_id, a null one only if it has no other; then of the smallest key.
 
-    The decisions are keys of a row's doc_id and text, so that rows of null or repeated doc_id
-    are told apart; texts are joined to them once. Links are those of near_copies: five words,
-    similarity 0.8. The bounds of near_duplicates are the contract of its query only.
+    Columns stay as they are. Rows of null or repeated doc_id are told apart by their
+    texts; rows equal in doc_id and text count once. Null and empty texts are equal; long
+    texts count whole; an empty table gives no rows. Links are those of near_copies: five
+    words, similarity 0.8. The bounds of near_duplicates are the contract of its query only.
     """
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("row"))
+    key = row_key(docs["doc_id"], text_or_empty().cast("string").cast("binary"))
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("row"))
     rows = written(near_copies.marks(named), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     nodes = written(rows.groupBy("node").agg(first), "nodes")
     roots = components(near_copies.similar_links(named, rows))
     placed = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = written(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_kept")), "kept")
-    keyed = docs.withColumn("_row", row_key(docs))
-    one = keyed.join(kept, keyed["_row"] == kept["_kept"], "left_semi")
-    return one.dropDuplicates(["_row"]).select(*docs.columns)
+    kept = written(placed.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "kept")
+    return keep_rows(docs, kept, key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

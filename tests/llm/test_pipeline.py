@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pairwright.llm import op3_secrets, op7_toxicity, op9_simhash
+from pairwright.llm import op3_secrets, op6_exact, op7_toxicity, op9_simhash
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -120,3 +120,22 @@ def test_near_dedup_by_shingle_similarity(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r.doc_id for r in op9_simhash.stage(spark, docs, "").collect()}
     assert got == {i for i, r in enumerate(root) if r == i}
+
+
+def test_stages_keep_columns_and_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(15)
+    some = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(60))
+    rows = [(None, some()) for _ in range(4)] + [(7, some()) for _ in range(3)] + [(1, some()), (2, None)]
+    names = ["digest", "_id", "_kept", "row", "ROW_", "_row", "node", "n", "root"]
+    docs = spark.createDataFrame([(*r, *[f"{c}{i}" for c in names]) for i, r in enumerate(rows)], f"doc_id long, text string, {', '.join(c + ' string' for c in names)}").repartition(3)
+    want = sorted(map(str, docs.collect()))
+    for stage in (op6_exact.stage, op9_simhash.stage, op3_secrets.stage):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and sorted(map(str, got.collect())) == want
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
