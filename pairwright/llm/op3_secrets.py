@@ -25,8 +25,11 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: What could be a credential: a maximal run of these characters, long enough, with digits and letters.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: What could be a credential: a maximal run of these characters, unless it is of letters alone, as words are, without a capital inside.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]*?(?:[0-9+/_=-]|[a-z][A-Z])[A-Za-z0-9+/_.=-]*")
+NO_WORD = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
+#: Fewest characters of a candidate; each kind's automaton takes none shorter than the labelled credentials it is learnt from.
+LEAST_CHARS = 8
 #: Most distinct credentials of a kind that an automaton is inferred from: those of the smallest hashes.
 SAMPLE = 1000
 #: Confidence of the merging test, and the share of labelled credentials that may score below the threshold.
@@ -50,16 +53,19 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of runs with digits and letters that touch no base span."""
-    if not any(len(w) >= 16 and not w.isalpha() and any(c.isdigit() for c in w) for w in text.split()):
-        return []
+    """(start, end, value) of what is left of the runs beside base spans, without marks at its ends."""
     out = []
     for m in CANDIDATE.finditer(text):
-        v = m[0].rstrip(".=-_")
-        if len(v) >= 16 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
-            a, e = m.start(), m.start() + len(v)
-            if all(e <= s or t <= a for s, t, *_ in base):
-                out.append((a, e, v))
+        a, end = m.span()
+        if end - a < LEAST_CHARS:
+            continue
+        for s, t, *_ in [*(x for x in base if x[0] < end and a < x[1]), (end, end)]:
+            v = text[a:s].rstrip(".=-_") if s > a else ""
+            at = a + len(v) - len(v.lstrip(".=-_"))
+            v = text[at : a + len(v)]
+            if len(v) >= LEAST_CHARS and NO_WORD.search(v):
+                out.append((at, at + len(v), v))
+            a = max(a, t)
     return out
 
 
@@ -157,15 +163,15 @@ class Automaton:
         return total / max(1, len(s))
 
 
-def infer(values: dict[str, list[str]]) -> dict[str, tuple[Automaton, float]]:
-    """For each kind its automaton and its threshold: half of the sample is learnt from, the other half sets the threshold."""
+def infer(values: dict[str, list[str]]) -> dict[str, tuple[Automaton, float, int]]:
+    """For each kind its automaton, its threshold and its shortest credential: half of the sample is learnt from, the other half sets the threshold."""
     out = {}
     for kind, found in sorted(values.items()):
         found = sorted(found)
         if len(found) >= LEAST:
             learn = Automaton([symbols(v) for v in found[::2]])
             scores = sorted(learn.score(v) for v in found[1::2])
-            out[kind] = (learn, max(0.5, scores[int(BELOW * len(scores))]))
+            out[kind] = (learn, max(0.5, scores[int(BELOW * len(scores))]), min(map(len, found)))
     return out
 
 
@@ -191,7 +197,7 @@ def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).mapInArrow(run, f"doc_id long, {SCANNED}")
 
 
-def learn(scanned: DataFrame) -> dict[str, tuple[Automaton, float]]:
+def learn(scanned: DataFrame) -> dict[str, tuple[Automaton, float, int]]:
     """Automata from the distinct values in all rows; at most SAMPLE of a kind reach the driver."""
     found = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
     values: dict[str, list[str]] = {}
@@ -201,8 +207,8 @@ def learn(scanned: DataFrame) -> dict[str, tuple[Automaton, float]]:
     return infer(values)
 
 
-def added(other: list, automata: dict[str, tuple[Automaton, float]]) -> list[tuple[int, int, str]]:
-    return [(s["start"], s["end"], "format") for s in other if any(a.score(s["value"]) >= least for a, least in automata.values())]
+def added(other: list, automata: dict[str, tuple[Automaton, float, int]]) -> list[tuple[int, int, str]]:
+    return [(s["start"], s["end"], "format") for s in other if any(len(s["value"]) >= shortest and a.score(s["value"]) >= least for a, least, shortest in automata.values())]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -244,7 +250,11 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows stay; spans in their texts are masked, and n_chars, where there is such a column, follows."""
+    """All rows stay; spans in their texts are masked, and n_chars, where there is such a column, follows.
+
+    Null and empty texts stay as they are, as do all other columns; long texts are read
+    whole; repeated rows are alike; an empty table gives no rows.
+    """
     automata = learn(written(scan(docs), "scanned"))
     counts = "n_chars" in docs.columns
     plain = [f.name for f in docs.schema]
