@@ -76,19 +76,6 @@ class CapacityTree:
         return room, found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each size, bins of a fixed capacity being opened as needed. No size may exceed the capacity."""
-    tree, out, used = CapacityTree(capacity), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        if sizes[i] > capacity:
-            raise ValueError("larger than a bin")
-        room, b = tree.pop_tightest(sizes[i]) or (capacity, used)
-        used = max(used, b + 1)
-        tree.insert(room - sizes[i], b)
-        out[i] = b
-    return out
-
-
 def fit_into(sizes: list[int], rooms: list[int]) -> list[int]:
     """The bin of each size, bins given by their room; what fits nowhere goes where most room is left, below zero if need be."""
     low = min(0, min(rooms))
@@ -103,6 +90,29 @@ def fit_into(sizes: list[int], rooms: list[int]) -> list[int]:
     return out
 
 
+def fair_share(total: int, shards: int, rows: list[tuple[int, int]]) -> int:
+    """Bytes to a shard where rows (size, how many) that exceed it have shards of their own."""
+    share = -(-total // shards)
+    while True:
+        over = sum(n for size, n in rows if size > share)
+        left = total - sum(size * n for size, n in rows if size > share)
+        new = -(-left // (shards - over)) if over < shards else share
+        if new >= share:
+            return share
+        share = new
+
+
+def level_rooms(loads: list[int], rest: int) -> list[int]:
+    """Room of each shard up to the level at which all rooms together hold the rest."""
+    held, filled = sorted(loads), 0
+    for k, load in enumerate(held):
+        if k + 1 == len(held) or (k + 1) * held[k + 1] - filled - load >= rest:
+            level = -(-(rest + filled + load) // (k + 1))
+            return [max(0, level - x) for x in loads]
+        filled += load
+    return []
+
+
 def numbered(df: DataFrame, group: str, salts: int) -> DataFrame:
     """Adds `slot`, a gapless number from 0 in each group by (salt of doc_id, doc_id): no window holds a whole group.
 
@@ -147,19 +157,21 @@ def sharded(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     limit = max(1, capacity // (4 * tasks))
 
     large = [r for r in groups.where(F.col("bytes") > limit).orderBy(F.desc("bytes"), "digest").toLocalIterator()] if total else []
+    capacity = fair_share(total, shards, [(r["size"], r["n"]) for r in large])
     pieces: list[tuple[int, int, int, int]] = []  # group, first copy, copies, bytes
     for g, r in enumerate(large):
         most = max(1, capacity // r["size"])
         pieces += [(g, a, min(most, r["n"] - a), min(most, r["n"] - a) * r["size"]) for a in range(0, r["n"], most)]
     placed = fit_into([p[3] for p in pieces], [capacity] * shards)
-    rooms = [capacity] * shards
+    loads = [0] * shards
     runs: dict[int, list[tuple[int, int]]] = {}
     for (g, first, _, size), shard in zip(pieces, placed):
-        rooms[shard] -= size
+        loads[shard] += size
         runs.setdefault(g, []).append((first, shard))
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("shard", T.IntegerType())])))])
     large_runs = spark.createDataFrame([(bytes(r["digest"]), runs[g]) for g, r in enumerate(large)], schema)
-    small_total = max(1, total - sum(p[3] for p in pieces))
+    small_total = max(1, total - sum(loads))
+    rooms = level_rooms(loads, small_total)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = list(batches)
