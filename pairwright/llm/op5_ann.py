@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import spread_join, table, written
 
 #: Most vectors that centroids are fitted on, and most centroids: bounds what is broadcast.
 SAMPLE, MOST_LISTS = 40_000, 8192
@@ -26,8 +26,10 @@ SAMPLE, MOST_LISTS = 40_000, 8192
 LIST_SIZE, SLICE = 256, 4096
 #: A vector is posted to lists within this ratio of its nearest centroid's distance, at most so many.
 POST_RATIO, POST_MOST = 1.10, 4
-#: A query reads lists within this ratio, at least and at most so many.
-READ_RATIO, READ_LEAST, READ_MOST = 1.35, 12, 64
+#: A query reads lists within this ratio, at least so many, and at most one of READ_SHARE.
+READ_RATIO, READ_LEAST, READ_SHARE = 1.35, 64, 4
+#: Column that marks queries.
+ASKED = "_asked"
 #: Neighbours of a centroid in the graph, and how many candidates a walk keeps.
 DEGREE, BREADTH = 24, 96
 
@@ -76,6 +78,17 @@ class CentroidGraph:
         return ids, np.sqrt(np.maximum(0, 2 - 2 * np.array([s for s, _ in best[:k]])))
 
 
+    def dealt(self, vectors: np.ndarray, ratio: float, least: int, most: int) -> tuple[list[int], list[int]]:
+        """Row numbers and lists: of each unit vector the lists whose centroids are within the ratio of its nearest one's distance, `least` to `most` of them."""
+        rows, to = [], []
+        for i, v in enumerate(vectors):
+            ids, far = self.search(v, most)
+            take = max(least, int((far <= far[0] * ratio + 1e-9).sum()))
+            to += ids[:take].tolist()
+            rows += [i] * min(take, len(ids))
+        return rows, to
+
+
 def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """k-means on unit vectors in which a cluster's fill lowers its pull, so that lists come out alike in size."""
     rng = np.random.default_rng(seed)
@@ -100,7 +113,7 @@ def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: in
 def clean(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
     """vec_id, embedding of the rows that take part: finite, not zero, no nulls, and of the commonest length (or the one given)."""
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.coalesce(ok, F.lit(False)))
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), *[c for c in vectors.columns if c == ASKED]).where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.coalesce(ok, F.lit(False)))
     if dimension is None:
         first = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
         dimension = first["d"] if first else 0
@@ -113,83 +126,106 @@ def unit(a: np.ndarray) -> np.ndarray:
     return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
+def cosines(these: np.ndarray, those: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Cosines in double precision; where a product or norm over- or underflows, of the vectors scaled by their largest components."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        out = these @ those.T / (np.linalg.norm(these, axis=1)[:, None] * norms)
+    bad = ~np.isfinite(out).all(axis=1) | (np.abs(these).max(axis=1) < 1e-100)
+    if bad.any() or not np.isfinite(norms).all() or (norms < 1e-100).any():
+        return unit(these) @ unit(those).T
+    return out
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, list_size: int = LIST_SIZE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that `is_query` selects, ties to the smaller vec_id.
 
-    Rows that can't have a cosine take no part. Copies of a vector are candidates of
-    their own; of rows with equal vec_id and vector one counts. With fewer candidates
-    than k, a query returns all it finds. An empty table gives no rows.
+    Rows that can't have a cosine take no part, nor do those of another length than the
+    commonest. Copies of a vector are candidates of their own; of rows with equal vec_id
+    and vector one counts. With fewer candidates than k, a query returns all it finds. An
+    empty table gives no rows; other columns are left out, whatever their names.
+
+    Equal vectors are one entry and are searched for once, with one neighbour more than
+    asked for, so that each of their rows can leave itself out.
     """
-    base = written(clean(vectors), "vectors")
-    spark = base.sparkSession
+    spark = vectors.sparkSession
+    # two hashes stand for a vector: 16 bytes instead of its components
+    key = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64("embedding", F.lit(1)).alias("b"))
+    base = written(clean(vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias(ASKED))).withColumn("key", key), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
     # the k + 1 smallest ids of equal vectors are all that a query can need; the limit applies before the shuffle too
-    among = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = base.dropDuplicates(["vec_id", "embedding"]).withColumn("_r", F.row_number().over(among)).where(F.col("_r") <= k + 1)
-    entries = written(kept.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
+    among = Window.partitionBy("key").orderBy("vec_id")
+    ids = base.groupBy("key", "vec_id").agg(F.max(ASKED).alias(ASKED), F.min("embedding").alias("embedding"))
+    ids = written(ids, "ids")
+    kept = ids.withColumn("_r", F.row_number().over(among)).where(F.col("_r") <= k + 1)
+    sizes = ids.groupBy("key").agg(F.count_if(ASKED).alias("n_asked"))
+    firsts = kept.groupBy("key").agg(F.min("embedding").alias("embedding"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = written(firsts.join(sizes, "key"), "entries")
     n = entries.count()
     if not n:
         return spark.createDataFrame([], schema)
     # at most SAMPLE vectors, those of the smallest hashes
-    some = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).toArrow()
+    some = entries.select("embedding").orderBy("key.a", "key.b").limit(SAMPLE).toArrow()
     sample = unit(matrix(some.column("embedding").combine_chunks()))
-    lists = max(1, min(MOST_LISTS, n // LIST_SIZE, len(sample) // 2))
+    lists = max(1, min(MOST_LISTS, n // list_size, len(sample) // 2))
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(sample, lists)))
+    most = max(READ_LEAST, -(-lists // READ_SHARE))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, to = [], []
-            for i, v in enumerate(unit(matrix(b.column("embedding")))):
-                ids, far = graph.value.search(v, POST_MOST)
-                for j in ids[far <= far[0] * POST_RATIO + 1e-9].tolist():
-                    rows.append(i), to.append(j)
-            t = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *t.columns], ["list", "embedding", "ids"])
+            rows, to = graph.value.dealt(unit(matrix(b.column("embedding"))), POST_RATIO, 1, POST_MOST)
+            t = b.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *t.columns], ["list", "key", "embedding", "ids"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, to = [], []
-            for i, v in enumerate(unit(matrix(b.column("embedding")))):
-                ids, far = graph.value.search(v, READ_MOST)
-                take = max(READ_LEAST, int((far <= far[0] * READ_RATIO + 1e-9).sum()))
-                for j in ids[:take].tolist():
-                    rows.append(i), to.append(j)
-            t = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *t.columns], ["list", "query_id", "embedding"])
-
-    postings = written(entries.mapInArrow(post, "list int, embedding array<float>, ids array<long>"), "postings")
-    slices = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))  # a row a list
-    asked = base.where(is_query).dropDuplicates(["vec_id", "embedding"]).select(F.col("vec_id").alias("query_id"), "embedding")
-    asked = asked.mapInArrow(read, "list int, query_id long, embedding array<float>").join(F.broadcast(slices), "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "query_id", "embedding")
-    posted = postings.join(F.broadcast(slices), "list").select("list", F.pmod(F.xxhash64("embedding"), "slices").cast("int").alias("slice"), "embedding", "ids")
+            rows, to = graph.value.dealt(unit(matrix(b.column("embedding"))), READ_RATIO, READ_LEAST, most)
+            t = b.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *t.columns], ["list", "key", "embedding"])
+
+    keys = "struct<a:bigint,b:bigint>"
+    postings = written(entries.select("key", "embedding", "ids").mapInArrow(post, f"list int, key {keys}, embedding array<double>, ids array<long>"), "postings")
+    wanted = written(entries.where("n_asked > 0").select("key", "embedding").mapInArrow(read, f"list int, key {keys}, embedding array<double>"), "wanted")
+    # entries and queries of a list are both dealt out in slices; there is a row a list
+    slices = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    parts = wanted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("parts"))
+    cut = F.broadcast(slices.join(parts, "list"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c: F.pmod(F.col("key.a"), F.col(c)).cast("int")
+    asked = wanted.join(cut, "list").select("list", each("slices").alias("slice"), part("parts").alias("part"), "key", "embedding")
+    posted = postings.join(cut, "list").select("list", part("slices").alias("slice"), each("parts").alias("part"), "embedding", "ids")
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[dict, int, float]] = []
         if len(left) and len(right):
-            those = np.stack(right["embedding"].to_list()).astype(np.float64)
-            norms = np.sqrt((those * those).sum(axis=1))
+            those = np.stack(right["embedding"].to_list())
+            norms = np.linalg.norm(those, axis=1)
             ids = right["ids"].to_list()
             for a in range(0, len(left), 512):
-                these = np.stack(left["embedding"].iloc[a : a + 512].to_list()).astype(np.float64)
-                with np.errstate(over="ignore"):
-                    scores = these @ those.T / (np.sqrt((these * these).sum(axis=1))[:, None] * norms)
+                these = np.stack(left["embedding"].iloc[a : a + 512].to_list())
+                scores = cosines(these, those, norms)
                 top = min(k + 1, scores.shape[1])
-                cut = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top] - 1e-12
-                for q, row, least in zip(left["query_id"].iloc[a : a + 512], scores, cut):
+                low = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top] - 1e-12
+                for q, row, least in zip(left["key"].iloc[a : a + 512], scores, low):
                     for j in np.flatnonzero(row >= least).tolist():
-                        out += [(q, i, float(row[j])) for i in ids[j] if i != q]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = asked.groupBy("list", "slice").cogroup(posted.groupBy("list", "slice")).applyInPandas(match, "query_id long, vec_id long, score double")
-    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                        out += [(q, i, float(row[j])) for i in ids[j]]
+        return pd.DataFrame({"key": [o[0] for o in out], "vec_id": [o[1] for o in out], "score": [o[2] for o in out]})
+
+    by = ["list", "slice", "part"]
+    found = asked.groupBy(*by).cogroup(posted.groupBy(*by)).applyInPandas(match, f"key {keys}, vec_id long, score double")
+    one = found.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    best = one.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
+    near = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_r", "vec_id", "score"))).alias("near"))
+    near = written(near.join(entries.select("key", "n_asked"), "key"), "near")
+    queries = ids.where(ASKED).select("key", F.col("vec_id").alias("query_id"))
+    own = spread_join(queries, near, "key", "n_asked", queries.count())
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return own.select("query_id", F.posexplode(others).alias("_i", "x")).select("query_id", (F.col("_i") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
