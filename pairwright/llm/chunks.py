@@ -1,114 +1,148 @@
 """Encoding of whole texts by way of their distinct chunks.
 
 A chunk is a run of white space with the run of other characters after it. Both
-vocabularies split a text between a character that is not white space and white
-space that follows it, and no rule of theirs looks over that border to the left,
-so the ids of a text are the ids of its chunks, one after the other. Distinct
-chunks are few beside their occurrences; a library encodes each once and a
-bounded dictionary keeps its ids as little-endian unsigned 32-bit integers.
+vocabularies split a text between a character that is not white space and a blank or
+newline that follows it, and no rule of theirs looks over that border to the left,
+so the ids of a text are the ids of its chunks, one after the other. A last mark
+after a Latin letter is a piece of its own in either vocabulary and so a chunk too.
+
+Borders are found on the bytes of a batch, Arrow numbers its distinct chunks, a
+library encodes those a worker hasn't met, and numpy gathers the ids of all.
 """
 from __future__ import annotations
 
-import gc
 import os
-import re
 from array import array
-from collections.abc import Callable, Iterable
-
-#: Entries of a worker's dictionary; it starts anew when it grows beyond.
-CACHE_ENTRIES = 900_000
-#: A chunk of more characters is encoded each time and not kept.
-LONG_CHUNK = 200
-
-# white space other than blank and newline before one of these: the quick split would cut inside a run
-_MIXED = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　][ \n]")
-_BORDER = re.compile(r"(?<=\S)(?=[ \n])")
-
-
-#: Starts the name of a chunk that isn't a blank or newline with a word after it: the first of a text, or one after a run of white space.
-_AS_IS = "\ue000"
-
-
-def spaced_chunks(text: str) -> list[str]:
-    """Names of chunks that keep their white space. A name is the chunk without its blank, which costs no copy of the word."""
-    parts = text.replace("\n", " \n").split(" ")
-    if "" in parts or "\n" in parts or " \n" in text or _MIXED.search(text) or _AS_IS in text:
-        return [_name(c, i) for i, c in enumerate(c for c in _BORDER.split(text) if c)]
-    if parts[0][0] != "\n":
-        parts[0] = _AS_IS + parts[0]
-    return parts
-
-
-def _name(chunk: str, i: int) -> str:
-    if i and len(chunk) > 1 and not chunk[1].isspace() and chunk[1] != _AS_IS and chunk[0] in " \n":
-        return chunk[1:] if chunk[0] == " " else chunk
-    return _AS_IS + chunk
-
-
-def spaced_chunk(name: str) -> str:
-    """The chunk of a name."""
-    return name[1:] if name[0] == _AS_IS else name if name[0] == "\n" else " " + name
-
-
-def bare_chunks(text: str) -> list[str]:
-    """Chunks for a vocabulary that drops white space."""
-    return text.replace("\n", " ").split(" ")
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks of a worker's dictionary, and bytes of its chunks; it starts anew when it grows beyond.
+CACHE_ENTRIES, CACHE_BYTES = 900_000, 64_000_000
+#: Bytes of text that are cut and gathered at once, unless one text has more.
+BATCH_BYTES = 8_000_000
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# first two bytes of characters among which are white-space ones: no border is set after any of these
+_WIDE = np.zeros(65536, bool)
+_WIDE[[0xE19A, 0xE280, 0xE281, 0xE380]] = True
+
+
+def borders(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Byte offsets of the chunks of some texts, given by their UTF-8 bytes and their own offsets; the last is the end."""
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data):
+        found = np.flatnonzero(_BLANK[data[1:]] & ~_SPACE[data[:-1]]) + 1
+        wide = np.flatnonzero(data[found - 1] >= 0x80)
+        if len(wide):
+            p = found[wide]
+            two, three = data[np.maximum(p - 2, 0)], data[np.maximum(p - 3, 0)]
+            found = np.delete(found, wide[(two == 0xC2) | _WIDE[three.astype(np.int64) << 8 | two]])
+        cut[found] = True
+    cut[at] = True
+    last = np.flatnonzero(cut)[1:] - 1  # last bytes of chunks
+    last = last[_MARK[data[last]]]
+    last = last[~cut[last]]
+    one, two = data[last - 1], data[np.maximum(last - 2, 0)]
+    # U+00C0 to U+017F but for the signs of multiplication and division and the dotted capital I
+    latin = ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)) | ((two == 0xC4) & (one >= 0x80) & (one != 0xB0)) | ((two == 0xC5) & (one >= 0x80))
+    cut[last[_ASCII_LETTER[one] | latin]] = True
+    return np.flatnonzero(cut)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of [start, start + size) of each pair, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class IdStore:
+    """Ids of distinct keys in one array; `encode` gives those of keys that it doesn't have, four bytes to an id."""
+
+    def __init__(self, encode: Callable[[list], Iterable[bytes]]):
+        self.encode = encode
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str | bytes, int] = {}
+        self.bytes = 0
+        # number 0 stands for the end of a text
+        self.flat, self.start, self.size = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def numbers(self, keys: list) -> np.ndarray:
+        """The number of each of some distinct keys."""
+        if len(self.known) + len(keys) > CACHE_ENTRIES or self.bytes > CACHE_BYTES:
+            self._forget()
+        got = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            names = [keys[i] for i in new.tolist()]
+            ids = list(self.encode(names))
+            first = len(self.start)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+            self.known.update(zip(names, range(first, first + len(names))))
+            self.bytes += sum(map(len, names))
+            got[new] = np.arange(first, first + len(names))
+        return got
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys by their numbers, one after the other, and where those of each begin (one more: the end)."""
+        sizes = self.size[codes]
+        return self.flat[ranges(self.start[codes], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
 
 class ChunkEncoder:
-    """Whole texts to ids. `encode` turns a list of distinct chunks into as many bytes objects, four bytes to an id.
-
-    A last mark that follows a Latin letter is a piece of its own in either vocabulary, so
-    `word,` is looked up as `word` and `,`. Where case is dropped, ASCII chunks are
-    looked up in lower case.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], drops_space: bool = False):
-        self.split, self.encode, self.lower, self.known = bare_chunks if drops_space else spaced_chunks, encode, drops_space, {"": b""}
-
-    def _base(self, chunk: str) -> tuple[str, str]:
-        base, tail = chunk, ""
-        if chunk[-1] in ".,;:!?" and len(chunk) > 1 and (c := chunk[-2]).isalpha() and c < "\u0250" and c != "\u0130":
-            base, tail = chunk[:-1], chunk[-1]
-        return (base.lower() if self.lower and base.isascii() else base), tail
-
-    def _learn(self, new: list[str]) -> None:
-        bases = [self._base(c) for c in new]
-        known = self.known
-        missing = list({b for b, _ in bases}.difference(known))
-        known.update(zip(missing, self.encode(missing if self.lower else [spaced_chunk(n) for n in missing])))
-        tails = list({t for _, t in bases if t})
-        mark = dict(zip(tails, self.encode(tails))) | {"": b""}
-        known.update([(c, known[b] + mark[t]) for c, (b, t) in zip(new, bases)])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        collecting = gc.isenabled()
-        gc.disable()  # millions of strings and no cycles
-        try:
-            return self._run(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _run(self, texts: list[str]) -> list[bytes]:
+    """Whole texts to ids. `encode` turns a list of distinct chunks into as many bytes objects, four bytes to an id."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
+        self.store = IdStore(encode)
+
+    def __call__(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For some texts after some: their number, their ids one after the other, and where each begins (one more: the end).
+
+        Null counts as empty. `end` is an id to put after each text.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        n = len(texts)
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+        k = 0
+        while k < n:
+            stop = max(k + 1, int(np.searchsorted(at, at[k] + BATCH_BYTES, "right")) - 1)
+            yield stop - k, *self._some(np.ascontiguousarray(data[at[k] : at[stop]]), at[k : stop + 1] - at[k], end)
+            k = stop
+
+    def _some(self, data: np.ndarray, at: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        cuts = borders(data, at)
+        dealt = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        codes = self.store.numbers(dealt.dictionary.to_pylist())[dealt.indices.to_numpy()] if len(dealt) else np.zeros(0, np.int64)
+        of_text = np.searchsorted(cuts, at)
+        if end is not None:
+            self.store.flat[0], self.store.size[0] = end, 1
+            codes = np.insert(codes, of_text[1:], 0)
+            of_text = of_text + np.arange(len(of_text))
+        ids, starts = self.store.gather(codes)
+        return ids, starts[of_text]
+
+    def lists(self, texts: pa.Array, end: int | None = None) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        start = 0
-        while start < len(texts):  # some texts at a time, bounded by their characters
-            end, size = start, 0
-            while end < len(texts) and (end == start or size < 2_000_000):
-                size += len(texts[end])
-                end += 1
-            parts = [self.split(t) for t in texts[start:end]]
-            if len(self.known) > CACHE_ENTRIES:
-                self.known = {"": b""}
-            new = list(set().union(*parts).difference(self.known))
-            self._learn(new)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, p)) for p in parts]
-            if long := [c for c in self.known if len(c) > LONG_CHUNK] if any(len(c) > LONG_CHUNK for c in new) else ():
-                for c in long:
-                    del self.known[c]
-            start = end
+        for _, ids, at in self(texts, end):
+            raw, at = ids.astype("<u4", copy=False).tobytes(), (at * 4).tolist()
+            out += [raw[a:e] for a, e in zip(at, at[1:])]
         return out
 
 
@@ -122,21 +156,33 @@ def library_encoder(file: str) -> ChunkEncoder:
     """
     if file not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(file)
         drops_space = "Replace" in repr(t.normalizer)
         # a vocabulary that drops white space marks the last token of a word, the other the blank before its first
         border = np.zeros(t.get_vocab_size(), bool)
-        border[[i for w, i in t.get_vocab().items() if (w.endswith("</w>") if drops_space else w.startswith("\u0120"))]] = True
+        border[[i for w, i in t.get_vocab().items() if (w.endswith("</w>") if drops_space else w.startswith("Ġ"))]] = True
 
         def one_by_one(chunks: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        def encode(chunks: list[str]) -> list[bytes]:
+        def latin(word: str) -> bool:
+            return word.isascii() or (max(word) < "ɐ" and "İ" not in word)
+
+        def encode(chunks: list[str]) -> Iterable[bytes]:
+            if not drops_space:
+                return map(distinct(chunks).__getitem__, chunks)
+            bare = [c.strip(" \n") for c in chunks]
+            bare = [c.lower() if c.isascii() else c for c in bare]
+            return map(distinct(list(set(bare))).__getitem__, bare)
+
+        def distinct(chunks: list[str]) -> dict[str, bytes]:
             # a chunk of Latin letters is one word to the library, so many go into a call and are told apart by the tokens that end or begin a word
-            plain = [c for c in chunks if (c if drops_space else c[1:]).isalpha() and max(c) < "\u0250" and "\u0130" not in c and (drops_space or c[0] == " ")]
+            if drops_space:
+                plain = [c for c in chunks if c.isalpha() and latin(c)]
+            else:
+                plain = [c for c in chunks if c[0] == " " and c[1:].isalpha() and latin(c)]
             rest = list(set(chunks).difference(plain))
             found = dict(zip(rest, one_by_one(rest)))
             runs = [plain[k : k + 256] for k in range(0, len(plain), 256)]
@@ -149,7 +195,7 @@ def library_encoder(file: str) -> ChunkEncoder:
                     found.update(zip(run, one_by_one(run)))
                 else:
                     found.update(zip(run, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
-            return [found[c] for c in chunks]
+            return found
 
-        _ENCODERS[file] = ChunkEncoder(encode, drops_space)
+        _ENCODERS[file] = ChunkEncoder(encode)
     return _ENCODERS[file]

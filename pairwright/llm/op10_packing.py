@@ -8,7 +8,6 @@ So a task leaves at most its last sequences short, and nothing is shuffled.
 """
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -119,7 +118,6 @@ def packed(docs: DataFrame, file: str, end_id: int = 0, tokens: int = 1024, segm
     """
     if min(tokens, segments, loss) < 1:
         raise ValueError("limits must be at least 1")
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunks.library_encoder(file)
@@ -143,12 +141,14 @@ def packed(docs: DataFrame, file: str, end_id: int = 0, tokens: int = 1024, segm
             return pa.RecordBatch.from_arrays(cols, names)
 
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                some = b.slice(k, 500)
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                ids = [x + end for x in encoder(texts)]
+            for k in range(0, b.num_rows, 2000):
+                some = b.slice(k, 2000)
+                ids = encoder.lists(some.column("text"), end_id)
                 prompts = some.column("prompt").to_pylist()
-                heads = [len(x) // 4 if p else 0 for x, p in zip(encoder([t[: p or 0] for t, p in zip(texts, prompts)]), prompts)] if any(prompts) else [0] * len(ids)
+                heads = [0] * len(ids)
+                if any(prompts):
+                    leading = [(t or "")[: max(0, p or 0)] for t, p in zip(some.column("text").to_pylist(), prompts)]
+                    heads = [len(x) // 4 for x in encoder.lists(pa.array(leading, pa.string()))]
                 out: list[tuple] = []
                 for d, x, h in zip(some.column("doc_id").to_pylist(), ids, heads):
                     out += packer.add((d, x), len(x) // 4, h)
