@@ -1,19 +1,20 @@
 """Byte-level BPE: DuckDB recursive queries in every task encode and decode.
 
-Every task cuts its texts into the pieces of the pattern and hands each distinct
-piece it does not know yet to DuckDB, running inside the task's worker. There,
-rows of token positions join the merge table; per step and piece the leftmost
-pair of the smallest rank is contracted, until no pair of a piece is in the
-table. Decoding joins the ids to the table of token bytes and puts them together
-by an ordered aggregation.
+Every task cuts its texts into the pieces of the pattern. A piece that isn't a token
+itself is cut once more where two bytes meet that are neighbours in no token: no
+merge ever crosses there. Each distinct part that the worker doesn't know yet goes to
+DuckDB, running inside the task's worker. There, rows of token positions join the
+merge table; per step and part the leftmost pair of the smallest rank is contracted,
+until no pair of a part is in the table. Decoding joins the ids to the table of token
+bytes and puts them together by an ordered aggregation.
 """
 from __future__ import annotations
 
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,32 +22,45 @@ from pyspark.sql import functions as F
 from . import chunks
 from .common import table
 
-#: Pieces of more bytes than this are contracted by a heap under the same rule: the recursion takes a step for each contraction.
-LONG_PIECE = 256
-#: Pieces in one recursive query; bounds its memory.
-PIECES_A_QUERY = 40_000
+#: Bytes of the parts of one recursive query, unless one part has more, and ids of one decoding query: these bound a query's memory.
+ENCODE_BYTES, DECODE_IDS = 400_000, 200_000
+#: Memory that a worker's DuckDB may use.
+MEMORY = "300MB"
 
+# The recursion keeps the latest tokens of each part alone. Other places of the contracted
+# pair in a part are contracted in the same step, unless that could put off a pair of
+# smaller rank: `risks` has the neighbours with which a fresh token makes such a pair.
 CONTRACT = """
-WITH RECURSIVE state(piece, toks) AS (
-    SELECT piece, toks FROM words
+WITH RECURSIVE state(part, toks) USING KEY (part) AS (
+    SELECT part, toks FROM words
+    UNION
+    (WITH pairs AS (
+        SELECT part, unnest(range(1, len(toks))) AS pos, unnest(toks[:-2])::BIGINT AS a, unnest(toks[2:]) AS b FROM state WHERE len(toks) > 1),
+    hits AS (SELECT p.part, p.pos, m.rank FROM pairs p JOIN merges m ON m.pair = p.a * 65536 + p.b),
+    least AS (SELECT part, min(rank) AS rank FROM hits GROUP BY part),
+    places AS (SELECT h.part, h.pos, h.rank, row_number() OVER (PARTITION BY h.part ORDER BY h.pos) AS i FROM hits h JOIN least l ON h.part = l.part AND h.rank = l.rank),
+    apart AS (SELECT part, pos, rank, i FROM (SELECT *, min(pos) OVER (PARTITION BY part, pos - i) AS head FROM places) WHERE (pos - head) % 2 = 0),
+    beside AS (SELECT k.part, k.rank, s.toks[k.pos - 1] AS x, s.toks[k.pos + 2] AS y FROM apart k JOIN state s ON s.part = k.part
+        WHERE k.rank IN (SELECT merged FROM risks) AND k.part IN (SELECT part FROM apart WHERE i > 1)),
+    risky AS (SELECT n.part FROM beside n JOIN risks r ON r.merged = n.rank AND r.before = n.x
+        UNION SELECT n.part FROM beside n JOIN risks r ON r.merged = n.rank AND r.after = n.y
+        UNION SELECT n.part FROM beside n JOIN risks r ON r.merged = n.rank AND r.after = n.rank),
+    chosen AS (SELECT part, pos, rank FROM apart WHERE i = 1 OR part NOT IN (SELECT part FROM risky)),
+    counts AS (SELECT part, count(*) AS n, min(pos) AS pos, min(rank) AS rank FROM chosen GROUP BY part),
+    spread AS (SELECT s.part, unnest(range(1, len(s.toks) + 1)) AS pos, unnest(s.toks) AS tok FROM state s WHERE s.part IN (SELECT part FROM counts WHERE n > 1))
+    SELECT s.part, s.toks[:c.pos - 1] || [c.rank] || s.toks[c.pos + 2:] FROM state s JOIN counts c ON s.part = c.part WHERE c.n = 1
     UNION ALL
-    SELECT s.piece, s.toks[:b.at - 1] || [b.merged] || s.toks[b.at + 2:]
-    FROM state s JOIN (
-        SELECT piece, (least % 65536)::INT AS at, merged FROM (
-            SELECT p.piece, min(m.rank * 65536 + p.at) AS least, arg_min(m.merged, m.rank * 65536 + p.at) AS merged
-            FROM (SELECT piece, unnest(range(1, len(toks))) AS at, unnest(toks[:-2])::BIGINT AS a, unnest(toks[2:]) AS b
-                  FROM state WHERE len(toks) > 1) p
-            JOIN merges m ON m.pair = p.a * 65536 + p.b
-            GROUP BY p.piece)
-    ) b USING (piece)
+    SELECT t.part, list(coalesce(c.rank, t.tok) ORDER BY t.pos) FROM spread t
+        LEFT JOIN chosen c ON c.part = t.part AND c.pos = t.pos LEFT JOIN chosen d ON d.part = t.part AND d.pos = t.pos - 1
+        WHERE d.part IS NULL GROUP BY t.part)
 )
-SELECT piece, arg_min(toks, len(toks)) AS ids FROM state GROUP BY piece ORDER BY piece
+SELECT part, toks AS ids FROM state ORDER BY part
 """
 
 DECODE = """
-SELECT doc, string_agg(v.hex, '' ORDER BY pos) AS hex
-FROM (SELECT doc, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM docs) t JOIN vocab v USING (id)
-GROUP BY doc
+SELECT run, string_agg(v.hex, '' ORDER BY pos) AS hex
+FROM (SELECT run, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM runs) t JOIN vocab v USING (id)
+GROUP BY run
 """
 
 
@@ -60,97 +74,103 @@ class RankBpe:
         self.pieces_of = regex.compile(pattern).findall
         with open(file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.byte_id = [self.ranks[bytes([i])] for i in range(256)]
-        con = self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.inside = np.zeros((256, 256), bool)  # two bytes that are neighbours in some token
+        for t in self.ranks:
+            self.inside[list(t[:-1]), list(t[1:])] = True
+        con = self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         con.execute("SET preserve_insertion_order = false")
         items = sorted(self.ranks.items(), key=lambda x: x[1])
-        con.register("v", pa.table({"id": pa.array([r for _, r in items], pa.int32()), "hex": [t.hex() for t, _ in items]}))
-        con.execute("CREATE TABLE vocab AS SELECT * FROM v")
         # a pair may merge if its bytes together are a token: every cut of every token into two tokens
-        cuts = [(self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], r) for t, r in items for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        con.register("m", pa.table({"pair": pa.array([p for p, _ in cuts], pa.int64()), "rank": pa.array([r for _, r in cuts], pa.int64())}))
-        con.execute("CREATE TABLE merges AS SELECT pair, rank, rank::INT AS merged FROM m")
-        con.unregister("m"), con.unregister("v")
+        cuts = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in items for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        a, b, r = np.array(cuts, np.int64).reshape(-1, 3).T
+        before, after = b > r, a > r  # a merged token that is the second, or the first, of a pair of smaller rank
+        none = lambda x: pa.nulls(int(x.sum()), pa.int32())
+        whole = lambda x: pa.array(x.astype(np.int32))
+        risks = {"merged": [whole(b[before]), whole(a[after])], "before": [whole(a[before]), none(after)], "after": [none(before), whole(b[after])]}
+        made = {
+            "vocab": pa.table({"id": pa.array([r for _, r in items], pa.int32()), "hex": [t.hex() for t, _ in items]}),
+            "merges": pa.table({"pair": pa.array(a * 65536 + b), "rank": whole(r)}),
+            "risks": pa.table({k: pa.chunked_array(v) for k, v in risks.items()}),
+        }
+        for name, rows in made.items():
+            con.register("made", rows)
+            con.execute(f"CREATE TABLE {name} AS SELECT * FROM made")
+            con.unregister("made")
         self.texts = chunks.ChunkEncoder(self.encode_chunks)
+        self.parts = chunks.IdStore(self.contract)
 
     def encode_chunks(self, new: list[str]) -> list[bytes]:
-        cut = [self.pieces_of(c) for c in new]
+        # a chunk of letters, or of a blank and letters, is one piece of the pattern
+        cut = [[c] if c.isalpha() or (c[0] == " " and c[1:].isalpha()) else self.pieces_of(c) for c in new]
         pieces = list({p for c in cut for p in c})
         ids = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces])))
         return [ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c]) for c in cut]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(pieces)
-        short: list[int] = []
-        for i, p in enumerate(pieces):
-            if (whole := self.ranks.get(p)) is not None:
-                out[i] = whole.to_bytes(4, "little")
-            elif len(p) > LONG_PIECE:
-                out[i] = self.encode_long(p)
-            else:
-                short.append(i)
-        short.sort(key=lambda i: len(pieces[i]))  # pieces of like length end in like steps
-        byte_id = self.byte_id
-        for k in range(0, len(short), PIECES_A_QUERY):
-            some = short[k : k + PIECES_A_QUERY]
-            offsets, flat = [0], bytearray()
-            for i in some:
-                flat += pieces[i]
-                offsets.append(len(flat))
-            toks = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([byte_id[b] for b in flat], pa.int32()))
-            self.con.register("words", pa.table({"piece": pa.array(range(len(some)), pa.int32()), "toks": toks}))
+        """Ids of each piece: its own if it is a token, else those of its parts."""
+        whole = [self.ranks.get(p) for p in pieces]
+        out = [b"" if w is None else w.to_bytes(4, "little") for w in whole]
+        rest = [i for i, w in enumerate(whole) if w is None and pieces[i]]
+        if not rest:
+            return out
+        data = np.frombuffer(b"".join([pieces[i] for i in rest]), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(pieces[i]) for i in rest])])
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = ~self.inside[data[:-1], data[1:]]
+        cut[at] = True
+        cuts = np.flatnonzero(cut)
+        dealt = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        ids, ends = self.parts.gather(self.parts.numbers(dealt.dictionary.to_pylist())[dealt.indices.to_numpy()])
+        raw, ends = ids.astype("<u4", copy=False).tobytes(), (ends[np.searchsorted(cuts, at)] * 4).tolist()
+        for i, a, e in zip(rest, ends, ends[1:]):
+            out[i] = raw[a:e]
+        return out
+
+    def contract(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part by the recursive query. Parts of like length go together, as they end in like steps."""
+        out: list[bytes] = [b""] * len(parts)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        k = 0
+        while k < len(order):
+            stop, size = k, 0
+            while stop < len(order) and (stop == k or size + len(parts[order[stop]]) <= ENCODE_BYTES):
+                size += len(parts[order[stop]])
+                stop += 1
+            some = order[k:stop]
+            offsets = np.concatenate([[0], np.cumsum([len(parts[i]) for i in some])]).astype(np.int32)
+            flat = self.byte_id[np.frombuffer(b"".join([parts[i] for i in some]), np.uint8)]
+            self.con.register("words", pa.table({"part": pa.array(range(len(some)), pa.int32()), "toks": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}))
             got = self.con.sql(CONTRACT).to_arrow_table()
             self.con.unregister("words")
             ids = got.column("ids").combine_chunks()
-            flat_ids, at = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            raw, at = flat_ids.tobytes(), (at - at[0]) * 4
-            for i, a, b in zip(some, at[:-1].tolist(), at[1:].tolist()):
-                out[i] = raw[a:b]
+            raw, at = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
+            at = ((at - at[0]) * 4).tolist()
+            for i, a, e in zip(some, at, at[1:]):
+                out[i] = raw[a:e]
+            k = stop
         return out
 
-    def encode_long(self, piece: bytes) -> bytes:
-        """Leftmost pair of the smallest rank first, by a heap over a linked list."""
-        n = len(piece)
-        start, after, before = list(range(n + 1)), list(range(1, n + 2)), list(range(-1, n))
-        rank = lambda i: self.ranks.get(piece[i : after[after[i]]]) if after[i] < n else None
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(i)) is not None]
-        heapify(heap)
-        alive = [True] * n
-        while heap:
-            r, i, size = heappop(heap)
-            if not alive[i] or after[i] >= n or after[after[i]] - i != size or rank(i) != r:
-                continue
-            gone = after[i]
-            alive[gone] = False
-            after[i] = after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            for j in (before[i], i):
-                if j >= 0 and (r := rank(j)) is not None:
-                    heappush(heap, (r, j, after[after[j]] - j))
-        del start
-        return b"".join(self.ranks[piece[i : after[i]]].to_bytes(4, "little") for i in range(n) if alive[i])
-
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each text from its ids, some texts at a time."""
-        import numpy as np
-
-        out: list[bytes] = [b""] * len(ids)
+        """Bytes of each text from its ids. A text goes in runs of positions, some runs at a time."""
+        runs = [(i, k, min(k + DECODE_IDS, len(x) // 4)) for i, x in enumerate(ids) for k in range(0, len(x) // 4, DECODE_IDS)]
+        parts: list[list[bytes]] = [[] for _ in ids]
         k = 0
-        while k < len(ids):
-            end, size = k, 0
-            while end < len(ids) and (end == k or size + len(ids[end]) <= 2_000_000):
-                size += len(ids[end])
-                end += 1
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids[k:end]])]).astype("i4")
-            flat = pa.array(np.frombuffer(b"".join(ids[k:end]), "<i4"))
-            docs = pa.table({"doc": pa.array(range(k, end), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(offsets), flat)})
-            self.con.register("docs", docs)
-            for doc, text in self.con.execute(DECODE).fetchall():
-                out[doc] = bytes.fromhex(text)
-            self.con.unregister("docs")
-            k = end
-        return out
+        while k < len(runs):
+            stop, size = k, 0
+            while stop < len(runs) and (stop == k or size + runs[stop][2] - runs[stop][1] <= DECODE_IDS):
+                size += runs[stop][2] - runs[stop][1]
+                stop += 1
+            some = runs[k:stop]
+            offsets = np.concatenate([[0], np.cumsum([e - a for _, a, e in some])]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join([ids[i][a * 4 : e * 4] for i, a, e in some]), "<i4"))
+            self.con.register("runs", pa.table({"run": pa.array(range(len(some)), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(offsets), flat)}))
+            got = dict(self.con.execute(DECODE).fetchall())
+            self.con.unregister("runs")
+            for r, (i, _, _) in enumerate(some):
+                parts[i].append(bytes.fromhex(got[r]))
+            k = stop
+        return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
 
 
 _WORKER: dict[tuple[str, str], RankBpe] = {}
@@ -165,19 +185,19 @@ def worker_bpe(file: str, pattern: str) -> RankBpe:
 def encode_decode(docs: DataFrame, file: str, pattern: str, keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per row, and with `keep` the ids (array<int>) and the decoded bytes.
 
-    Null text counts as empty: no ids. Repeated rows and equal ids give a row each;
-    other columns are left out. No shuffle; a task holds its dictionary of pieces,
-    which is bounded, and some rows.
+    Null text counts as empty: no ids. Repeated rows and equal ids give a row each; an
+    empty table gives none; other columns are left out, whatever their names. Very long
+    texts are encoded and decoded whole. No shuffle; a task holds its dictionaries of
+    chunks and parts, which are bounded, and some rows.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(file, pattern)
         for b in batches:
-            step = 500
-            for k in range(0, b.num_rows, step):
-                some = b.slice(k, step)
-                ids = bpe.texts([t or "" for t in some.column("text").to_pylist()])
+            for k in range(0, b.num_rows, 2000):
+                some = b.slice(k, 2000)
+                ids = bpe.texts.lists(some.column("text"))
                 back = bpe.decode(ids)
                 cols = [
                     some.column("doc_id"),
@@ -187,8 +207,6 @@ def encode_decode(docs: DataFrame, file: str, pattern: str, keep: bool = False)
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep:
-                    import numpy as np
-
                     cols += [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array(back, pa.binary())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)

@@ -28,18 +28,30 @@ def docs(spark, items=None):
 
 @pytest.mark.parametrize("call", [
     lambda d: op3_secrets.secrets(d), lambda d: op4_bpe.encode_decode(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), lambda d: op6_exact.deduplicated(d, op6_exact.fresh_index(d.sparkSession)),
-    lambda d: op8_sharding.sharded(d), lambda d: op9_simhash.near_duplicates(d), lambda d: op10_packing.packed(d, P.path("byte_bpe_50k.json")),
+    lambda d: op8_sharding.sharded(d), lambda d: op7_toxicity.scored(d, op7_toxicity.train(d, d.selectExpr("doc_id", "1 AS toxic"))), lambda d: op6_exact.deduplicated(d, op6_exact.fresh_index(d.sparkSession), 4), lambda d: op9_simhash.near_duplicates(d), lambda d: op10_packing.packed(d, P.path("byte_bpe_50k.json")),
 ])
 def test_empty_table(spark, call):
     assert call(docs(spark, [])).count() == 0
 
 
 def test_wavelet_matrix():
-    v = np.array([5, 0, 3, 5, 1, 7, 5, 2] * 300, np.uint32)
-    m = op1_wavelet.WaveletMatrix.build(v)
-    assert (m.values() == v).all() and all(m.access(i) == v[i] for i in range(0, len(v), 37))
-    assert m.count(5) == 900 and m.count(9) == 0 and m.rank(3, 11) == 2
-    assert m.occurrences(2) == np.flatnonzero(v == 2).tolist() and m.select(2, 300) == -1
+    rng = np.random.default_rng(3)
+    n = 3 * op1_wavelet.BLOCK + 77
+    v = np.where(rng.random(n) < 0.5, 5, rng.integers(0, 70_000, n)).astype(np.uint32)
+    built = op1_wavelet.WaveletMatrix.build(v)
+    image = op1_wavelet.to_image(np.array([4, 0, 9]), np.array([0, 1, 0]), np.array([10, 0, n - 10]), v)
+    ids, nulls, lengths, stored = op1_wavelet.from_image(image)
+    assert (ids.tolist(), nulls.tolist(), lengths.tolist()) == ([4, 0, 9], [0, 1, 0], [10, 0, n - 10])
+    for m in (built, stored):
+        assert (m.values() == v).all() and all(m.access(i) == v[i] for i in [0, n - 1, *rng.integers(0, n, 60).tolist()])
+        for x in [5, int(v[1]), int(v[-1]), 69_999, 70_001, 1 << 20]:
+            at = np.flatnonzero(v == x)
+            assert m.count(x) == len(at) and m.select(x, len(at)) == -1
+            for i in (0, 1, op1_wavelet.BLOCK, n // 2, n):
+                assert m.rank(x, i) == (v[:i] == x).sum()
+            for j in (0, len(at) // 2, len(at) - 1) if len(at) else ():
+                assert m.select(x, j) == at[j]
+    assert op1_wavelet.WaveletMatrix.build(np.zeros(0, np.uint32)).values().tolist() == []
 
 
 def test_wavelet_shards(spark):
@@ -48,12 +60,28 @@ def test_wavelet_shards(spark):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     path = shared_path(spark, "wm")
     op1_wavelet.write_shards(docs(spark), P.path("word_bpe_49k.json"), 2, path, shard_tokens=2000)
-    got, start = {r.doc_id: r for r in op1_wavelet.read_shards(spark, path).collect()}, 0
+    got, start, all_ids = {r.doc_id: r for r in op1_wavelet.read_shards(spark, path).collect()}, 0, []
     for i, x in enumerate(texts()):
         ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    assert op1_wavelet.lookup(spark, path, 2).count() >= len(texts())
+        all_ids.append(ids)
+    token = int(all_ids[8][100])
+    want = sorted(i for i, x in enumerate(all_ids) for _ in range((x == token).sum()))
+    assert sorted(r.doc_id for r in op1_wavelet.lookup(spark, path, token).collect()) == want
+
+
+def test_wavelet_shards_of_null_and_hot_ids(spark):
+    rows = [(None, f"null {i}") for i in range(300)] + [(7, f"seven {i}") for i in range(300)] + [(i, f"other {i}") for i in range(300) if i != 7] + [(7, "seven 1")]
+    path = shared_path(spark, "wm")
+    op1_wavelet.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), P.path("word_bpe_49k.json"), 2, path)
+    got = sorted(op1_wavelet.read_shards(spark, path, keep=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([d for d, _ in rows], key=lambda d: -1 if d is None else d)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert spark.read.parquet(path).select("bucket").distinct().count() > 4  # neither meets in one range
+    empty = shared_path(spark, "wm")
+    op1_wavelet.write_shards(docs(spark, []), P.path("word_bpe_49k.json"), 2, empty)
+    assert op1_wavelet.read_shards(spark, empty).count() == 0
 
 
 def brute_cost(roles):
@@ -88,6 +116,29 @@ def test_role_repair(spark):
     assert op2_chat.repaired(df.limit(0)).count() == 0
 
 
+def test_rendered_conversations(spark):
+    rng = random.Random(3)
+    convs = {i: [(rng.choice(["user", " Assistant", "SYSTEM", "tool", "", None]), rng.choice([None, "", "hello", "multi\nline", LONG[:5000]])) for _ in range(rng.randint(1, 9))] for i in range(60)}
+    rows = [(i, j, r, t, "x") for i, c in convs.items() for j, (r, t) in enumerate(c)]
+    df = spark.createDataFrame(rows + rows[:20], "conv_id long, turn long, role string, text string, rendered string").repartition(3)
+    got = defaultdict(list)
+    for r in sorted(op2_chat.repaired(df).collect(), key=lambda r: (r.conv_id, r.piece, r.seq)):
+        got[r.conv_id].append(r)
+    for i, c in convs.items():
+        state, texts_, whole = "start", [], ""
+        for r in got[i]:
+            if not r.merged:
+                assert r.role in op2_chat.LEGAL[state]
+                state = r.role
+            else:
+                assert r.role == state
+            if r.action != "insert":
+                texts_.append(r.rendered.removeprefix("" if r.merged else op2_chat.header(r.role))[:-1])
+            whole += r.rendered
+        assert state in op2_chat.FINAL and texts_ == [t or "" for _, t in c]
+        assert whole.count("<|") == sum(not r.merged for r in got[i])
+
+
 def test_role_repair_of_a_conversation_of_few_turn_numbers(spark):
     rng = random.Random(6)
     rows = [(None, rng.choice([*range(8), None]), rng.choice(["user", "assistant", "system", None]), f"t{j}", "x") for j in range(5000)] + [(1, 5000 * j, "user", f"t{j}", "x") for j in range(3)]
@@ -112,10 +163,50 @@ def test_secrets(spark):
     want = "assign:2:51,hex:11:51"
     assert got[0].spans == want and got[0].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert [(got[i].n_assign, got[i].n_access, got[i].n_hex) for i in range(60, 68)] == [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 1)]
-    a, least = op3_secrets.infer({"hex": hexes})["hex"]
+    a, least, shortest = op3_secrets.infer({"hex": hexes})["hex"]
+    assert shortest == 40
     assert a.states < 40 and a.score("".join(rng.choice("0123456789abcdef") for _ in range(28))) >= least > a.score("INV-2024-000123-XYZ")
 
 
+def plain_spans(text):
+    """The contract's patterns, tried at every place by hand."""
+    import re
+
+    out, letters = [], "".join(chr(c) for c in range(33, 127) if chr(c).isalnum())
+    for kind, pattern, group, least in (
+        ("assign", "(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([" + letters + "+/_.=-]+)", 1, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32),
+    ):
+        at = 0
+        while at < len(text):
+            m = re.compile(pattern, re.A).match(text, at)
+            if m and len(m[group]) >= least:
+                out.append((m.start(), m.end(), kind))
+            at = m.end() if m else at + 1
+    return sorted(out, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[2])))
+
+
+def test_base_spans_against_the_patterns():
+    rng = random.Random(8)
+    parts = ["password", "PassWD", "token", "api_key", "apikey", "SECRET", "=", ":", " ", "  ", '"', "'", "AKIA", "AKIAKIA", "ABCDEFGH12345678", "0123456789abcdef", "f" * 17, "x", "é", "\n", "-", "_.", "ſecret", "longvalue99"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert [s[:3] for s in op3_secrets.base_spans(text)] == plain_spans(text), text
+
+
+def test_formats_of_unlabelled_credentials(spark):
+    rng = random.Random(14)
+    upper = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    key = lambda: "pk_" + "".join(rng.choice("0123456789abcdef") for _ in range(9))
+    labelled = [f'a token = "{key()}" and secret: {upper(24)} b' for _ in range(60)]
+    bare = [f"see {key()} here" for _ in range(40)] + [f"see {upper(24)} here" for _ in range(40)]
+    beside = [f"path/AKIA{upper(16)}-{key()}." for _ in range(20)]
+    clean = ["call 555-0134-9921 on 2024-01-17 at 10.20.30.40", "an ordinaryword and extraordinarily long wordsTogether", "https://example.com/a/b?c=1", "1234567890", "v1.2.3-beta.4 INV-000123"]
+    rows = [r.spans for r in sorted(op3_secrets.secrets(docs(spark, labelled + bare + beside + clean)).collect(), key=lambda r: r.doc_id)]
+    found = ["format" in r for r in rows]
+    assert np.mean(found[60:140]) >= 0.9 and not any(found[160:])
+    assert np.mean(found[140:160]) >= 0.9 and all("access" in r for r in rows[140:160])
+
+
 def test_bpe(spark):
     import tiktoken
 
@@ -127,6 +218,43 @@ def test_bpe(spark):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest())
 
 
+def test_bpe_of_hard_pieces():
+    import tiktoken
+
+    bpe = op4_bpe.RankBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = random.Random(7)
+    wide = [chr(0x4E00 + i) for i in range(20_000)]
+    pieces = ["".join(rng.choice(wide) for _ in range(84)) for _ in range(20_000)] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(20_000)]
+    pieces += ["z" * 200_000, "-" * 30_001, "ACGT" * 9000 + "".join(rng.choice("ACGT") for _ in range(20_000)), "".join(rng.choice("etaoin") for _ in range(5000)), "", "é"]
+    got = bpe.encode_pieces([p.encode() for p in pieces])  # within the memory limit
+    for i in [*range(0, 40_000, 97), *range(40_000, len(pieces))]:
+        assert got[i] == np.array(e.encode_ordinary(pieces[i]), "<u4").tobytes()
+    ids = np.array(rng.choices(range(50_000), k=4_000_000), "<u4")
+    by_id = {r: t for t, r in bpe.ranks.items()}
+    assert bpe.decode([ids[:5].tobytes(), b"", ids.tobytes()]) == [b"".join(by_id[i] for i in x.tolist()) for x in (ids[:5], ids[:0], ids)]
+
+
+def test_ann_of_doubles_and_of_a_hot_query_vector(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(1200, 8))
+    m[:600] = m[0]  # a third of the queries and more have one vector
+    m[700] *= 1e300
+    m[750] = m[700] / 1e300
+    m[800] *= 1e-300
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(dict)
+    for r in op5_ann.nearest(df, F.col("vec_id") % 50 == 0, list_size=8).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    assert sorted(got) == list(range(0, 1200, 50)) and all(sorted(x) == [1, 2, 3, 4, 5] for x in got.values())
+    for q in range(0, 600, 50):
+        assert [got[q][r][0] for r in range(1, 6)] == [i for i in range(7) if i != q][:5]
+    assert got[700][1][0] == 750 and got[750][1][0] == 700 and abs(got[750][1][1] - 1) < 1e-12
+    u = op5_ann.unit(m)
+    hit = sum(len({v for v, _ in got[q].values()} & set(np.argsort(-np.where(np.arange(1200) == q, -9, u @ u[q]))[:5].tolist())) for q in range(600, 1200, 50))
+    assert hit >= 0.9 * 60
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(3000, 16)).astype("f4")
@@ -162,6 +290,22 @@ def test_exact_dedup_and_second_batch(spark):
     assert {r.doc_id: r.kept for r in op6_exact.deduplicated(later, index).collect()} == {900: False, 901: True}
 
 
+def test_exact_dedup_in_batches(spark):
+    rows = [(None, "a"), (5, "a"), (5, "a"), (3, " a"), (9, "b"), (9, "c"), (None, "d"), (None, "d"), (8, "a")] + [(i, "hot  text") for i in range(100, 400)] + [(7, None), (6, "")]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, digest string, keep_id string").repartition(3)
+    index = op6_exact.fresh_index(spark)
+    got = sorted(map(str, op6_exact.deduplicated(df, index, 4).drop("text_sha256").collect()))
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[(t or "").replace("  ", " ")].append(d)
+    want = []
+    for ids in groups.values():
+        keep = min((i for i in ids if i is not None), default=None)
+        want += [f"Row(doc_id={i}, keep_id={keep}, group_size={len(ids)}, kept={keep is not None and i == keep})" for i in ids]
+    assert got == sorted(want)
+    assert index.read().count() == len(groups)
+
+
 def test_toxicity_generalises():
     rng = random.Random(3)
     words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(300)]
@@ -175,34 +319,65 @@ def test_toxicity_generalises():
     assert 0 < score([""])[0] < 1
 
 
+def test_toxicity_of_little_evidence():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(300)]
+    make = lambda: " ".join(rng.choice(words) for _ in range(60))
+    for y in ([1] * 10 + [0] * 10, [1] * 20, [0] * 20, []):
+        y = np.array(y, int)
+        score = op7_toxicity.Scorer(op7_toxicity.fit([make() for _ in y], y, np.ones(len(y))))
+        assert max(score([make() for _ in range(50)] + [""])) < 0.3 or len(set(y.tolist())) == 1
+
+
+def test_toxicity_query(spark):
+    """held_out is as the contract has it, and labels of held-out rows change nothing."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(300)]
+    bad = [rng.random() < 0.3 for _ in range(500)]
+    items = [" ".join([rng.choice(words) for _ in range(40)] + ["wubbaz"] * 2 * b) for b in bad] + [None, "", "  "]
+    df = docs(spark, items).withColumn("score", F.lit("x"))
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(items))]
+    label = lambda flip: spark.createDataFrame([(i, int(b != (flip and held[i]))) for i, b in enumerate(bad)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = [{r.doc_id: r for r in op7_toxicity.scored(df, op7_toxicity.train(df, label(flip))).collect()} for flip in (False, True)]
+    assert got[0] == got[1] and [got[0][i].held_out for i in range(len(items))] == held
+    assert np.mean([got[0][i].predicted == bad[i] for i in range(500) if held[i]]) > 0.97
+    assert all(got[0][i].predicted == int(got[0][i].score >= 0.3) for i in got[0]) and not any(got[0][i].predicted for i in (500, 501, 502))
+
+
 def test_sharding(spark):
-    rows = op8_sharding.sharded(docs(spark), shards=5).collect()
-    assert len(rows) == len(texts())
-    size, slots = defaultdict(int), defaultdict(list)
+    items = texts() + [f"text {i} " * (i % 40) for i in range(3000)] + ["copied text"] * 600
+    rows = op8_sharding.sharded(docs(spark, items), shards=5).collect()
+    assert len(rows) == len(items)
+    size, slots, at = defaultdict(int), defaultdict(list), defaultdict(set)
     for r in rows:
-        x = (texts()[r.doc_id] or "").encode()
+        x = (items[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law) == (len(x) + 16, zlib.crc32(x), "bytes")
         size[r.shard] += r.size
         slots[r.shard].append(r.slot)
+        at[x].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    long = len(LONG) + 16
+    assert sum(size.values()) / 5 < long  # one text exceeds its share, and has a shard of its own
+    rest = sorted(v for v in size.values() if v < long)
+    assert len(rest) == 4 and rest[-1] - rest[0] <= 64
+    assert all(len(s) == 1 for s in at.values())  # equal texts share a shard
 
 
-def test_best_fit_against_linear_search():
+def test_fit_into_against_linear_search():
     rng = random.Random(1)
-    sizes = [rng.randint(1, 60) for _ in range(400)]
-    rooms, want = [], [0] * 400
-    for i in sorted(range(400), key=lambda i: (-sizes[i], i)):
-        fit = [(r, b) for b, r in enumerate(rooms) if r >= sizes[i]]
-        if fit:
-            least = min(fit)[0]
-            b = min(fit)[1]
-            rooms[b] = least - sizes[i]
-        else:
-            b = len(rooms)
-            rooms.append(100 - sizes[i])
-        want[i] = b
-    got = op8_sharding.best_fit_decreasing(sizes, 100)
-    assert max(got) == max(want) and max(sum(s for s, g in zip(sizes, got) if g == b) for b in set(got)) <= 100
+    for rooms in ([100] * 30, [500, 20, 0, -5, 90], [40]):
+        sizes = [rng.randint(1, 60) for _ in range(200)]
+        left, want = list(rooms), [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fit = [r for r in left if r >= sizes[i]]
+            room = min(fit) if fit else max(left)
+            want[i] = room - sizes[i]
+            left[left.index(room)] -= sizes[i]
+        got = op8_sharding.fit_into(sizes, rooms)
+        now = list(rooms)
+        for s, b in zip(sizes, got):
+            now[b] -= s
+        assert sorted(now) == sorted(left)
 
 
 def test_simhash(spark):
