@@ -6,7 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.shared import frame_path
 from .operators import clean, compare, graph, metrics, split, vectors
+from .sources import artifacts
 from .sources.associations import ASSOC_SQL, associations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,18 +25,52 @@ def query(name: str, sql: str | None = None, derived: bool = True):
     return register
 
 
+#: Paths of frames that queries of a session share, by session, folder, state of its files and name.
+_MADE: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, d: str) -> str:
+    """Names, lengths and times of the files that the association tables are made of."""
+    found = []
+    for t in ("lineitem", "orders", "customer", "nation", "embeddings"):
+        _, p, files = artifacts._files(spark, f"{d}/{t}.parquet")
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(p)]
+    return str(sorted(found))
+
+
+def shared_frame(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that queries of a session share: written to the shared folder once, and again if its files or inputs have changed."""
+    key = (spark.sparkContext.applicationId, d, _state(spark, d), name)
+    found = artifacts.stored(spark, _MADE[key]) if key in _MADE else None
+    if found is None:
+        _MADE[key] = frame_path(spark)
+        make().write.parquet(_MADE[key])
+        found = spark.read.parquet(_MADE[key])
+    return found
+
+
 def prepared(spark: SparkSession, d: str) -> clean.Prepared:
-    return clean.prepare(associations(spark, d))
+    made: list[clean.Prepared] = []
+
+    def part(name: str) -> DataFrame:
+        if not made:
+            made.append(clean.prepare(associations(spark, d)))
+        return getattr(made[0], name)
+
+    return clean.Prepared(**{n: shared_frame(spark, d, n, lambda n=n: part(n)) for n in ("triples", "labels", "pairs", "positives")})
 
 
 def splitted(spark: SparkSession, d: str) -> tuple[clean.Prepared, DataFrame]:
     p = prepared(spark, d)
-    return p, split.split_pairs(p.pairs)
+    return p, shared_frame(spark, d, "splits", lambda: split.split_pairs(p.pairs))
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    p, s = splitted(spark, d)
-    return graph.structural_cells(s, p.positives, p.labels)
+    def make() -> DataFrame:
+        p, s = splitted(spark, d)
+        return graph.structural_cells(s, p.positives, p.labels)
+
+    return shared_frame(spark, d, "cells", make)
 
 
 def scored(spark: SparkSession, d: str, scorer: str = "a") -> DataFrame:
@@ -84,17 +120,40 @@ query("labels_of_pair", "SELECT pair_id, string_agg(label_index::VARCHAR, ',' OR
     lambda s, d: prepared(s, d).positives.groupBy("pair_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_set("label_index")), lambda x: x.cast("string"))).alias("labels"), F.count(F.lit(1)).alias("n"))
 )
 query("entities", "SELECT entity, count(*) AS n_pairs FROM (SELECT e1 AS entity FROM pairs UNION ALL SELECT e2 FROM pairs) GROUP BY 1")(lambda s, d: split.entities(prepared(s, d).pairs))
-query("missing_values", "SELECT 'entity_1' AS \"column\", count_if(trim(coalesce(entity_1, '')) = '') AS missing FROM assoc UNION ALL SELECT 'entity_2', count_if(trim(coalesce(entity_2, '')) = '') FROM assoc UNION ALL SELECT 'label_id', count_if(trim(coalesce(label_id, '')) = '') FROM assoc UNION ALL SELECT 'label_name', count_if(trim(coalesce(label_name, '')) = '') FROM assoc")(
-    lambda s, d: clean.missing_counts(associations(s, d), clean.KEYS)
-)
+BLANK = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g') = ''"
+query("missing_values", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count_if({BLANK.format(c)}) AS missing FROM assoc" for c in clean.KEYS))(lambda s, d: clean.missing_counts(associations(s, d), clean.KEYS))
 query("strip_counts", r"SELECT 'text' AS \"column\", coalesce(sum((text <> regexp_replace(text, '^\s+|\s+$', '', 'g'))::INT), 0)::BIGINT AS changed FROM documents".replace('\\"', '"'), False)(
     lambda s, d: clean.strip_counts(s.read.parquet(f"{d}/documents.parquet"), ["text"])
 )
 query("name_conflicts", "SELECT 'id_to_names' AS \"check\", count(*) AS n_bad FROM (SELECT label_id FROM assoc GROUP BY 1 HAVING count(DISTINCT label_name) > 1) UNION ALL SELECT 'name_to_ids', count(*) FROM (SELECT label_name FROM assoc GROUP BY 1 HAVING count(DISTINCT label_id) > 1)")(
     lambda s, d: clean.name_conflicts(associations(s, d))
 )
-query("pair_checks", "SELECT unnest(['unordered', 'self', 'repeated', 'gaps']) AS \"check\", 0::BIGINT AS n_bad")(lambda s, d: clean.pair_checks(prepared(s, d).pairs))
-query("label_checks", "SELECT unnest(['no_label', 'repeated', 'frequency']) AS \"check\", 0::BIGINT AS n_bad")(lambda s, d: clean.label_checks(prepared(s, d)))
+# checks read tables into which breaches are planted, so that a check which always answers 0 is found out
+BROKEN_PAIRS = """, bp AS (SELECT CASE WHEN pair_id % 13 = 0 THEN e2 ELSE e1 END AS e1, CASE WHEN pair_id % 13 = 0 OR pair_id % 17 = 0 THEN e1 ELSE e2 END AS e2, pair_id FROM pairs WHERE pair_id % 19 <> 5
+UNION ALL SELECT e1, e2, pair_id FROM pairs WHERE pair_id % 23 = 1)"""
+
+
+def broken_pairs(pairs: DataFrame) -> DataFrame:
+    """Every 13th pair turned round, every 17th a self-pair, every 19th missing, every 23rd there twice."""
+    i = F.col("pair_id")
+    some = pairs.where(i % 19 != 5).select(F.when(i % 13 == 0, F.col("e2")).otherwise(F.col("e1")).alias("e1"), F.when((i % 13 == 0) | (i % 17 == 0), F.col("e1")).otherwise(F.col("e2")).alias("e2"), "pair_id")
+    return some.unionByName(pairs.where(i % 23 == 1).select("e1", "e2", "pair_id"))
+
+
+query("pair_checks", BROKEN_PAIRS + """ SELECT 'unordered' AS "check", count_if(e1 > e2) AS n_bad FROM bp UNION ALL SELECT 'self', count_if(e1 = e2) FROM bp
+UNION ALL SELECT 'repeated', count(*) - count(DISTINCT (e1, e2)) FROM bp UNION ALL SELECT 'gaps', max(pair_id) + 1 + min(pair_id) - count(DISTINCT pair_id) FROM bp""")(lambda s, d: clean.pair_checks(broken_pairs(prepared(s, d).pairs)))
+
+
+def broken_positives(p: clean.Prepared) -> clean.Prepared:
+    """Positives of every 29th pair missing, those of every 31st there twice."""
+    some = p.positives.where("pair_id % 29 <> 3")
+    return clean.Prepared(p.triples, p.labels, p.pairs, some.unionByName(p.positives.where("pair_id % 31 = 4")))
+
+
+query("label_checks", """, q AS (SELECT * FROM positives WHERE pair_id % 29 <> 3 UNION ALL SELECT * FROM positives WHERE pair_id % 31 = 4)
+SELECT 'no_label' AS "check", count(*) AS n_bad FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM q)
+UNION ALL SELECT 'repeated', count(*) FROM (SELECT 1 FROM q GROUP BY pair_id, label_index HAVING count(*) > 1)
+UNION ALL SELECT 'frequency', count(*) FROM kept LEFT JOIN (SELECT label_index, count(*) AS m FROM q GROUP BY 1) USING (label_index) WHERE n IS DISTINCT FROM m""")(lambda s, d: clean.label_checks(broken_positives(prepared(s, d))))
 query(
     "audit",
     """, per AS (SELECT pair_id, count(*) AS k FROM positives GROUP BY 1)
@@ -104,7 +163,16 @@ UNION ALL SELECT 'positives', count(*)::DOUBLE FROM positives UNION ALL SELECT '
 UNION ALL SELECT 'labels_per_pair_median', quantile_cont(k, 0.5)::DOUBLE FROM per UNION ALL SELECT 'labels_per_pair_min', min(k)::DOUBLE FROM per UNION ALL SELECT 'labels_per_pair_max', max(k)::DOUBLE FROM per""",
 )(lambda s, d: clean.audit(associations(s, d), prepared(s, d)))
 query("split", "SELECT pair_id, e1, e2, split FROM splits")(lambda s, d: splitted(s, d)[1])
-query("split_checks", "SELECT unnest(['several', 'uncovered', 'alien']) AS \"check\", 0::BIGINT AS n_bad")(lambda s, d: (lambda p, x: split.split_checks(p.pairs, x))(*splitted(s, d)))
+def broken_splits(x: DataFrame) -> DataFrame:
+    """Every 37th pair in two splits, every 41st in none, and every 43rd there as a pair that isn't one."""
+    twice = x.where("pair_id % 37 = 2").withColumn("split", F.lit("extra"))
+    alien = x.where("pair_id % 43 = 6").withColumn("pair_id", -F.col("pair_id"))
+    return x.where("pair_id % 41 <> 5").unionByName(twice).unionByName(alien)
+
+
+query("split_checks", """, x AS (SELECT pair_id, split FROM splits WHERE pair_id % 41 <> 5 UNION ALL SELECT pair_id, 'extra' FROM splits WHERE pair_id % 37 = 2 UNION ALL SELECT -pair_id, split FROM splits WHERE pair_id % 43 = 6)
+SELECT 'several' AS "check", count(*) AS n_bad FROM (SELECT 1 FROM x GROUP BY pair_id HAVING count(*) > 1) UNION ALL SELECT 'uncovered', count(*) FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM x)
+UNION ALL SELECT 'alien', count(*) FROM x WHERE pair_id NOT IN (SELECT pair_id FROM pairs)""")(lambda s, d: (lambda p, x: split.split_checks(p.pairs, broken_splits(x)))(*splitted(s, d)))
 query("split_label_stats", """SELECT s.split, label_index, count(p.pair_id) AS n_pos, round(count(p.pair_id)::DOUBLE / any_value(s.n), 6) AS prevalence
 FROM (SELECT split, count(*) AS n FROM splits GROUP BY 1) s CROSS JOIN kept k LEFT JOIN (SELECT * FROM positives JOIN splits USING (pair_id)) p USING (split, label_index) GROUP BY 1, 2""")(
     lambda s, d: (lambda p, x: split.label_stats(x, p.positives, p.labels))(*splitted(s, d))
@@ -135,14 +203,18 @@ query("micro_auprc", SC + """, st AS (SELECT score, sum(y) AS p, count(*) AS n F
 SELECT round(sum(p * tp / seen::DOUBLE) / sum(p), 6) AS micro_auprc FROM rn""")(lambda s, d: metrics.micro_auprc(scored(s, d)))
 GRID = SC + """, bk AS (SELECT greatest(least(floor(score * 100 + 1e-9), 95), 4)::INT AS b, y FROM sc),
 grid AS (SELECT t::INT AS t, coalesce(sum(y), 0) AS hit, count(y) AS said FROM range(5, 96) g(t) LEFT JOIN bk ON b >= t GROUP BY 1),
-f AS (SELECT t, round(CASE WHEN said + (SELECT sum(y) FROM sc) > 0 THEN 2 * hit::DOUBLE / (said + (SELECT sum(y) FROM sc)) ELSE 0 END, 6) AS micro_f1 FROM grid)"""
-query("threshold_grid", GRID + " SELECT t, micro_f1 FROM f")(lambda s, d: metrics.thresholds(scored(s, d)))
-query("best_threshold", GRID + " SELECT t, micro_f1 FROM f ORDER BY micro_f1 DESC, t LIMIT 1")(lambda s, d: metrics.best_threshold(scored(s, d)))
+f AS (SELECT t, CASE WHEN said + (SELECT sum(y) FROM sc) > 0 THEN 2 * hit::DOUBLE / (said + (SELECT sum(y) FROM sc)) ELSE 0 END AS micro_f1 FROM grid)"""
+query("threshold_grid", GRID + " SELECT t, round(micro_f1, 6) AS micro_f1 FROM f")(lambda s, d: metrics.thresholds(scored(s, d)).withColumn("micro_f1", F.round("micro_f1", 6)))
+query("best_threshold", GRID + " SELECT t, round(micro_f1, 6) AS micro_f1 FROM f ORDER BY round(f.micro_f1, 12) DESC, t LIMIT 1")(lambda s, d: metrics.best_threshold(scored(s, d)).withColumn("micro_f1", F.round("micro_f1", 6)))
 query("pair_ap50", SC + """, rk AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY pair_id ORDER BY score DESC, label_index ROWS UNBOUNDED PRECEDING)),
 pp AS (SELECT pair_id, sum(CASE WHEN r <= 50 AND y = 1 THEN tp / r::DOUBLE ELSE 0 END) AS s, sum(y) AS p FROM rk GROUP BY 1)
 SELECT round(avg(CASE WHEN p > 0 THEN s / least(p, 50) ELSE 0 END), 6) AS ap_at_k, count(*) AS n_pairs, count_if(p = 0) AS n_empty FROM pp""")(lambda s, d: metrics.pair_ap(scored(s, d)))
-query("label_ap50", SC + """, rk AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY label_index ORDER BY score DESC, pair_id ROWS UNBOUNDED PRECEDING))
-SELECT label_index, round(coalesce(sum(CASE WHEN y = 1 THEN tp / r::DOUBLE ELSE 0 END) / nullif(sum(y), 0), 0), 6) AS ap FROM rk WHERE r <= 50 GROUP BY 1""")(lambda s, d: metrics.label_ap(scored(s, d)))
+LABEL_AP = """, rk AS (SELECT *, row_number() OVER (PARTITION BY label_index ORDER BY score DESC, pair_id) AS r FROM sc),
+ks AS (SELECT label_index, score, sum(y) AS p, count(*) AS n FROM rk WHERE r <= 50 GROUP BY 1, 2),
+kr AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM ks WINDOW w AS (PARTITION BY label_index ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+la AS (SELECT label_index, coalesce(sum(p * tp / seen::DOUBLE) / nullif(sum(p), 0), 0) AS ap, sum(n)::BIGINT AS kept, sum(p)::BIGINT AS n_pos FROM kr GROUP BY 1)"""
+query("label_ap50", SC + LABEL_AP + " SELECT label_index, round(ap, 6) AS ap, kept, n_pos FROM la")(lambda s, d: metrics.label_ap(scored(s, d)).withColumn("ap", F.round("ap", 6)))
+query("degenerate_labels", SC + LABEL_AP + " SELECT count(*) AS n_labels, count_if(n_pos = kept) AS all_positive, count_if(n_pos = 0) AS all_negative FROM la")(lambda s, d: metrics.degenerate(metrics.label_ap(scored(s, d))))
 query("flat_ap50", SC + """, rk AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (ORDER BY score DESC, pair_id, label_index ROWS UNBOUNDED PRECEDING))
 SELECT round(coalesce(sum(CASE WHEN y = 1 THEN tp / r::DOUBLE ELSE 0 END) / nullif(sum(y), 0), 0), 6) AS ap FROM rk WHERE r <= 50""")(lambda s, d: metrics.flat_ap(scored(s, d)))
 query("agreement", CELLS + """ SELECT count_if(a >= 0.5 AND b >= 0.5) AS both_pos, count_if(a < 0.5 AND b < 0.5) AS both_neg, count_if(a >= 0.5 AND b < 0.5) AS a_only, count_if(a < 0.5 AND b >= 0.5) AS b_only,
@@ -152,7 +224,19 @@ query("topk_jaccard", CELLS + """, rk AS (SELECT pair_id, row_number() OVER (PAR
 j AS (SELECT count_if(ra <= 10 AND rb <= 10)::DOUBLE / count_if(ra <= 10 OR rb <= 10) AS j FROM rk GROUP BY pair_id)
 SELECT round(avg(j), 6) AS mean, round(median(j), 6) AS median, round(stddev_pop(j), 6) AS std, round(min(j), 6) AS least, round(max(j), 6) AS most FROM j""")(lambda s, d: compare.jaccard(cells(s, d)))
 V = "SELECT 'SUP' || lpad(vec_id::VARCHAR, 9, '0') AS entity, embedding::DOUBLE[] AS v FROM embeddings"
-query("vector_checks", "SELECT unnest(['length', 'not_finite', 'zero']) AS \"check\", unnest([(SELECT count(*) FROM embeddings WHERE len(embedding) <> (SELECT mode(len(embedding)) FROM embeddings)), 0, (SELECT count(*) FROM embeddings WHERE list_max(embedding) = 0 AND list_min(embedding) = 0)]) AS n_bad", False)(lambda s, d: vectors.checks(entity_vectors(s, d)))
+BROKEN = "SELECT vec_id, CASE WHEN vec_id % 11 = 1 THEN embedding[2:] WHEN vec_id % 13 = 2 THEN ['nan'::FLOAT] || embedding[2:] WHEN vec_id % 17 = 3 THEN ['inf'::FLOAT] || embedding[2:] WHEN vec_id % 19 = 4 THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS v FROM embeddings"
+
+
+def broken_vectors(v: DataFrame) -> DataFrame:
+    """Some vectors short, some with a value that isn't a number or is infinite, some zero."""
+    i, x = F.col("vec_id"), F.col("embedding")
+    rest = F.slice(x, F.lit(2), F.size(x) - 1)
+    first = lambda a: F.concat(F.array(F.lit(a).cast("float")), rest)
+    return v.select(F.when(i % 11 == 1, rest).when(i % 13 == 2, first("nan")).when(i % 17 == 3, first("inf")).when(i % 19 == 4, F.transform(x, lambda a: F.lit(0).cast("float"))).otherwise(x).alias("v"))
+
+
+query("vector_checks", f"""WITH b AS ({BROKEN}) SELECT 'length' AS "check", count_if(len(v) <> (SELECT mode(len(v)) FROM b)) AS n_bad FROM b UNION ALL SELECT 'not_finite', count_if(len(list_filter(v, lambda x: isnan(x) OR isinf(x))) > 0) FROM b
+UNION ALL SELECT 'zero', count_if(len(list_filter(v, lambda x: x <> 0)) = 0) FROM b""", False)(lambda s, d: vectors.checks(broken_vectors(s.read.parquet(f"{d}/embeddings.parquet"))))
 query("vector_norms", "SELECT round(min(n), 6) AS least, round(median(n), 6) AS median, round(avg(n), 6) AS mean, round(max(n), 6) AS most, round(stddev_pop(n), 6) AS std, count(*) AS n FROM (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)", False)(lambda s, d: vectors.norms(entity_vectors(s, d)))
 query("pair_cosines", f", v AS ({V}) SELECT pair_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM pairs JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2")(lambda s, d: vectors.pair_cosines(prepared(s, d).pairs, entity_vectors(s, d)))
 query("neighbour_sum", f", v AS ({V}), pv AS (SELECT pair_id, list_transform(list_zip(a.v, b.v), lambda x: (x[1] + x[2])::FLOAT::DOUBLE) AS v FROM pairs JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2), lo AS (SELECT label_index, unnest(range(len(v)))::INT AS dim, unnest(v) AS x FROM positives JOIN pv USING (pair_id)) SELECT label_index, dim, round(sum(x), 4) AS value FROM lo GROUP BY 1, 2")(

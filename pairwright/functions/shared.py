@@ -11,24 +11,48 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if found is None and context.getCheckpointDir().isDefined():
         return context.getCheckpointDir().get()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def frame_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return os.path.join(shared_dir(spark), f"frame-{uuid.uuid4().hex}")
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends there."""
-    path = os.path.join(shared_dir(df.sparkSession), f"frame-{uuid.uuid4().hex}")
+    path = frame_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_sums(df: DataFrame, group: str, order: str, sums: dict[str, str], parts: int = 32) -> DataFrame:
+    """Adds running sums (result: column) within each group, by falling `order`, equal values of it once each.
+
+    A group is cut into `parts` ranges of the order, so that a large one isn't a single
+    window: sums within a range, and a row a range for what comes before it.
+    """
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0]
+    part = sum(((F.col(order) < c).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
+    placed = df.withColumn("_range", part)
+    inner = Window.partitionBy(group, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(group, "_range").agg(*[F.sum(c).alias(f"_s_{r}") for r, c in sums.items()])
+    starts = totals.select(group, "_range", *[F.coalesce(F.sum(f"_s_{r}").over(before), F.lit(0)).alias(f"_b_{r}") for r in sums])
+    out = placed.withColumns({r: F.sum(c).over(inner) for r, c in sums.items()}).join(starts, [group, "_range"])
+    return out.withColumns({r: F.col(r) + F.col(f"_b_{r}") for r in sums}).drop("_range", *[f"_b_{r}" for r in sums])
+
+
 def hash32(key: Column, seed: int) -> Column:
     """First 8 hex digits of md5(key:seed) as a number: the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")

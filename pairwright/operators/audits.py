@@ -42,10 +42,16 @@ def id_profile(df: DataFrame, column: str, pattern: str) -> DataFrame:
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    """check, n_bad: keys in one table alone, and rows of a key whose attributes differ (null equals null)."""
-    left = a.select(F.col(key).alias("_k"), F.struct(*attributes).alias("_a"))
-    right = b.select(F.col(key).alias("_j"), F.struct(*attributes).alias("_b"))
-    both = left.join(right, F.col("_k").eqNullSafe(F.col("_j")), "full_outer")
+    """check, n_bad: keys in one table alone, and keys in both whose rows differ (null equals null, order doesn't count, repeats do).
+
+    Rows of a key collapse to how many there are and a sum of their digests before the
+    tables meet, so a hot or null key is a row of either.
+    """
+    def folded(df: DataFrame, name: str) -> DataFrame:
+        digest = F.xxhash64(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in attributes]), {"ignoreNullFields": "false"}))
+        return df.groupBy(F.struct(F.col(key).alias("k")).alias("key")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(digest, 24)).alias("d")).alias(name))
+
+    both = folded(a, "_a").join(folded(b, "_b"), "key", "full_outer")
     s = both.agg(
         F.count_if(F.col("_b").isNull()).alias("first_only"), F.count_if(F.col("_a").isNull()).alias("second_only"),
         F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") != F.col("_b"))).alias("different"),

@@ -70,6 +70,6 @@ def summary(reps: DataFrame) -> DataFrame:
     d = F.round("diff", 9)
     k, n = F.count_if(d <= 0), F.count(F.lit(1))
     return reps.groupBy("metric").agg(
-        F.round(F.avg("diff"), 6).alias("mean"), F.round(F.percentile("diff", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("diff", F.lit(0.975)), 6).alias("high"),
+        *[(F.round(f, 6) + 0.0).alias(c) for c, f in (("mean", F.avg("diff")), ("low", F.percentile("diff", F.lit(0.025))), ("high", F.percentile("diff", F.lit(0.975))))],  # no -0.0
         F.count_if(d > 0).alias("a_ahead"), F.count_if(d < 0).alias("b_ahead"), F.round((k + 1) / (n + 1), 6).alias("p"),
     )

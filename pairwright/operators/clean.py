@@ -24,8 +24,8 @@ def strip_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, missing: nulls and blank values, in one pass."""
-    counts = df.agg(*[F.sum(F.when(F.trim(F.coalesce(c, F.lit(""))) == "", 1).otherwise(0)).cast("long").alias(c) for c in columns])
+    """column, missing: nulls and values of white space alone, in one pass."""
+    counts = df.agg(*[F.sum(F.when(F.coalesce(stripped(c), F.lit("")) == "", 1).otherwise(0)).cast("long").alias(c) for c in columns])
     return counts.unpivot([], columns, "column", "missing")
 
 
@@ -49,7 +49,8 @@ def self_pairs(df: DataFrame) -> DataFrame:
 
 def triples(df: DataFrame) -> DataFrame:
     """Unique (e1, e2, label_id) without self-pairs; of several names the largest."""
-    return canonical(df).where("e1 <> e2").groupBy("e1", "e2", "label_id").agg(F.max("label_name").alias("label_name"))
+    ends = df.select(F.least("entity_1", "entity_2").alias("e1"), F.greatest("entity_1", "entity_2").alias("e2"), "label_id", "label_name")
+    return ends.where("e1 <> e2").groupBy("e1", "e2", "label_id").agg(F.max("label_name").alias("label_name"))  # repeated rows collapse here too
 
 
 def frequency(t: DataFrame) -> DataFrame:

@@ -38,3 +38,34 @@ def label_wins(a: DataFrame, b: DataFrame) -> DataFrame:
     long = lambda d, v: d.unpivot(["label_index"], ["auroc", "auprc", "f1"], "metric", v)
     both = long(a, "va").join(long(b, "vb"), ["label_index", "metric"]).where("va IS NOT NULL AND vb IS NOT NULL")
     return both.groupBy("metric", winner(F.col("va"), F.col("vb")).alias("winner")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
+    """label_index and, for auroc, auprc and f1, the values of both, their difference and winner (null where one is undefined). Each label of `a` must be in `b` once."""
+    from .checks import whole_join
+
+    names = ["auroc", "auprc", "f1"]
+    both = whole_join(a.select("label_index", *[F.col(m).alias(f"a_{m}") for m in names]), b.select("label_index", *[F.col(m).alias(f"b_{m}") for m in names]), ["label_index"])
+    for m in names:
+        x, y = F.col(f"a_{m}"), F.col(f"b_{m}")
+        both = both.withColumn(f"{m}_diff", F.round(x - y, 6) + 0.0).withColumn(f"{m}_winner", F.when((x - y).isNotNull(), winner(x, y)))
+    return both
+
+
+def document(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row, one JSON text: each part's rows as a list, in the order of their JSON. Parts are reports of a few rows."""
+    lists = [d.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}))).alias(k)) for k, d in parts.items()]
+    one = lists[0]
+    for d in lists[1:]:
+        one = one.crossJoin(d)  # one row each
+    return one.select(F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":['), F.array_join(k, ","), F.lit("]")) for k in parts]), F.lit("}")).alias("document"))
+
+
+def renamed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: rows (id, name, p) of two name sources, how many names differ, and how the scores do: mean change, flipped at 0.5, changed by more than 0.1."""
+    both = before.select("id", F.col("name").alias("n0"), F.col("p").alias("p0")).join(after.select("id", F.col("name").alias("n1"), F.col("p").alias("p1")), "id")
+    d = F.abs(F.col("p0") - F.col("p1"))
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("n0").eqNullSafe(F.col("n1"))).alias("renamed"), F.round(F.avg(d), 6).alias("mean_change"),
+        F.count_if((F.col("p0") >= 0.5) != (F.col("p1") >= 0.5)).alias("flipped"), F.count_if(d > 0.1).alias("changed"),
+    )

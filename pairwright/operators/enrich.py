@@ -134,3 +134,14 @@ def duplicate_groups(rows: DataFrame, key: str, attributes: list[str]) -> DataFr
     """attribute, value, n, first, last of values that several rows share; nulls don't count."""
     long = rows.select(key, *[F.col(a).cast("string") for a in attributes]).unpivot([key], attributes, "attribute", "value").where("value IS NOT NULL")
     return long.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).where("n > 1")
+
+
+def semantic_types(found: Column) -> Column:
+    """Distinct trimmed names without blanks, sorted; null gives none."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(found, _none()), lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def synonyms(body: Column) -> Column:
+    """The synonym list of a compound response; empty where it is absent or malformed."""
+    parsed = F.from_json(body, "InformationList struct<Information: array<struct<CID: bigint, Synonym: array<string>>>>")
+    return F.coalesce(F.get(parsed["InformationList"]["Information"], F.lit(0))["Synonym"], _none())

@@ -34,3 +34,29 @@ def extremes(history: DataFrame) -> DataFrame:
         F.min_by("epoch", F.struct("metric", "epoch")).cast("long").alias("worst_epoch"),
         F.max("epoch").cast("long").alias("last_epoch"),
     )
+
+
+def rounded(rows: DataFrame, metrics: list[str], rate: str | None = None) -> DataFrame:
+    """History rows with metrics to 6 decimals and the learning rate to 8."""
+    digits = {**{m: 6 for m in metrics}, **({rate: 8} if rate else {})}
+    return rows.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in rows.columns])
+
+
+def sweep(runs: DataFrame, metric: str) -> DataFrame:
+    """One row over runs of several seeds: how many, mean, population deviation, least and most."""
+    return runs.agg(F.count(metric).alias("n_runs"), *[F.round(f(metric), 6).alias(k) for k, f in {"mean": F.avg, "std": F.stddev_pop, "least": F.min, "most": F.max}.items()])
+
+
+def z_scores(values: DataFrame, targets: DataFrame) -> DataFrame:
+    """metric, value, z: distance to the target's mean in its deviations; null without a target or with a deviation of 0."""
+    return values.join(targets.select("metric", F.col("mean").alias("_m"), F.col("std").alias("_s")), "metric", "left").select("metric", "value", F.round((F.col("value") - F.col("_m")) / F.nullif("_s", F.lit(0.0)), 6).alias("z"))
+
+
+def verdict(z, near: float = 1.0, far: float = 2.0):
+    """'matches' within `near` deviations, 'close' within `far`, else 'differs'; 'undefined' for null."""
+    return F.when(z.isNull(), "undefined").when(F.abs(z) <= near, "matches").when(F.abs(z) <= far, "close").otherwise("differs")
+
+
+def beside_training(metrics: DataFrame, history: DataFrame) -> DataFrame:
+    """Rows (run, epoch, ...) of many scorers on the same edges beside the training history of their epoch, which may lack some."""
+    return metrics.join(history, ["run", "epoch"], "left")

@@ -1,7 +1,7 @@
 """Losses, weights and probabilities as column expressions."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,9 @@ def log_sum_exp(xs: Column) -> Column:
 def yes_share(yes: Column, no: Column) -> Column:
     """Softmax share of the first of two groups of logits."""
     return sigmoid(log_sum_exp(yes) - log_sum_exp(no))
+
+
+def mean_losses(rows: DataFrame) -> DataFrame:
+    """weighted, of_batches: mean loss over all rows (batch, loss), and the mean of the batches' means, which differ where batches do in size."""
+    b = rows.groupBy("batch").agg(F.avg("loss").alias("l"), F.count("loss").alias("n"))
+    return b.agg(F.round(F.sum(F.col("l") * F.col("n")) / F.sum("n"), 6).alias("weighted"), F.round(F.avg("l"), 6).alias("of_batches"))

@@ -100,8 +100,10 @@ UNION ALL SELECT p_partkey, 'name', CASE WHEN p_size <= 5 THEN 'SMILES:' || p_br
 query("key_batches", "SELECT (r // 100)::BIGINT AS batch, string_agg(k::VARCHAR, ',' ORDER BY k) AS keys, count(*)::BIGINT AS n FROM (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer) GROUP BY 1", False)(
     lambda s, d: artifacts.batches(_table(s, d, "customer"), "c_custkey", 100).select("batch", F.concat_ws(",", F.transform("keys", lambda k: k.cast("string"))).alias("keys"), F.size("keys").cast("long").alias("n"))
 )
-query("table_fingerprint", "SELECT count(*) AS n_rows, sum(('0x' || substr(md5(n_nationkey || '|' || n_name || '|' || n_regionkey), 1, 8))::BIGINT)::BIGINT AS digest FROM nation", False)(
-    lambda s, d: artifacts.fingerprint(_table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+FINGERPRINTED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+FIELDS = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in FINGERPRINTED)
+query("table_fingerprint", f"SELECT count(*) AS n_rows, sum(('0x' || substr(md5({FIELDS}), 1, 8))::BIGINT)::BIGINT AS digest FROM orders", False)(
+    lambda s, d: artifacts.fingerprint(_table(s, d, "orders").select(FINGERPRINTED))
 )
 query("keys_to_fetch", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)", False)(
     lambda s, d: artifacts.to_fetch(_table(s, d, "orders"), _table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") >= 0, "ok").otherwise("failed").alias("status")), "o_custkey")

@@ -21,8 +21,14 @@ count_if(trim(p_brand) <> '' AND NOT regexp_matches(p_brand, '^Brand#([0-9]{2})$
 min(try_cast(regexp_extract(p_brand, '^Brand#([0-9]{2})$', 1) AS BIGINT)) AS least, max(try_cast(regexp_extract(p_brand, '^Brand#([0-9]{2})$', 1) AS BIGINT)) AS most FROM part""", False)(
     lambda s, d: audits.id_profile(_table(s, d, "part"), "p_brand", "^Brand#([0-9]{2})$")
 )
-query("aligned_tables", """SELECT unnest(['first_only', 'second_only', 'different']) AS "check", unnest([count_if(o_orderkey % 10 = 0), 0, count_if(o_orderkey % 10 <> 0 AND o_orderstatus = 'O')]) AS n_bad FROM orders""", False)(
-    lambda s, d: (lambda o: audits.aligned(o, o.where("o_orderkey % 10 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus"))), "o_orderkey", ["o_orderstatus", "o_custkey"]))(_table(s, d, "orders"))
+def other_orders(o: DataFrame) -> DataFrame:
+    """Orders without every tenth, with null for the status O, and every 21st twice."""
+    some = o.where("o_orderkey % 10 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")))
+    return some.unionByName(some.where("o_orderkey % 21 = 1"))
+
+
+query("aligned_tables", """SELECT unnest(['first_only', 'second_only', 'different']) AS "check", unnest([count_if(o_orderkey % 10 = 0), 0, count_if(o_orderkey % 10 <> 0 AND (o_orderstatus = 'O' OR o_orderkey % 21 = 1))]) AS n_bad FROM orders""", False)(
+    lambda s, d: (lambda o: audits.aligned(o, other_orders(o), "o_orderkey", ["o_orderstatus", "o_custkey"]))(_table(s, d, "orders"))
 )
 query("link_contract", LINKS + """, sh AS (SELECT avg((role = 'val')::INT) AS v, avg((role = 'test')::INT) AS t FROM links)
 SELECT 'val_share' AS "check", (NOT (v > 0.05 AND v < 0.15))::BIGINT AS n_bad FROM sh UNION ALL SELECT 'test_share', (NOT (t > 0.05 AND t < 0.15))::BIGINT FROM sh
@@ -77,12 +83,14 @@ lab AS (SELECT s, label_index, round(CASE WHEN P1 > 0 AND A1 > P1 THEN 1 - above
 gl AS (SELECT s, score, sum(p) AS p, sum(n) AS n FROM steps GROUP BY 1, 2), gr AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM gl WINDOW w AS (PARTITION BY s ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 rp AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY s, pair_id ORDER BY score DESC, label_index ROWS UNBOUNDED PRECEDING)),
 pp AS (SELECT s, sum(CASE WHEN r <= 50 AND y = 1 THEN tp / r::DOUBLE ELSE 0 END) / least(nullif(sum(y), 0), 50) AS ap FROM rp GROUP BY s, pair_id),
-rl AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY s, label_index ORDER BY score DESC, pair_id ROWS UNBOUNDED PRECEDING)),
-pl AS (SELECT s, label_index, round(coalesce(sum(CASE WHEN y = 1 THEN tp / r::DOUBLE ELSE 0 END) / nullif(sum(y), 0), 0), 6) AS ap FROM rl WHERE r <= 50 GROUP BY 1, 2),
+rl AS (SELECT *, row_number() OVER (PARTITION BY s, label_index ORDER BY score DESC, pair_id) AS r FROM sc),
+ks AS (SELECT s, label_index, score, sum(y) AS p, count(*) AS n FROM rl WHERE r <= 50 GROUP BY 1, 2, 3),
+kr AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM ks WINDOW w AS (PARTITION BY s, label_index ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+pl AS (SELECT s, label_index, coalesce(sum(p * tp / seen::DOUBLE) / nullif(sum(p), 0), 0) AS ap FROM kr GROUP BY 1, 2),
 rf AS (SELECT *, row_number() OVER w AS r, sum(y) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY s ORDER BY score DESC, pair_id, label_index ROWS UNBOUNDED PRECEDING)),
 al AS (SELECT s, 'macro_auroc' AS metric, round(avg(auroc), 6) AS v FROM lab GROUP BY 1 UNION ALL SELECT s, 'macro_auprc', round(avg(auprc), 6) FROM lab GROUP BY 1 UNION ALL SELECT s, 'macro_f1', round(avg(f1), 6) FROM lab GROUP BY 1
 UNION ALL SELECT s, 'micro_f1', round(2 * sum(hit)::DOUBLE / sum(said + P1), 6) FROM lab GROUP BY 1 UNION ALL SELECT s, 'micro_auprc', round(sum(p * tp / seen::DOUBLE) / sum(p), 6) FROM gr GROUP BY 1
-UNION ALL SELECT s, 'pair_ap', round(avg(coalesce(ap, 0)), 6) FROM pp GROUP BY 1 UNION ALL SELECT s, 'label_ap', round(avg(ap), 5) FROM pl GROUP BY 1
+UNION ALL SELECT s, 'pair_ap', round(avg(coalesce(ap, 0)), 6) FROM pp GROUP BY 1 UNION ALL SELECT s, 'label_ap', round(avg(ap), 6) FROM pl GROUP BY 1
 UNION ALL SELECT s, 'flat_ap', round(coalesce(sum(CASE WHEN y = 1 THEN tp / r::DOUBLE ELSE 0 END) / nullif(sum(y), 0), 0), 6) FROM rf WHERE r <= 50 GROUP BY 1),
 pv AS (SELECT metric, max(v) FILTER (s = 'a') AS a, max(v) FILTER (s = 'b') AS b FROM al GROUP BY 1)"""
 query("evaluation_row", TWO + " SELECT metric, a AS value FROM pv")(lambda s, d: reports.aggregates(scored(s, d)))
@@ -94,11 +102,16 @@ query("robustness", CELLS + " SELECT round(avg(abs(a - b)), 6) AS mean_change, r
 
 
 def symmetry(s: SparkSession, d: str) -> DataFrame:
-    """Largest difference between a pair's vector and that of the pair turned round."""
+    """Largest difference between a pair's vector and that of the pair turned round, for the sum and, to see one, for the difference of both ends."""
     pairs, v = prepared(s, d).pairs, entity_vectors(s, d)
-    turned = vectors.pair_vectors(pairs.select("pair_id", F.col("e2").alias("e1"), F.col("e1").alias("e2")), v).withColumnRenamed("v", "w")
-    gap = F.array_max(F.zip_with("v", "w", lambda x, y: F.abs(x - y).cast("double")))
-    return vectors.pair_vectors(pairs, v).join(turned, "pair_id").agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("largest"))
+    both = vectors.both_ends(pairs, v)
+    gap = lambda f: F.max(F.array_max(F.zip_with(f(F.col("va"), F.col("vb")), f(F.col("vb"), F.col("va")), lambda x, y: F.abs(x - y))))
+    add, take = (lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("double") + y)), (lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("double") - y))
+    even = vectors.order_free(take, F.col("va"), F.col("vb"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.round(gap(add), 6).alias("sum_gap"), F.round(gap(take), 6).alias("difference_gap"), F.round(F.max(F.array_max(F.transform(even, F.abs))), 6).alias("order_free"))
 
 
-query("pair_symmetry", f", v AS ({V}) SELECT count(*) AS n, 0.0::DOUBLE AS largest FROM pairs JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2")(symmetry)
+query("pair_symmetry", f""", v AS ({V}), j AS (SELECT a.v AS va, b.v AS vb FROM pairs JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2),
+g AS (SELECT list_max(list_transform(list_zip(va, vb), lambda x: abs((x[1] + x[2]) - (x[2] + x[1])))) AS s, list_max(list_transform(list_zip(va, vb), lambda x: abs(2 * (x[1] - x[2])))) AS t,
+list_max(list_transform(list_zip(va, vb), lambda x: abs(((x[1] - x[2]) + (x[2] - x[1])) / 2))) AS u FROM j)
+SELECT count(*) AS n, round(max(s), 6) AS sum_gap, round(max(t), 6) AS difference_gap, round(max(u), 6) AS order_free FROM g""")(symmetry)

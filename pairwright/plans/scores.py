@@ -58,7 +58,7 @@ r AS (SELECT row_number() OVER (ORDER BY a DESC, pair_id) AS ra, row_number() OV
 query("evenly_spaced", "SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS r, count(*) OVER () AS n FROM customer) WHERE r IN (SELECT i * (n - 1) // 14 FROM range(15) t(i))", False)(
     lambda s, d: ranks.evenly_spaced(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name"), "c_custkey", 15)
 )
-REPS = 20
+REPS = 500
 query("paired_bootstrap", CELLS + f""", tn AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS r, count(*) OVER () AS n FROM pd),
 ws AS (SELECT rep, t.pair_id, count(*) AS w FROM (SELECT rep, ('0x' || substr(md5((rep * n + r)::VARCHAR || ':13'), 1, 12))::BIGINT % n AS r FROM tn CROSS JOIN range({REPS}) g(rep)) JOIN tn t USING (r) GROUP BY 1, 2),
 lo AS (SELECT pair_id, label_index, y, 'a' AS s, a AS score FROM cells UNION ALL SELECT pair_id, label_index, y, 'b', b FROM cells),
@@ -70,10 +70,17 @@ rn AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM st WINDOW w AS
 la AS (SELECT rep, s, label_index, sum(p * tp::DOUBLE / seen) / sum(p) AS v FROM rn GROUP BY 1, 2, 3 HAVING sum(p) > 0), ma AS (SELECT rep, s, avg(v) AS v FROM la GROUP BY 1, 2),
 al AS (SELECT rep, s, 'micro_f1' AS metric, f1 AS v FROM fl UNION ALL SELECT rep, s, 'ap_at_k', ap FROM fl UNION ALL SELECT rep, s, 'macro_auprc', v FROM ma),
 df AS (SELECT rep, metric, max(v) FILTER (s = 'a') - max(v) FILTER (s = 'b') AS d FROM al GROUP BY 1, 2)
-SELECT metric, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count_if(round(d, 9) > 0) AS a_ahead, count_if(round(d, 9) < 0) AS b_ahead, round((count_if(round(d, 9) <= 0) + 1) / (count(*) + 1), 6) AS p FROM df GROUP BY 1""")(
+SELECT metric, round(avg(d), 6) + 0.0::DOUBLE AS mean, round(quantile_cont(d, 0.025), 6) + 0.0::DOUBLE AS low, round(quantile_cont(d, 0.975), 6) + 0.0::DOUBLE AS high, count_if(round(d, 9) > 0) AS a_ahead, count_if(round(d, 9) < 0) AS b_ahead, round((count_if(round(d, 9) <= 0) + 1) / (count(*) + 1), 6) AS p FROM df GROUP BY 1""")(
     lambda s, d: bootstrap.summary(bootstrap.paired(cells(s, d), REPS))
 )
-query("label_wins")(lambda s, d: (lambda c: compare.label_wins(*[metrics.per_label(c.select("pair_id", "label_index", "y", F.col(x).alias("score"))) for x in "ab"]))(cells(s, d)))
+WINS = CELLS + """, sc AS (SELECT 'a' AS s, label_index, y, a AS score FROM cells UNION ALL SELECT 'b', label_index, y, b FROM cells),
+steps AS (SELECT s, label_index, score, sum(y) AS p, count(*) AS n FROM sc GROUP BY 1, 2, 3),
+run AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM steps WINDOW w AS (PARTITION BY s, label_index ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ag AS (SELECT s, label_index, sum(p) AS P1, sum(n) AS A1, sum(p * tp / seen::DOUBLE) AS ap, sum(p * ((seen - tp) - (n - p) / 2.0::DOUBLE)) AS above, sum(CASE WHEN score >= 0.5 THEN p ELSE 0 END) AS hit, sum(CASE WHEN score >= 0.5 THEN n ELSE 0 END) AS said FROM run GROUP BY 1, 2),
+lm AS (SELECT s, label_index, unnest(['auroc', 'auprc', 'f1']) AS metric, unnest([round(CASE WHEN P1 > 0 AND A1 > P1 THEN 1 - above / (P1 * (A1 - P1))::DOUBLE END, 6), round(CASE WHEN P1 > 0 THEN ap / P1 END, 6), round(CASE WHEN said + P1 > 0 THEN 2 * hit::DOUBLE / (said + P1) END, 6)]) AS v FROM ag),
+pv AS (SELECT label_index, metric, max(v) FILTER (s = 'a') AS va, max(v) FILTER (s = 'b') AS vb FROM lm GROUP BY 1, 2),
+pw AS (SELECT *, CASE WHEN va - vb > 1e-12 THEN 'a' WHEN va - vb < -1e-12 THEN 'b' ELSE 'tie' END AS winner FROM pv WHERE va IS NOT NULL AND vb IS NOT NULL)"""
+query("label_wins", WINS + " SELECT metric, winner, count(*) AS n FROM pw GROUP BY 1, 2")(lambda s, d: (lambda c: compare.label_wins(*[metrics.per_label(c.select("pair_id", "label_index", "y", F.col(x).alias("score"))) for x in "ab"]))(cells(s, d)))
 
 
 def daily(s: SparkSession, d: str) -> DataFrame:

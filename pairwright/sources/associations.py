@@ -32,16 +32,35 @@ def raw_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True).csv(path)
 
 
-ASSOC_SQL = """assoc AS (
+def typed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header and types read off its values."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def id_list(spark: SparkSession, path: str) -> DataFrame:
+    """id: a text file of an id a line, without blank lines."""
+    return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")
+
+
+def write_scored(cells: DataFrame, path: str, model: str) -> None:
+    """Scored cells (pair_id, label_index, y, score) of a model, as its partition of the table."""
+    cells.withColumn("model", F.lit(model)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
+
+
+def read_scored(spark: SparkSession, path: str, model: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("model") == model).drop("model")
+
+
+ASSOC_SQL = """assoc AS MATERIALIZED (
   SELECT 'SUP' || lpad(a.l_suppkey::VARCHAR, 9, '0') AS entity_1, 'SUP' || lpad(b.l_suppkey::VARCHAR, 9, '0') AS entity_2,
          'C' || lpad((c_nationkey * 10 + substr(o_orderpriority, 1, 1)::INT)::VARCHAR, 7, '0') AS label_id, n_name || ' ' || o_orderpriority AS label_name
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
   JOIN orders ON a.l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-triples AS (SELECT least(entity_1, entity_2) AS e1, greatest(entity_1, entity_2) AS e2, label_id, max(label_name) AS label_name
+triples AS MATERIALIZED (SELECT least(entity_1, entity_2) AS e1, greatest(entity_1, entity_2) AS e2, label_id, max(label_name) AS label_name
   FROM (SELECT DISTINCT * FROM assoc) WHERE entity_1 <> entity_2 GROUP BY 1, 2, 3),
-freq AS (SELECT label_id, max(label_name) AS label_name, count(*) AS n FROM triples GROUP BY 1),
-kept AS (SELECT *, row_number() OVER (ORDER BY label_id) - 1 AS label_index FROM freq WHERE n >= (SELECT avg(n) FROM freq)),
-pairs AS (SELECT e1, e2, row_number() OVER (ORDER BY e1, e2) - 1 AS pair_id FROM (SELECT DISTINCT e1, e2 FROM triples WHERE label_id IN (SELECT label_id FROM kept))),
-positives AS (SELECT pair_id, label_index FROM triples JOIN kept USING (label_id) JOIN pairs USING (e1, e2)),
+freq AS MATERIALIZED (SELECT label_id, max(label_name) AS label_name, count(*) AS n FROM triples GROUP BY 1),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY label_id) - 1 AS label_index FROM freq WHERE n >= (SELECT avg(n) FROM freq)),
+pairs AS MATERIALIZED (SELECT e1, e2, row_number() OVER (ORDER BY e1, e2) - 1 AS pair_id FROM (SELECT DISTINCT e1, e2 FROM triples WHERE label_id IN (SELECT label_id FROM kept))),
+positives AS MATERIALIZED (SELECT pair_id, label_index FROM triples JOIN kept USING (label_id) JOIN pairs USING (e1, e2)),
 ranked AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(pair_id::VARCHAR || ':42'), 1, 8))::BIGINT, pair_id) - 1 AS r, count(*) OVER () AS n FROM pairs),
-splits AS (SELECT pair_id, e1, e2, CASE WHEN r < n - 2 * round_even(0.1 * n, 0) THEN 'train' WHEN r < n - round_even(0.1 * n, 0) THEN 'val' ELSE 'test' END AS split FROM ranked)"""
+splits AS MATERIALIZED (SELECT pair_id, e1, e2, CASE WHEN r < n - 2 * round_even(0.1 * n, 0) THEN 'train' WHEN r < n - round_even(0.1 * n, 0) THEN 'val' ELSE 'test' END AS split FROM ranked)"""

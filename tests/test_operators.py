@@ -64,19 +64,59 @@ def cells(spark, rows):
     return spark.createDataFrame(rows, "pair_id int, label_index int, y int, score double")
 
 
-def test_pair_ap(spark):
-    one = [(0, i, y, s) for i, (y, s) in enumerate(zip([1, 0, 1, 0, 0], [0.9, 0.8, 0.7, 0.6, 0.5]))]
-    assert metrics.pair_ap(cells(spark, one)).first().ap_at_k == round(5 / 6, 6)
-    both = one + [(1, i, 0, 0.1) for i in range(5)]
-    assert metrics.pair_ap(cells(spark, both)).first().ap_at_k == round(5 / 12, 6)
-
-
-def test_label_ap_and_degenerate(spark):
-    rows = [(i, 0, y, s) for i, (y, s) in enumerate(zip([1, 0, 1, 0], [0.9, 0.8, 0.3, 0.1]))] + [(i, 1, 1, 0.5) for i in range(4)] + [(i, 2, 0, 0.5) for i in range(4)]
-    got = {r.label_index: r.ap for r in metrics.label_ap(cells(spark, rows), 3).collect()}
-    assert got == {0: round(5 / 6, 6), 1: 1.0, 2: 0.0}
-    lab = {r.label_index: r for r in metrics.per_label(cells(spark, rows)).collect()}
-    assert lab[1].auroc is None and lab[2].auroc is None and lab[2].auprc is None and lab[0].auroc == 0.75
+def step_ap(rows):
+    """Average precision of (y, score), equal scores as one step; None without positives."""
+    total, tp, seen, ap = sum(y for y, _ in rows), 0, 0, 0.0
+    for s in sorted({s for _, s in rows}, reverse=True):
+        here = [y for y, t in rows if t == s]
+        tp, seen = tp + sum(here), seen + len(here)
+        ap += sum(here) * tp / seen
+    return ap / total if total else None
+
+
+def random_cells(seed, pairs=40, labels=6):
+    """Scores of few values, so that most are tied; the last label has no positive, the one before no negative."""
+    rng = random.Random(seed)
+    return [(i, j, {labels - 1: 0, labels - 2: 1}.get(j, int(rng.random() < 0.3)), rng.randint(0, 7) / 8) for i in range(pairs) for j in range(labels)]
+
+
+def test_pair_ap_against_brute_force(spark):
+    rows, k, total = [r for r in random_cells(1) if r[0] % 9 or not r[2]], 4, 0.0
+    pairs = {r[0] for r in rows}
+    for i in pairs:
+        mine = sorted((-s, j, y) for p, j, y, s in rows if p == i)
+        hits = [sum(y for *_, y in mine[:r]) / r for r in range(1, min(k, len(mine)) + 1) if mine[r - 1][2]]
+        total += sum(hits) / min(k, sum(m[2] for m in mine)) if any(m[2] for m in mine) else 0.0
+    got = metrics.pair_ap(cells(spark, rows), k).first()
+    assert (got.ap_at_k, got.n_pairs) == (round(total / len(pairs), 6), len(pairs))
+
+
+def test_label_ap_on_ties_against_brute_force(spark):
+    for seed in range(3):
+        rows = random_cells(seed)
+        for k in (1, 5, 13, 100):
+            got = {r.label_index: r for r in metrics.label_ap(cells(spark, rows), k).collect()}
+            full = none = 0
+            for j in range(6):
+                top = [(y, s) for s, _, y in sorted(((s, i, y) for i, l, y, s in rows if l == j), key=lambda t: (-t[0], t[1]))[:k]]
+                want = step_ap(top)
+                assert abs(got[j].ap - (want or 0.0)) < 1e-12 and (got[j].kept, got[j].n_pos) == (len(top), sum(y for y, _ in top))
+                full += all(y for y, _ in top)
+                none += not any(y for y, _ in top)
+            counts = metrics.degenerate(metrics.label_ap(cells(spark, rows), k)).first()
+            assert (counts.n_labels, counts.all_positive, counts.all_negative) == (6, full, none)
+
+
+def test_label_metrics_against_brute_force(spark):
+    rows = random_cells(5, pairs=300)
+    got = {r.label_index: r for r in metrics.per_label(cells(spark, rows)).collect()}
+    for j in range(6):
+        mine = [(y, s) for _, l, y, s in rows if l == j]
+        pos, neg = [s for y, s in mine if y], [s for y, s in mine if not y]
+        auroc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if pos and neg else None
+        want = [auroc, step_ap(mine)]
+        for g, w in zip((got[j].auroc, got[j].auprc), want):
+            assert (g is None) == (w is None) and (w is None or abs(g - w) < 1e-6)
 
 
 def test_micro_against_brute_force(spark):
@@ -96,3 +136,14 @@ def test_scorer_against_itself(spark):
     assert compare.jaccard(df, 3).first()["mean"] == 1.0
     assert compare.agreement(df).first()["agree_pct"] == 100.0
     assert compare.pearson(df).first()["pearson"] == 1.0
+
+
+def test_best_threshold_of_near_ties(spark):
+    rows = [(0, j, y, s) for j, (y, s) in enumerate([(1, 0.9), (1, 0.62), (0, 0.61), (0, 0.2)])]
+    assert metrics.best_threshold(cells(spark, rows)).first().t == 62
+    assert metrics.best_threshold(cells(spark, [(0, j, 1, 0.95) for j in range(3)])).first().t == 5  # all alike: the smallest
+
+
+def test_white_space_counts_as_missing(spark):
+    df = assoc(spark, [("\t", "\u00a0", "\n ", "x"), (None, "", "L", "y")])
+    assert {r["column"]: r.missing for r in clean.missing_counts(df, clean.KEYS).collect()} == {"entity_1": 2, "entity_2": 2, "label_id": 1, "label_name": 0}
