@@ -27,7 +27,7 @@ LIST_SIZE, SLICE = 256, 4096
 #: A vector is posted to lists within this ratio of its nearest centroid's distance, at most so many.
 POST_RATIO, POST_MOST = 1.10, 4
 #: A query reads lists within this ratio, at least so many, and at most one of READ_SHARE.
-READ_RATIO, READ_LEAST, READ_SHARE = 1.35, 64, 4
+READ_RATIO, READ_LEAST, READ_SHARE = 1.5, 64, 4
 #: Column that marks queries.
 ASKED = "_asked"
 #: Neighbours of a centroid in the graph, and how many candidates a walk keeps.
