@@ -3,8 +3,9 @@
 A chunk is a run of white space with the run of other characters after it. Both
 vocabularies split a text between a character that is not white space and a blank or
 newline that follows it, and no rule of theirs looks over that border to the left,
-so the ids of a text are the ids of its chunks, one after the other. A last mark
-after a Latin letter is a piece of its own in either vocabulary and so a chunk too.
+so the ids of a text are the ids of its chunks, one after the other. The marks that
+end a run after a Latin letter are a piece of their own in either vocabulary and so a
+chunk too.
 
 Borders are found on the bytes of a batch, Arrow numbers its distinct chunks, a
 library encodes those a worker hasn't met, and numpy gathers the ids of all.
@@ -30,7 +31,9 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[10, 32]] = True
 _MARK = np.zeros(256, bool)
-_MARK[list(b".,;:!?")] = True
+_MARK[list(b".,;:!?\"#$%&()*+-/=@[\\]^_`{}~")] = True  # without those of contractions and special tokens
+#: Most marks that are cut off the end of a chunk; more stay with it.
+MARKS = 16
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 # first two bytes of characters among which are white-space ones: no border is set after any of these
@@ -50,9 +53,15 @@ def borders(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             found = np.delete(found, wide[(two == 0xC2) | _WIDE[three.astype(np.int64) << 8 | two]])
         cut[found] = True
     cut[at] = True
-    last = np.flatnonzero(cut)[1:] - 1  # last bytes of chunks
+    last = np.flatnonzero(cut)[1:] - 1  # last bytes of chunks, moved to the first of the marks that end them
     last = last[_MARK[data[last]]]
     last = last[~cut[last]]
+    for _ in range(MARKS):
+        more = np.flatnonzero(_MARK[data[last - 1]])
+        if not len(more):
+            break
+        last[more] -= 1
+        last = np.delete(last, more[cut[last[more]]])
     one, two = data[last - 1], data[np.maximum(last - 2, 0)]
     # U+00C0 to U+017F but for the signs of multiplication and division and the dotted capital I
     latin = ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)) | ((two == 0xC4) & (one >= 0x80) & (one != 0xB0)) | ((two == 0xC5) & (one >= 0x80))
@@ -107,8 +116,16 @@ class IdStore:
 class ChunkEncoder:
     """Whole texts to ids. `encode` turns a list of distinct chunks into as many bytes objects, four bytes to an id."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
-        self.store = IdStore(encode)
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], drops_space: bool = False):
+        self.store, self.drops_space = IdStore(encode), drops_space
+
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each of some distinct chunks. Where white space is dropped, chunks go by their bare words, ASCII in lower case."""
+        if not self.drops_space:
+            return self.store.numbers(distinct.to_pylist())
+        bare = pc.utf8_trim(distinct, " \n")
+        words = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare).dictionary_encode()
+        return self.store.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
 
     def __call__(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For some texts after some: their number, their ids one after the other, and where each begins (one more: the end).
@@ -128,7 +145,7 @@ class ChunkEncoder:
     def _some(self, data: np.ndarray, at: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         cuts = borders(data, at)
         dealt = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
-        codes = self.store.numbers(dealt.dictionary.to_pylist())[dealt.indices.to_numpy()] if len(dealt) else np.zeros(0, np.int64)
+        codes = self._numbers(dealt.dictionary)[dealt.indices.to_numpy()] if len(dealt) else np.zeros(0, np.int64)
         of_text = np.searchsorted(cuts, at)
         if end is not None:
             self.store.flat[0], self.store.size[0] = end, 1
@@ -171,11 +188,7 @@ def library_encoder(file: str) -> ChunkEncoder:
             return word.isascii() or (max(word) < "ɐ" and "İ" not in word)
 
         def encode(chunks: list[str]) -> Iterable[bytes]:
-            if not drops_space:
-                return map(distinct(chunks).__getitem__, chunks)
-            bare = [c.strip(" \n") for c in chunks]
-            bare = [c.lower() if c.isascii() else c for c in bare]
-            return map(distinct(list(set(bare))).__getitem__, bare)
+            return map(distinct(chunks).__getitem__, chunks)
 
         def distinct(chunks: list[str]) -> dict[str, bytes]:
             # a chunk of Latin letters is one word to the library, so many go into a call and are told apart by the tokens that end or begin a word
@@ -197,5 +210,5 @@ def library_encoder(file: str) -> ChunkEncoder:
                     found.update(zip(run, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
             return found
 
-        _ENCODERS[file] = ChunkEncoder(encode)
+        _ENCODERS[file] = ChunkEncoder(encode, drops_space)
     return _ENCODERS[file]

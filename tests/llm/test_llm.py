@@ -4,10 +4,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.llm import op1_wavelet, op2_chat, op3_secrets, op4_bpe, op5_ann, op6_exact, op7_toxicity, op8_sharding, op9_simhash, op10_packing
+from pairwright.llm import chunks, op1_wavelet, op2_chat, op3_secrets, op4_bpe, op5_ann, op6_exact, op7_toxicity, op8_sharding, op9_simhash, op10_packing
 from pairwright.llm.common import shared_path
 
 P = pytest.importorskip("public_tokenizers")
@@ -34,6 +35,18 @@ def test_empty_table(spark, call):
     assert call(docs(spark, [])).count() == 0
 
 
+def test_chunks_of_mixed_marks():
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    alphabet = [*"abÉzİАñ中 \n\t.,;:!?\"#$%&()*+-/=@[\\]^_`{}~'<|>09\u0338\u0301\u2003\x85", "<|endoftext|>", "word", "'s", "###", "&&& ", " The", "-" * 30]
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 30))) for _ in range(5000)] + ["", "#", "a#", "é#", "x" + "=" * 100_000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t = Tokenizer.from_file(P.path(name))
+        got = chunks.library_encoder(P.path(name)).lists(pa.array(texts))
+        assert got == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     n = 3 * op1_wavelet.BLOCK + 77
