@@ -156,11 +156,16 @@ UNION ALL SELECT 'repeated', count(*) FROM (SELECT 1 FROM q GROUP BY pair_id, la
 UNION ALL SELECT 'frequency', count(*) FROM kept LEFT JOIN (SELECT label_index, count(*) AS m FROM q GROUP BY 1) USING (label_index) WHERE n IS DISTINCT FROM m""")(lambda s, d: clean.label_checks(broken_positives(prepared(s, d))))
 query(
     "audit",
-    """, per AS (SELECT pair_id, count(*) AS k FROM positives GROUP BY 1)
-SELECT 'raw_rows' AS metric, count(*)::DOUBLE AS value FROM assoc UNION ALL SELECT 'distinct_rows', count(*)::DOUBLE FROM (SELECT DISTINCT * FROM assoc)
-UNION ALL SELECT 'triples', count(*)::DOUBLE FROM triples UNION ALL SELECT 'labels_kept', count(*)::DOUBLE FROM kept UNION ALL SELECT 'pairs', count(*)::DOUBLE FROM pairs
-UNION ALL SELECT 'positives', count(*)::DOUBLE FROM positives UNION ALL SELECT 'labels_per_pair_mean', round(avg(k), 6) FROM per
-UNION ALL SELECT 'labels_per_pair_median', quantile_cont(k, 0.5)::DOUBLE FROM per UNION ALL SELECT 'labels_per_pair_min', min(k)::DOUBLE FROM per UNION ALL SELECT 'labels_per_pair_max', max(k)::DOUBLE FROM per""",
+    """, per AS (SELECT pair_id, count(*) AS k FROM positives GROUP BY 1), du AS (SELECT DISTINCT * FROM assoc),
+one AS (SELECT (SELECT count(*) FROM assoc) AS raw_rows, (SELECT count(*) FROM du) AS distinct_rows, (SELECT count(*) FROM du WHERE entity_1 = entity_2) AS self_rows,
+(SELECT count(DISTINCT entity_1) FROM du WHERE entity_1 = entity_2) AS self_pairs, (SELECT count(*) FROM triples) AS triples, (SELECT count(*) FROM (SELECT DISTINCT e1, e2 FROM triples)) AS pairs_before,
+(SELECT count(*) FROM (SELECT e1 FROM triples UNION SELECT e2 FROM triples)) AS entities_before, (SELECT count(*) FROM kept) AS labels_kept, (SELECT count(*) FROM pairs) AS pairs,
+(SELECT count(*) FROM (SELECT e1 FROM pairs UNION SELECT e2 FROM pairs)) AS entities, (SELECT count(*) FROM positives) AS positives),
+fr AS (SELECT count(*) AS labels_before, min(n) AS label_frequency_min, quantile_cont(n, 0.5) AS label_frequency_median, round(avg(n), 6) AS label_frequency_mean, max(n) AS label_frequency_max FROM freq),
+pp AS (SELECT min(k) AS labels_per_pair_min, quantile_cont(k, 0.5) AS labels_per_pair_median, round(avg(k), 6) AS labels_per_pair_mean, max(k) AS labels_per_pair_max FROM per),
+au AS (SELECT *, raw_rows - distinct_rows AS exact_duplicates, distinct_rows - self_rows AS rows_without_self, distinct_rows - self_rows - triples AS canonical_duplicates,
+labels_before - labels_kept AS labels_excluded, triples - positives AS triples_excluded, pairs * labels_kept AS cells FROM one, fr, pp)
+SELECT metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM au) ON COLUMNS(*) INTO NAME metric VALUE value)""",
 )(lambda s, d: clean.audit(associations(s, d), prepared(s, d)))
 query("split", "SELECT pair_id, e1, e2, split FROM splits")(lambda s, d: splitted(s, d)[1])
 def broken_splits(x: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What marks a name as a registry number or a systematic name.
@@ -41,6 +41,16 @@ def id_profile(df: DataFrame, column: str, pattern: str) -> DataFrame:
     )
 
 
+def id_examples(df: DataFrame, column: str, pattern: str, most: int = 10) -> DataFrame:
+    """kind (missing, malformed, duplicate), value, n: the first `most` values of each kind with their rows, by value. Null counts as ''."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    counts = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    blank = F.trim("value") == ""
+    kinds = F.array(F.when(blank, "missing"), F.when(~blank & ~F.col("value").rlike(pattern), "malformed"), F.when(~blank & (F.col("n") > 1), "duplicate"))
+    long = counts.select(F.explode(F.array_compact(kinds)).alias("kind"), "value", "n")
+    return long.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy("value"))).where(F.col("_r") <= most).drop("_r")
+
+
 def aligned(a: DataFrame, b: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """check, n_bad: keys in one table alone, and keys in both whose rows differ (null equals null, order doesn't count, repeats do).
 

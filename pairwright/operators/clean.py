@@ -4,7 +4,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import dense_id, written
@@ -98,14 +98,34 @@ def label_checks(p: Prepared) -> DataFrame:
 
 
 def audit(df: DataFrame, p: Prepared) -> DataFrame:
-    """metric, value: counts along the chain and order statistics of labels per pair."""
-    def one(name: str, frame: DataFrame, value: Column) -> DataFrame:
-        return frame.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-
-    n, per = F.count(F.lit(1)), p.positives.groupBy("pair_id").agg(F.count(F.lit(1)).alias("k"))
-    return reduce(DataFrame.unionByName, [
-        one("raw_rows", df, n), one("distinct_rows", df.dropDuplicates(KEYS), n), one("triples", p.triples, n),
-        one("labels_kept", p.labels, n), one("pairs", p.pairs, n), one("positives", p.positives, n),
-        one("labels_per_pair_mean", per, F.round(F.avg("k"), 6)), one("labels_per_pair_median", per, F.percentile("k", F.lit(0.5))),
-        one("labels_per_pair_min", per, F.min("k")), one("labels_per_pair_max", per, F.max("k")),
+    """metric, value: counts along the chain, order statistics of label frequencies and of labels per pair; frames of one row each meet at the end."""
+    n = F.count(F.lit(1))
+    own = F.col("entity_1") == F.col("entity_2")
+    per, freq = p.positives.groupBy("pair_id").agg(n.alias("k")), frequency(p.triples)
+    spread = lambda c, name: [F.min(c).alias(f"{name}_min"), F.percentile(c, F.lit(0.5)).alias(f"{name}_median"), F.round(F.avg(c), 6).alias(f"{name}_mean"), F.max(c).alias(f"{name}_max")]
+    entities = lambda d, name: d.select(F.explode(F.array("e1", "e2")).alias("e")).agg(F.countDistinct("e").alias(name))
+    row = reduce(lambda a, b: a.join(F.broadcast(b)), [
+        df.agg(n.alias("raw_rows")),
+        df.dropDuplicates(KEYS).agg(n.alias("distinct_rows"), F.count_if(own).alias("self_rows"), F.countDistinct(F.when(own, F.col("entity_1"))).alias("self_pairs")),
+        p.triples.agg(n.alias("triples")), p.triples.select("e1", "e2").distinct().agg(n.alias("pairs_before")), entities(p.triples, "entities_before"),
+        freq.agg(n.alias("labels_before"), *spread("n", "label_frequency")),
+        p.labels.agg(n.alias("labels_kept")), p.pairs.agg(n.alias("pairs")), entities(p.pairs, "entities"), p.positives.agg(n.alias("positives")), per.agg(*spread("k", "labels_per_pair")),
     ])
+    c = F.col
+    row = row.withColumns({
+        "exact_duplicates": c("raw_rows") - c("distinct_rows"), "rows_without_self": c("distinct_rows") - c("self_rows"), "canonical_duplicates": c("distinct_rows") - c("self_rows") - c("triples"),
+        "labels_excluded": c("labels_before") - c("labels_kept"), "triples_excluded": c("triples") - c("positives"), "cells": c("pairs") * c("labels_kept"),
+    })
+    row = row.select([c(x).cast("double").alias(x) for x in row.columns])
+    return row.unpivot([], row.columns, "metric", "value")
+
+
+def conflict_examples(df: DataFrame, n: int = 3) -> DataFrame:
+    """check, key, values: of each direction the first `n` keys that have several values, with the first `n` of these, by name. Blank names are left out."""
+    named = df.where(F.trim("label_name") != "").select("label_id", "label_name").distinct()
+    way = lambda name, k, v: named.select(F.lit(name).alias("check"), F.col(k).alias("key"), F.col(v).alias("value"))
+    both = way("id_to_names", "label_id", "label_name").unionByName(way("name_to_ids", "label_name", "label_id"))
+    place = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    keys = both.groupBy("check", "key").count().where("count > 1").withColumn("_r", place(["check"], "key")).where(F.col("_r") <= n).select("check", "key")
+    values = both.join(keys, ["check", "key"], "left_semi").withColumn("_r", place(["check", "key"], "value")).where(F.col("_r") <= n)
+    return values.groupBy("check", "key").agg(F.array_sort(F.collect_list("value")).alias("values"))

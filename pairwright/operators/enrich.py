@@ -145,3 +145,16 @@ def synonyms(body: Column) -> Column:
     """The synonym list of a compound response; empty where it is absent or malformed."""
     parsed = F.from_json(body, "InformationList struct<Information: array<struct<CID: bigint, Synonym: array<string>>>>")
     return F.coalesce(F.get(parsed["InformationList"]["Information"], F.lit(0))["Synonym"], _none())
+
+
+def richness(rows: DataFrame) -> DataFrame:
+    """class, n, pct (of all rows): found entities by what they have beside a name."""
+    found, aliases, text = F.col("status") == "found", F.col("n_aliases") > 0, F.col("has_description")
+    classes = {"name": ~aliases & ~text, "name+aliases": aliases & ~text, "name+description": ~aliases & text, "name+aliases+description": aliases & text}
+    counts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(found & c).alias(k) for k, c in classes.items()])
+    return counts.unpivot(["_n"], [f"`{k}`" for k in classes], "class", "n").select(F.regexp_replace("class", "`", "").alias("class"), "n", F.round(100 * F.col("n") / F.nullif(F.col("_n"), F.lit(0)), 2).alias("pct"))
+
+
+def exceptions(rows: DataFrame) -> DataFrame:
+    """id, status of the entities that weren't found, null states too."""
+    return rows.where(~F.col("status").eqNullSafe("found")).select("id", "status")

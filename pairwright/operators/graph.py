@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import dense_id, hash32
+from .checks import CheckFailed, counted
 
 
 def degrees(positives: DataFrame) -> DataFrame:
@@ -34,6 +35,45 @@ def negatives(positives: DataFrame, labels: DataFrame, seed: int = 11) -> DataFr
     return drawn.join(positives, ["pair_id", "label_index"], "left_anti")
 
 
+def required_negatives(positives: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
+    """negatives(), or CheckFailed where none can be drawn."""
+    drawn = negatives(positives, labels, seed)
+    if drawn.isEmpty():
+        raise CheckFailed("no negative can be drawn")
+    return drawn
+
+
+def messages(links: DataFrame) -> DataFrame:
+    """split, pair_id, label_index: the edges that carry messages where a split is judged: val sees all training edges, test those of val too."""
+    role = F.col("role")
+    sees = F.when(role == "message", F.array(*map(F.lit, ("train", "val", "test")))).when(role == "supervise", F.array(F.lit("val"), F.lit("test"))).when(role == "val", F.array(F.lit("test")))
+    return links.select(F.explode(sees).alias("split"), "pair_id", "label_index")
+
+
+def message_checks(seen: DataFrame, links: DataFrame) -> DataFrame:
+    """check, n_bad: judged edges that are messages of their own split, messages that the next split lacks, messages that aren't edges."""
+    keys = ["split", "pair_id", "label_index"]
+    judged = links.where("role <> 'message'").select(F.when(F.col("role") == "supervise", "train").otherwise(F.col("role")).alias("split"), "pair_id", "label_index")
+    later = seen.where("split <> 'test'").withColumn("split", F.when(F.col("split") == "train", "val").otherwise("test"))
+    return counted(leaked=judged.join(seen, keys, "left_semi"), not_nested=later.join(seen, keys, "left_anti"), alien=seen.join(links, keys[1:], "left_anti"))
+
+
+def edge_lineage(edges: DataFrame, pairs: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pair_id, label_index, has_pair, has_label, has_vectors (of both ends), name_hash (SHA-256 of the label's name): each edge traced to the tables that it was made of.
+
+    These hold a key once; what isn't there gives false, and a null hash.
+    """
+    end = lambda c: vectors.select(F.col("entity").alias(c), F.lit(True).alias(f"_{c}"))
+    traced = (
+        edges.select("pair_id", "label_index")
+        .join(pairs.select("pair_id", "e1", "e2", F.lit(True).alias("_p")), "pair_id", "left")
+        .join(labels.select("label_index", F.sha2("label_name", 256).alias("name_hash"), F.lit(True).alias("_l")), "label_index", "left")
+        .join(end("e1"), "e1", "left").join(end("e2"), "e2", "left")
+    )
+    there = lambda c: F.coalesce(c, F.lit(False))
+    return traced.select("pair_id", "label_index", there(F.col("_p")).alias("has_pair"), there(F.col("_l")).alias("has_label"), there(F.col("_e1") & F.col("_e2")).alias("has_vectors"), "name_hash")
+
+
 def structural_cells(splits: DataFrame, positives: DataFrame, labels: DataFrame) -> DataFrame:
     """Scored cells of the test pairs and all labels: pair_id, label_index, y, a (degree sum), b (label degree), both from 0 to 1.
 
@@ -72,3 +112,9 @@ def hops(positives: DataFrame, vectors: DataFrame, n: int = 2) -> DataFrame:
         long = positives.join(long, at).groupBy(other, "dim").agg(F.sum("value").alias("value"))
         at, other = other, at
     return long.select(F.lit(at).alias("side"), F.col(at).cast("long").alias("node"), "dim", "value")
+
+
+def neighbour_layer(sums: DataFrame, own: DataFrame, of_sums: DataFrame, of_own: DataFrame) -> DataFrame:
+    """node, out, value: a node's neighbour sums (node, dim, value) by one weight matrix (dim, out, w) and its own vector by another, added."""
+    part = lambda x, w: x.join(w, "dim").select("node", "out", (F.col("value") * F.col("w")).alias("value"))
+    return part(sums, of_sums).unionByName(part(own, of_own)).groupBy("node", "out").agg(F.sum("value").alias("value"))

@@ -1,7 +1,7 @@
 """Entity mappings (entity, status, payload, key): preconditions, coverage, eligibility of pairs."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checks import counted
@@ -47,3 +47,12 @@ def case_differences(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows whose two names differ after trimming and case folding; null counts as empty."""
     folded = lambda c: F.lower(F.coalesce(stripped(c), F.lit("")))
     return df.where(folded(a) != folded(b))
+
+
+def status_ladder(key: Column, pattern: str, found: Column, payload: Column, valid: Column) -> Column:
+    """The first of the states that holds: invalid_format, not_found, missing_payload, invalid, mapped. Nulls count as false and as blank."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return (
+        F.when(no(key.rlike(pattern)), "invalid_format").when(no(found), "not_found")
+        .when(F.trim(F.coalesce(payload, F.lit(""))) == "", "missing_payload").when(no(valid), "invalid").otherwise("mapped")
+    )
