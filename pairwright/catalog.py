@@ -198,9 +198,10 @@ query("link_split", LINKS + " SELECT pair_id, label_index, role FROM links")(lam
 query("link_counts", LINKS + " SELECT role, count(*) AS n_edges, count(DISTINCT pair_id) AS n_pairs, count(DISTINCT label_index) AS n_labels FROM links GROUP BY 1")(
     lambda s, d: graph.link_split(prepared(s, d).positives).groupBy("role").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("pair_id").alias("n_pairs"), F.countDistinct("label_index").alias("n_labels"))
 )
-query("negatives", """SELECT * FROM (SELECT DISTINCT pair_id, ('0x' || substr(md5(pair_id || '-' || label_index || ':11'), 1, 8))::BIGINT % (SELECT count(*) FROM kept) AS label_index FROM positives)
-ANTI JOIN positives USING (pair_id, label_index)""")(lambda s, d: (lambda p: graph.negatives(p.positives, p.labels))(prepared(s, d)))
-query("structural_cells", CELLS + " SELECT pair_id, label_index, y, round(a, 9) AS a, round(b, 9) AS b FROM cells")(lambda s, d: cells(s, d).select("pair_id", "label_index", "y", F.round("a", 9).alias("a"), F.round("b", 9).alias("b")))
+# the last select of these two is materialised: with a LIMIT put around them they never end otherwise
+query("negatives", """, out_ AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT pair_id, ('0x' || substr(md5(pair_id || '-' || label_index || ':11'), 1, 8))::BIGINT % (SELECT count(*) FROM kept) AS label_index FROM positives)
+ANTI JOIN positives USING (pair_id, label_index)) SELECT * FROM out_""")(lambda s, d: (lambda p: graph.negatives(p.positives, p.labels))(prepared(s, d)))
+query("structural_cells", CELLS + ", out_ AS MATERIALIZED (SELECT pair_id, label_index, y, round(a, 9) AS a, round(b, 9) AS b FROM cells) SELECT * FROM out_")(lambda s, d: cells(s, d).select("pair_id", "label_index", "y", F.round("a", 9).alias("a"), F.round("b", 9).alias("b")))
 query("per_label_metrics", SC + STEPS + " SELECT * FROM lab")(lambda s, d: metrics.per_label(scored(s, d)))
 query("macro_metrics", SC + STEPS + """ SELECT metric, round(avg(v), 6) AS value, count(v) AS included, count_if(v IS NULL) AS skipped
 FROM (SELECT 'auroc' AS metric, auroc AS v FROM lab UNION ALL SELECT 'auprc', auprc FROM lab UNION ALL SELECT 'f1', f1 FROM lab) GROUP BY 1""")(lambda s, d: metrics.macro(metrics.per_label(scored(s, d))))

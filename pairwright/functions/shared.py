@@ -36,23 +36,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_sums(df: DataFrame, group: str, order: str, sums: dict[str, str], parts: int = 32) -> DataFrame:
-    """Adds running sums (result: column) within each group, by falling `order`, equal values of it once each.
-
-    A group is cut into `parts` ranges of the order, so that a large one isn't a single
-    window: sums within a range, and a row a range for what comes before it.
-    """
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0]
-    part = sum(((F.col(order) < c).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
-    placed = df.withColumn("_range", part)
-    inner = Window.partitionBy(group, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(group, "_range").agg(*[F.sum(c).alias(f"_s_{r}") for r, c in sums.items()])
-    starts = totals.select(group, "_range", *[F.coalesce(F.sum(f"_s_{r}").over(before), F.lit(0)).alias(f"_b_{r}") for r in sums])
-    out = placed.withColumns({r: F.sum(c).over(inner) for r, c in sums.items()}).join(starts, [group, "_range"])
-    return out.withColumns({r: F.col(r) + F.col(f"_b_{r}") for r in sums}).drop("_range", *[f"_b_{r}" for r in sums])
-
-
 def hash32(key: Column, seed: int) -> Column:
     """First 8 hex digits of md5(key:seed) as a number: the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
@@ -75,6 +58,22 @@ def dense_id(df: DataFrame, order: list, name: str) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_first") + F.col("_place")).drop("_part", "_place", "_first")
 
 
+def segmented_sums(df: DataFrame, group: str, order: str, sums: dict[str, str]) -> DataFrame:
+    """Adds running sums (result: column) within each group, by falling `order`, the row itself included.
+
+    One sort by (group, order) in ranges; a large group runs over several of them. Only
+    the first group of a range can have begun before it, so that what is carried over,
+    and broadcast, is at most a row a range.
+    """
+    rows = _placed(df, [group, F.desc(order)])
+    totals = rows.groupBy(group, "_part").agg(*[F.sum(c).alias(f"_s_{r}") for r, c in sums.items()])
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(group, "_part", *[F.sum(f"_s_{r}").over(earlier).alias(f"_b_{r}") for r in sums], F.lag(F.lit(True)).over(Window.partitionBy(group).orderBy("_part")).alias("_on")).where("_on").drop("_on")
+    inner = Window.partitionBy(group, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({r: F.sum(c).over(inner) for r, c in sums.items()}).join(F.broadcast(carried), [group, "_part"], "left")
+    return out.withColumns({r: F.col(r) + F.coalesce(F.col(f"_b_{r}"), F.lit(0)) for r in sums}).drop("_part", "_place", *[f"_b_{r}" for r in sums])
+
+
 def prefix_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
     """Adds running sums (result: column) in sort order, the row itself included, over all rows."""
     rows = _placed(df, order)

@@ -1,12 +1,23 @@
 """Paired bootstrap of two scorers over the same cells (pair_id, label_index, y, a, b)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import blocks as blocks_
 from ..functions.shared import dense_id, written
 
+#: Bytes of weights that are broadcast at once, and cells of a run aimed at.
+WEIGHT_BYTES, BLOCK = 64_000_000, 65_536
+
 
 def hash48(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("long")
@@ -35,34 +46,175 @@ def _pair_parts(cells: DataFrame, threshold: float, k: int) -> DataFrame:
     return per.select("pair_id", "P", "hit_a", "hit_b", "said_a", "said_b", *[F.when(F.col("P") > 0, F.col(f"ap_{s}") / most).otherwise(0.0).alias(f"ap_{s}") for s in "ab"])
 
 
-def _macro_auprc(cells: DataFrame, weights: DataFrame, s: str) -> DataFrame:
-    steps = cells.join(weights, "pair_id").groupBy("rep", "label_index", F.col(s).alias("score")).agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("n"))
-    down = Window.partitionBy("rep", "label_index").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down)})
-    per = run.groupBy("rep", "label_index").agg(F.sum("p").alias("P"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("s")).where("P > 0")
-    return per.groupBy("rep").agg(F.avg(F.col("s") / F.col("P")).alias(s))
+def weight_block(spark: SparkSession, n: int, reps: range, seed: int) -> np.ndarray:
+    """How often each of n pairs (by rank) is drawn in each of some reps: pairs x reps. A task draws for a rep; what comes back is two bytes a pair and rep."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep in b.column("id").to_pylist():
+                w = np.zeros(n, np.int64)
+                for k in range(0, n, 1 << 20):
+                    slots = range(rep * n + k, rep * n + min(n, k + (1 << 20)))
+                    w += np.bincount(np.fromiter((int(hashlib.md5(b"%d:%d" % (i, seed)).hexdigest()[:12], 16) for i in slots), np.int64, len(slots)) % n, minlength=n)
+                yield pa.RecordBatch.from_arrays([pa.array([rep]), pa.array([w.astype("<u2").tobytes()], pa.binary())], ["rep", "w"])
+
+    out = np.zeros((n, len(reps)), np.uint16)
+    for r in spark.range(reps.start, reps.stop, 1, len(reps)).mapInArrow(draw, "rep long, w binary").toLocalIterator():
+        out[:, r["rep"] - reps.start] = np.frombuffer(r["w"], "<u2")
+    return out
+
+
+def score_blocks(cells: DataFrame, s: str) -> DataFrame:
+    """label_index, part, seq, ranks, ys, ends: runs of about BLOCK cells of a label by falling score s; `ends` marks the last of equal scores, which stay in one run.
+
+    Each cell (label_index, r, y and the score) is shuffled once, by ranges of label and score, so that a label may run over several of them.
+    """
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["label_index", F.desc(s)]
+    rows = cells.select("label_index", "r", "y", s).repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, rest = TaskContext.get().partitionId(), 0, None
+        for b in [*batches, None]:
+            t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if t is None or not t.num_rows:
+                continue
+            if b is not None and t.num_rows < 2 * BLOCK:
+                rest = t
+                continue
+            label, score, r, y = (t.column(c).to_numpy() for c in ("label_index", s, "r", "y"))
+            fresh = np.flatnonzero((label[1:] != label[:-1]) | (score[1:] != score[:-1])) + 1  # where a step begins
+            ends = np.zeros(len(r), bool)
+            ends[fresh - 1] = ends[-1] = True
+            starts = [0]
+            for k in fresh.tolist():
+                if k - starts[-1] >= BLOCK or label[k] != label[k - 1]:
+                    starts.append(k)
+            if b is None:
+                starts.append(len(r))
+            for a, e in zip(starts, starts[1:]):
+                cols = [[int(label[a])], [part], [seq], [r[a:e].astype("<i8").tobytes()], [y[a:e].astype("u1").tobytes()], [ends[a:e].astype("u1").tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])], ["label_index", "part", "seq", "ranks", "ys", "ends"])
+                seq += 1
+            rest = t.slice(starts[-1]) if b is not None else None
+
+    return written(rows.mapInArrow(cut, "label_index long, part int, seq int, ranks binary, ys binary, ends binary"))
+
+
+def _read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for r, y, e in zip(*(b.column(c).to_pylist() for c in ("ranks", "ys", "ends"))):
+        yield np.frombuffer(r, "<i8"), np.frombuffer(y, "u1").astype(np.float64), np.flatnonzero(np.frombuffer(e, "u1"))
+
+
+def _carries(blocks: DataFrame, w: Broadcast) -> DataFrame | None:
+    """label_index, part, seq, before: draws of positives and of all in a label's earlier runs, reps of each; only where a label has several runs."""
+    several = blocks.groupBy("label_index").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("label_index")
+    if several.isEmpty():
+        return None
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for r, y, _ in _read(b):
+                p, n = np.zeros(w.value.shape[1]), np.zeros(w.value.shape[1])
+                for k in range(0, len(r), 4096):
+                    x = w.value[r[k : k + 4096]].astype(np.float64)
+                    p, n = p + y[k : k + 4096] @ x, n + x.sum(axis=0)
+                sums.append(np.concatenate([p, n]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("label_index", "part", "seq")), blocks_.arrays(np.array(sums).reshape(b.num_rows, -1))], ["label_index", "part", "seq", "v"])
+
+    def running(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("part", "ascending"), ("seq", "ascending")]).combine_chunks()
+        v = blocks_.matrix(t.column("v").combine_chunks())
+        return pa.table([t.column("label_index"), t.column("part"), t.column("seq"), blocks_.arrays(np.cumsum(v, axis=0) - v)], ["label_index", "part", "seq", "before"])
+
+    sums = blocks.join(several, "label_index", "left_semi").mapInArrow(totals, "label_index long, part int, seq int, v array<double>")
+    return sums.groupBy("label_index").applyInArrow(running, "label_index long, part int, seq int, before array<double>")  # a row a run
+
+
+def macro_auprc(blocks: DataFrame, w: Broadcast, name: str) -> DataFrame:
+    """i (place of the rep), `name`: mean over labels with drawn positives of the average precision under each rep's weights, equal scores as one step.
+
+    Runs stay where they are: the weights of their pairs, all reps side by side, run down
+    them in numpy. A row a run and then a row a label is shuffled, however many reps.
+    """
+    carries = _carries(blocks, w)
+    rows = blocks.withColumn("before", F.lit(None).cast("array<double>")) if carries is None else blocks.join(carries, ["label_index", "part", "seq"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps = w.value.shape[1]
+        for b in batches:
+            out = np.zeros((b.num_rows, 2 * reps))
+            for i, ((r, y, ends), before) in enumerate(zip(_read(b), b.column("before").to_pylist())):
+                carry = np.zeros(2 * reps) if before is None else np.array(before)
+                step = max(1, min(reps, 2_000_000 // len(r)))
+                for k in range(0, reps, step):
+                    x = w.value[r, k : k + step].astype(np.float64)
+                    tp, seen = np.cumsum(x * y[:, None], axis=0)[ends], np.cumsum(x, axis=0)[ends]
+                    p = np.diff(tp, axis=0, prepend=0)
+                    tp, seen = tp + carry[k : k + step][: tp.shape[1]], seen + carry[reps + k : reps + k + step][: tp.shape[1]]
+                    out[i, k : k + step] = (p * tp / np.maximum(seen, 1)).sum(axis=0)
+                    out[i, reps + k : reps + k + step] = p.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([b.column("label_index"), blocks_.arrays(out)], ["label_index", "v"])
+
+    sums = blocks_.vector_sums(rows.mapInArrow(run, "label_index long, v array<double>"), "label_index")
+    reps = w.value.shape[1]
+    each = sums.select("v", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("i")).select("i", F.element_at("v", F.col("i") + 1).alias("s"), F.element_at("v", F.col("i") + (reps + 1)).alias("p"))
+    return each.where("p > 0").groupBy("i").agg(F.avg(F.col("s") / F.col("p")).alias(name))
+
+
+PARTS = ("P", "hit_a", "hit_b", "said_a", "said_b", "ap_a", "ap_b")
+
+
+def _pair_sums(parts: DataFrame, w: Broadcast) -> DataFrame:
+    """i, n and the sums of PARTS under each rep's weights: a block a task, merged in a tree."""
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((w.value.shape[1], len(PARTS) + 1))
+        for b in batches:
+            x = np.stack([np.ones(b.num_rows), *(b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in PARTS)], axis=1)
+            r = b.column("r").to_numpy()
+            for k in range(0, len(r), 4096):
+                total += w.value[r[k : k + 4096]].astype(np.float64).T @ x[k : k + 4096]
+        yield pa.RecordBatch.from_arrays([blocks_.arrays(total.reshape(1, -1))], ["v"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [blocks_.matrix(b.column("v")).sum(axis=0) for b in batches if b.num_rows]
+        if rows:
+            yield pa.RecordBatch.from_arrays([blocks_.arrays(np.sum(rows, axis=0)[None])], ["v"])
+
+    k = len(PARTS) + 1
+    one = blocks_.in_tree(parts.select("r", *PARTS).mapInArrow(inside, "v array<double>"), merge)
+    each = one.select("v", F.explode(F.sequence(F.lit(0), F.lit(w.value.shape[1] - 1))).alias("i"))
+    return each.select("i", *[F.element_at("v", F.col("i") * k + (j + 1)).alias(c) for j, c in enumerate(("n", *PARTS))])
 
 
 def paired(cells: DataFrame, reps: int = 500, threshold: float = 0.5, k: int = 50, seed: int = 13) -> DataFrame:
     """rep, metric, a, b, diff: micro_f1, ap_at_k and macro_auprc of both scorers on the same draws, thresholds fixed.
 
-    F1 and AP@k are sums over pairs, so that a rep costs a row a pair; only
-    macro_auprc reweights cells.
+    F1 and AP@k are sums over pairs; for macro_auprc each label's scores are sorted once.
+    The weights of as many reps as WEIGHT_BYTES hold are broadcast at a time (of one rep at
+    least, two bytes a pair). No rows shuffled depend on the number of reps. No cells: no rows.
     """
-    cells = written(cells)
-    weights = written(draw_weights(cells, reps, seed))
-    w = F.col("w")
-    sums = _pair_parts(cells, threshold, k).join(weights, "pair_id").groupBy("rep").agg(
-        F.sum("w").alias("n"), *[F.sum(w * F.col(c)).alias(c) for c in ("P", "hit_a", "hit_b", "said_a", "said_b", "ap_a", "ap_b")]
-    )
+    spark = cells.sparkSession
+    schema = "rep long, metric string, a double, b double, diff double"
+    ranks = written(dense_id(cells.select("pair_id").distinct(), ["pair_id"], "r"))
+    n = ranks.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    cells = written(cells.join(ranks, "pair_id"))
+    parts = written(_pair_parts(cells, threshold, k).join(ranks, "pair_id"))
+    blocks = {s: score_blocks(cells, s) for s in "ab"}
     f1 = lambda s: F.when(F.col(f"said_{s}") + F.col("P") > 0, 2 * F.col(f"hit_{s}") / (F.col(f"said_{s}") + F.col("P"))).otherwise(0.0)
-    row = lambda name, d, a, b: d.select("rep", F.lit(name).alias("metric"), a.alias("a"), b.alias("b"), (a - b).alias("diff"))
-    auprc = _macro_auprc(cells, weights, "a").join(_macro_auprc(cells, weights, "b"), "rep")
-    return (
-        row("micro_f1", sums, f1("a"), f1("b"))
-        .unionByName(row("ap_at_k", sums, F.col("ap_a") / F.col("n"), F.col("ap_b") / F.col("n")))
-        .unionByName(row("macro_auprc", auprc, F.col("a"), F.col("b")))
-    )
+    row = lambda name, a, b: F.struct(F.lit(name).alias("metric"), a.alias("a"), b.alias("b"), (a - b).alias("diff"))
+    out, step = [], max(1, WEIGHT_BYTES // (2 * n))
+    for first in range(0, reps, step):
+        w = spark.sparkContext.broadcast(weight_block(spark, n, range(first, min(reps, first + step)), seed))
+        sums = _pair_sums(parts, w).join(macro_auprc(blocks["a"], w, "m_a"), "i", "left").join(macro_auprc(blocks["b"], w, "m_b"), "i", "left")
+        rows = F.array(row("micro_f1", f1("a"), f1("b")), row("ap_at_k", F.col("ap_a") / F.col("n"), F.col("ap_b") / F.col("n")), row("macro_auprc", F.col("m_a"), F.col("m_b")))
+        out.append(written(sums.select((F.col("i") + first).alias("rep").cast("long"), F.inline(rows)).where("a IS NOT NULL")))
+        w.unpersist()
+    return reduce(DataFrame.unionByName, out)
 
 
 def summary(reps: DataFrame) -> DataFrame:

@@ -4,18 +4,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import unit_gram, vector_sums
 from .vectors import norm
 
 
 def mean_pooled(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
     """key, dim, value: mean of the vectors (token, v) of a key's tokens (key, token, mask) with mask 1, over at least 1; tokens without a vector count as zeros.
 
-    Vectors are summed per dimension before the shuffle by key. A key without tokens gives no row.
+    A vector stays one row until it is summed, in tasks first. A key without tokens gives no row.
     """
     n = tokens.groupBy("key").agg(F.sum("mask").alias("n"))
-    long = tokens.where("mask = 1").groupBy("key", "token").agg(F.count(F.lit(1)).alias("k")).join(vectors, "token").select("key", "k", F.posexplode("v").alias("dim", "x"))
-    sums = long.groupBy("key", "dim").agg(F.sum(F.col("k") * F.col("x").cast("double")).alias("s"))
-    return sums.join(n, "key").select("key", "dim", (F.col("s") / F.greatest("n", F.lit(1))).alias("value"))
+    weighted = tokens.where("mask = 1").groupBy("key", "token").agg(F.count(F.lit(1)).alias("k")).join(vectors, "token")
+    mean = F.transform("v", lambda x: x / F.greatest("n", F.lit(1)))
+    return vector_sums(weighted, "key", weight="k").join(n, "key").select("key", F.posexplode(mean).alias("dim", "value"))
 
 
 def token_audit(texts: DataFrame, limit: int = 64) -> DataFrame:
@@ -31,20 +32,18 @@ def token_audit(texts: DataFrame, limit: int = 64) -> DataFrame:
 def diagnostics(vectors: DataFrame) -> DataFrame:
     """One row: mean and deviation of norms, mean and deviation of the cosines of all pairs, groups of equal vectors, zero vectors.
 
-    The sums over all pairs of unit vectors come from the sum of the vectors and the sum
-    of their outer products, so no pair is formed.
+    The sums over all pairs of unit vectors come from the sum of the vectors and their
+    Gram matrix, a block a task that meets the others in a tree, so no pair is formed.
+    Equal vectors meet by two hashes.
     """
     rows = vectors.select("v", norm(F.col("v")).alias("r"))
     plain = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.stddev_pop("r").alias("s"), F.count_if(F.col("r") == 0).alias("zero"))
-    unit = rows.select(F.transform("v", lambda x: x.cast("double") / F.greatest(F.col("r"), F.lit(1e-12))).alias("u"))
-    one = unit.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("t1"))
-    outer = unit.select("u", F.posexplode("u").alias("i", "x")).select("i", "x", F.posexplode("u").alias("j", "y"))
-    two = outer.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("t2"))
-    own = unit.select(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x).alias("q")).agg(F.sum("q").alias("q1"), F.sum(F.col("q") * F.col("q")).alias("q2"))
-    groups = vectors.groupBy("v").agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("repeated"))
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
+    sums = unit_gram(vectors).select(squares("total").alias("t1"), squares("gram").alias("t2"), "q1", "q2")
+    groups = vectors.groupBy(F.xxhash64("v"), F.xxhash64(F.lit(7), "v")).agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("repeated"))
     pairs = F.col("n") * (F.col("n") - 1)
     mean = (F.col("t1") - F.col("q1")) / pairs
-    every = plain.join(F.broadcast(one)).join(F.broadcast(two)).join(F.broadcast(own)).join(F.broadcast(groups))  # one row each
+    every = plain.join(F.broadcast(sums)).join(F.broadcast(groups))  # one row each
     return every.select(
         F.round("m", 6).alias("norm_mean"), F.round("s", 6).alias("norm_std"), F.round(mean, 6).alias("cosine_mean"),
         F.round(F.sqrt(F.greatest((F.col("t2") - F.col("q2")) / pairs - mean * mean, F.lit(0.0))), 6).alias("cosine_std"), F.col("repeated").alias("repeated_groups"), F.col("zero").alias("zero_vectors"),

@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import dense_id, hash32
+from ..functions.blocks import vector_sums
+from ..functions.selection import before, keys_at
+from ..functions.shared import hash32
 from .checks import CheckFailed, counted
 
 
@@ -20,12 +22,10 @@ def edge_key() -> Column:
 
 def link_split(positives: DataFrame, seed: int = 7) -> DataFrame:
     """Adds role: 10 % test, 10 % val, and of the rest 30 % supervise and 70 % carry messages; by rank of the edge's hash."""
-    ranked = dense_id(positives.withColumn("_h", hash32(edge_key(), seed)), ["_h", "pair_id", "label_index"], "_r")
-    n = positives.agg(F.count(F.lit(1)).alias("_n"))
-    tenth = F.floor(F.col("_n") / 10)
-    left = F.col("_n") - 2 * tenth
-    role = F.when(F.col("_r") < tenth, "test").when(F.col("_r") < 2 * tenth, "val").when(F.col("_r") < 2 * tenth + F.floor(left * 3 / 10), "supervise").otherwise("message")
-    return ranked.join(F.broadcast(n)).withColumn("role", role).select("pair_id", "label_index", "role")  # one row on the right
+    keyed, by = positives.withColumn("_h", hash32(edge_key(), seed)), ["_h", "pair_id", "label_index"]
+    val, train, message = keys_at(keyed, by, lambda n: [n // 10, n // 10 * 2, n // 10 * 2 + (n - n // 10 * 2) * 3 // 10])
+    role = F.when(before(by, val), "test").when(before(by, train), "val").when(before(by, message), "supervise").otherwise("message")
+    return keyed.select("pair_id", "label_index", role.alias("role"))
 
 
 def negatives(positives: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
@@ -99,19 +99,18 @@ def structural_cells(splits: DataFrame, positives: DataFrame, labels: DataFrame)
 
 
 def neighbour_sum(positives: DataFrame, vectors: DataFrame) -> DataFrame:
-    """label_index, dim, value: sum of the vectors (pair_id, v) of a label's pairs, per dimension, summed before the shuffle."""
-    long = positives.join(vectors, "pair_id").select("label_index", F.posexplode("v").alias("dim", "x"))
-    return long.groupBy("label_index", "dim").agg(F.round(F.sum(F.col("x").cast("double")), 4).alias("value"))
+    """label_index, dim, value: sum of the vectors (pair_id, v) of a label's pairs; a vector stays one row until it is summed."""
+    sums = vector_sums(positives.join(vectors, "pair_id"), "label_index")
+    return sums.select("label_index", F.posexplode("v").alias("dim", "x")).select("label_index", "dim", F.round("x", 4).alias("value"))
 
 
 def hops(positives: DataFrame, vectors: DataFrame, n: int = 2) -> DataFrame:
-    """side, node, dim, value after n rounds of sums: labels from pairs (pair_id, v), pairs from labels, and so on. A row per node and dimension all the way."""
+    """side, node, v after n rounds of sums: labels from pairs (pair_id, v), pairs from labels, and so on. One row a node through each shuffle of sums."""
     at, other = "pair_id", "label_index"
-    long = vectors.select("pair_id", F.posexplode("v").alias("dim", "x")).select("pair_id", "dim", F.col("x").cast("double").alias("value"))
     for _ in range(n):
-        long = positives.join(long, at).groupBy(other, "dim").agg(F.sum("value").alias("value"))
+        vectors = vector_sums(positives.join(vectors.select(at, "v"), at), other)
         at, other = other, at
-    return long.select(F.lit(at).alias("side"), F.col(at).cast("long").alias("node"), "dim", "value")
+    return vectors.select(F.lit(at).alias("side"), F.col(at).cast("long").alias("node"), "v")
 
 
 def neighbour_layer(sums: DataFrame, own: DataFrame, of_sums: DataFrame, of_own: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.selection import before, keys_at
 from ..functions.shared import dense_id, hash32, prefix_sums
 
 
@@ -19,8 +20,9 @@ def spearman(cells: DataFrame, n: int = 100_000, seed: int = 23) -> DataFrame:
     Equal (a, b) collapse first, so that ties cost no rows in the joins with the ranks.
     """
     h = hash32(F.concat_ws("-", "pair_id", "label_index"), seed)
-    drawn = cells.withColumn("_h", h).orderBy("_h", "pair_id", "label_index").limit(n)
-    both = drawn.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    keyed, by = cells.withColumn("_h", h), ["_h", "pair_id", "label_index"]
+    (end,) = keys_at(keyed, by, lambda _: [n])
+    both = keyed.where(before(by, end)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
     ranked = both.join(average_ranks(both, "a", "w", "ra"), "a").join(average_ranks(both, "b", "w", "rb"), "b")
     total = both.agg(F.sum("w").alias("n"))
     x, y, w = (F.col("ra") - (F.col("n") + 1) / 2), (F.col("rb") - (F.col("n") + 1) / 2), F.col("w")

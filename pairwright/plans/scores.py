@@ -102,7 +102,7 @@ query("pair_index", f", v AS ({V}), k AS (SELECT entity, row_number() OVER (ORDE
 query("two_hop_norms", f""", v AS ({V}), pv AS (SELECT pair_id, list_transform(list_zip(a.v, b.v), lambda x: (x[1] + x[2])::FLOAT::DOUBLE) AS v FROM pairs JOIN v a ON a.entity = e1 JOIN v b ON b.entity = e2),
 l1 AS (SELECT label_index, dim, sum(x) AS x FROM (SELECT label_index, unnest(range(len(v))) AS dim, unnest(v) AS x FROM positives JOIN pv USING (pair_id)) GROUP BY 1, 2),
 p2 AS (SELECT pair_id, dim, sum(x) AS x FROM positives JOIN l1 USING (label_index) GROUP BY 1, 2) SELECT pair_id AS node, round(sqrt(sum(x * x)), 3) AS norm FROM p2 GROUP BY 1""")(
-    lambda s, d: (lambda p: graph.hops(p.positives, vectors.pair_vectors(p.pairs, entity_vectors(s, d)), 2).groupBy("node").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 3).alias("norm")))(prepared(s, d))
+    lambda s, d: (lambda p: graph.hops(p.positives, vectors.pair_vectors(p.pairs, entity_vectors(s, d)), 2).select("node", F.round(vectors.norm(F.col("v")), 3).alias("norm")))(prepared(s, d))
 )
 query("hashed_sets", r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\r\f\v]+')) AS w FROM documents), b AS (SELECT DISTINCT doc_id, (('0x' || substr(md5(w || ':42'), 1, 8))::BIGINT % 2048)::INT AS b FROM w WHERE w <> '')
 SELECT doc_id, count(b) AS n_bits, coalesce(sum(b), 0)::BIGINT AS bit_sum FROM documents LEFT JOIN b USING (doc_id) GROUP BY 1""", False)(
