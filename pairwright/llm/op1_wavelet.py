@@ -277,7 +277,7 @@ def write_shards(docs: DataFrame, file: str, end_id: int, path: str, shard_token
 
     (
         docs.mapInArrow(encode, "bucket long, doc_id long, ids binary")
-        .repartition(dealt.n, "bucket")
+        .repartitionById(dealt.n, F.col("bucket").cast("int"))
         .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
         .mapInArrow(build, "bucket long, seq int, first long, n_tokens long, image binary")
         .write.parquet(path)

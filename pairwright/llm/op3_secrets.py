@@ -30,8 +30,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]*?(?:[0-9+/_=-]|
 NO_WORD = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
 #: Fewest characters of a candidate; each kind's automaton takes none shorter than the labelled credentials it is learnt from.
 LEAST_CHARS = 8
-#: Most distinct credentials of a kind that an automaton is inferred from: those of the smallest hashes.
-SAMPLE = 1000
+#: Most distinct credentials of a kind that an automaton is inferred from, those of the smallest hashes, and most characters of one: longer ones are scored but not learnt from. Both bound what reaches the driver.
+SAMPLE, LEARN_CHARS = 1000, 200
 #: Confidence of the merging test, and the share of labelled credentials that may score below the threshold.
 ALPHA, BELOW = 0.01, 0.02
 #: Credentials of a kind below which no automaton is inferred.
@@ -148,6 +148,19 @@ class Automaton:
                 red.append(t)
         self.states = len(red)
 
+        self._drop_merged()
+
+    def _drop_merged(self) -> None:
+        """Keeps the states that can still be reached, which are what is scored with."""
+        number, todo = {0: 0}, [0]
+        for q in todo:
+            for t in self.next[q].values():
+                if t not in number:
+                    number[t] = len(number)
+                    todo.append(t)
+        self.next = [{c: number[t] for c, t in self.next[q].items()} for q in todo]
+        self.through, self.ends = [self.through[q] for q in todo], [self.ends[q] for q in todo]
+
     def score(self, value: str) -> float:
         """Mean log2-likelihood of a character of the format against characters drawn evenly from 67; a step never seen costs 12 bits."""
         q, total, s = 0, 0.0, symbols(value)
@@ -198,8 +211,8 @@ def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
 
 def learn(scanned: DataFrame) -> dict[str, tuple[Automaton, float, int]]:
-    """Automata from the distinct values in all rows; at most SAMPLE of a kind reach the driver."""
-    found = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
+    """Automata from the distinct values in all rows; at most SAMPLE of a kind, of at most LEARN_CHARS characters, reach the driver."""
+    found = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").where(F.char_length("value") <= LEARN_CHARS).distinct()
     values: dict[str, list[str]] = {}
     for kind in KINDS[:3]:
         some = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from . import chunks
 from .common import table
 
-#: Bytes of the parts of one recursive query, unless one part has more, and ids of one decoding query: these bound a query's memory.
-ENCODE_BYTES, DECODE_IDS = 400_000, 200_000
+#: Bytes of the parts of one recursive query and of a window of a longer part, and ids of one decoding query: these bound a query's memory.
+ENCODE_BYTES, WINDOW, DECODE_IDS = 400_000, 4096, 200_000
+#: Tokens on either side of a border of windows that are contracted anew.
+SEAM = 8
 #: Memory that a worker's DuckDB may use.
 MEMORY = "300MB"
 
@@ -74,6 +77,8 @@ class RankBpe:
         self.pieces_of = regex.compile(pattern).findall
         with open(file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.bytes_of = {r: t for t, r in self.ranks.items()}
+        self.stays: dict[tuple[int, int], bool] = {}
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.inside = np.zeros((256, 256), bool)  # two bytes that are neighbours in some token
         for t in self.ranks:
@@ -128,6 +133,80 @@ class RankBpe:
         return out
 
     def contract(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part, as bytes; one that is longer than a window goes in windows."""
+        out = [b""] * len(parts)
+        short = [i for i, p in enumerate(parts) if len(p) <= WINDOW]
+        for i, x in zip(short, self._contracted([parts[i] for i in short])):
+            out[i] = x
+        for i, p in enumerate(parts):
+            if len(p) > WINDOW:
+                out[i] = self._windows(p)
+        return out
+
+    def _text(self, ids) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
+
+    def _tokens(self, parts: list[bytes]) -> list[array]:
+        return [array("I", x) for x in self._contracted(parts)]
+
+    def _stay(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether two tokens side by side stay as they are."""
+        if len(self.stays) > 200_000:
+            self.stays.clear()
+        new = [x for x in set(pairs) if x not in self.stays]
+        for x, got in zip(new, self._tokens([self._text(x) for x in new])):
+            self.stays[x] = tuple(got) == x
+        return [self.stays[x] for x in pairs]
+
+    def _windows(self, part: bytes) -> bytes:
+        """Ids of a part that is longer than a window.
+
+        A sequence of tokens is the one that contraction ends in if each two neighbours
+        stay as they are when contracted by themselves: the first contraction across a
+        border of tokens would happen to the two beside it alone as well. So windows are
+        contracted apart, the tokens around their borders together, and neighbours there
+        are tested. Where they don't stay, the next window is contracted once more from
+        the last tokens that are settled.
+        """
+        parts = [part[k : k + WINDOW] for k in range(0, len(part), WINDOW)]
+        done, own = array("I"), False  # own: the last tokens are those of the last window alone
+        for first in range(0, len(parts), 500):  # bounds what waits for its borders
+            some = self._tokens(parts[first : first + 500])
+            seams = self._tokens([self._text([*a[-SEAM:], *b[:SEAM]]) for a, b in zip(some, some[1:])])
+            asked = [[(a[-SEAM - 1], m[0]), (m[-1], b[SEAM])] if min(len(a), len(b)) > 2 * SEAM else [] for a, m, b in zip(some, seams, some[1:])]
+            stay = iter(self._stay([x for p in asked for x in p]))
+            good = [bool(p) and all([next(stay) for _ in p]) for p in asked]
+            for i, now in enumerate(some):
+                if not done:
+                    done, own = now[:], True
+                elif i and own and good[i - 1]:
+                    del done[-SEAM:]
+                    done.extend(seams[i - 1])
+                    done.extend(now[SEAM:])
+                else:
+                    own = self._join(done, now, parts[first + i])
+        return done.tobytes()
+
+    def _join(self, done: array, now: array, text: bytes) -> bool:
+        """Appends a window, given by its own tokens and its text, to settled tokens; whether the last tokens are still the window's own."""
+        for k in (SEAM, 8 * SEAM):
+            (m,) = self._tokens([self._text([*done[-k:], *now[:k]])])
+            pairs = [(x, m[0]) for x in done[-k - 1 : -k]] + [(m[-1], x) for x in now[k : k + 1]]
+            if all(self._stay(pairs)):
+                del done[-k:]
+                done.extend(m)
+                done.extend(now[k:])
+                return len(now) > k + SEAM + 1
+        k = SEAM
+        while True:
+            (m,) = self._tokens([self._text(done[-k:]) + text])
+            if len(done) <= k or all(self._stay([(done[-k - 1], m[0])])):
+                del done[-k:]
+                done.extend(m)
+                return False
+            k *= 2
+
+    def _contracted(self, parts: list[bytes]) -> list[bytes]:
         """Ids of each part by the recursive query. Parts of like length go together, as they end in like steps."""
         out: list[bytes] = [b""] * len(parts)
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))

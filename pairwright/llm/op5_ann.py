@@ -153,8 +153,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, list_size: int = LIST_SIZE
     asked for, so that each of their rows can leave itself out.
     """
     spark = vectors.sparkSession
-    # two hashes stand for a vector: 16 bytes instead of its components
-    key = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64("embedding", F.lit(1)).alias("b"))
+    # two hashes of different seeds stand for a vector: 16 bytes instead of its components
+    key = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))
     base = written(clean(vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias(ASKED))).withColumn("key", key), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
     # the k + 1 smallest ids of equal vectors are all that a query can need; the limit applies before the shuffle too

@@ -248,6 +248,41 @@ def test_bpe_of_hard_pieces():
     assert bpe.decode([ids[:5].tobytes(), b"", ids.tobytes()]) == [b"".join(by_id[i] for i in x.tolist()) for x in (ids[:5], ids[:0], ids)]
 
 
+@pytest.mark.parametrize("window, seam", [(4096, 8), (40, 3)])
+def test_bpe_of_parts_longer_than_a_window(monkeypatch, window, seam):
+    import tiktoken
+
+    monkeypatch.setattr(op4_bpe, "WINDOW", window)
+    monkeypatch.setattr(op4_bpe, "SEAM", seam)
+    bpe = op4_bpe.RankBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = random.Random(9)
+    alphabets = ["z", "ab", "ACGT", "abc", "etaoinshr", "zq"]
+    sizes = [200_000, 4097, 8192] if window == 4096 else [41, 79, 400, 1500]
+    pieces = [(a * n)[:n] for a in alphabets for n in sizes] + ["".join(rng.choices(a, k=n)) for a in alphabets for n in sizes]
+    pieces += ["z" * 2_000_000, "z" * 20_000_000] if window == 4096 else []
+    got = bpe.encode_pieces([p.encode() for p in pieces])  # within DuckDB's 300 MB
+    for p, ids in zip(pieces, got):
+        assert ids == np.array(e.encode_ordinary(p), "<u4").tobytes(), (len(p), p[:20])
+
+
+def test_secrets_of_very_long_values(spark):
+    rng = random.Random(10)
+    long = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=2000)) * 85 for _ in range(300)]  # 51 MB of values
+    scanned = op3_secrets.scan(docs(spark, [f"x token={v} y" for v in long] + ["nothing"]))
+    assert op3_secrets.learn(scanned) == {}  # none reaches the driver
+    got = op3_secrets.secrets(docs(spark, [f"x token={v} y" for v in long[:20]] + ["token=" + "".join(rng.choices("ABC0123", k=20)) for _ in range(30)])).collect()
+    assert sorted(r.n_assign for r in got) == [1] * 50
+
+
+def test_automaton_keeps_what_it_scores_with():
+    rng = random.Random(11)
+    values = ["sk-" + "".join(rng.choices("0123456789abcdef", k=rng.randint(20, 40))) for _ in range(400)]
+    a = op3_secrets.Automaton([op3_secrets.symbols(v) for v in values])
+    assert len(a.next) == len(a.through) == len(a.ends) < 200 and all(t < len(a.next) for q in a.next for t in q.values())
+    assert min(a.score(v) for v in values) > a.score("hello-there-my-old-friend")
+
+
 def test_ann_of_doubles_and_of_a_hot_query_vector(spark):
     rng = np.random.default_rng(6)
     m = rng.normal(size=(1200, 8))
