@@ -59,8 +59,10 @@ def weight_block(spark: SparkSession, n: int, reps: range, seed: int) -> np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array([rep]), pa.array([w.astype("<u2").tobytes()], pa.binary())], ["rep", "w"])
 
     out = np.zeros((n, len(reps)), np.uint16)
-    for r in spark.range(reps.start, reps.stop, 1, len(reps)).mapInArrow(draw, "rep long, w binary").toLocalIterator():
-        out[:, r["rep"] - reps.start] = np.frombuffer(r["w"], "<u2")
+    tasks = min(len(reps), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drawn = spark.range(reps.start, reps.stop, 1, tasks).mapInArrow(draw, "rep long, w binary").toArrow()
+    for rep, w in zip(drawn.column("rep").to_pylist(), drawn.column("w")):
+        out[:, rep - reps.start] = np.frombuffer(w.as_buffer(), "<u2")
     return out
 
 
