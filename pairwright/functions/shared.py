@@ -24,9 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Frames that this process has written, by application.
+_FRAMES: dict[str, list[str]] = {}
+
+
 def frame_path(spark: SparkSession) -> str:
     """A fresh path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"frame-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"frame-{uuid.uuid4().hex}")
+    _FRAMES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_frames(spark: SparkSession) -> int:
+    """Deletes the frames that this session has written so far and says how many; results that still read them can't be used after it."""
+    paths = _FRAMES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -41,9 +56,9 @@ def hash32(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
 
 
-def _placed(df: DataFrame, order: list) -> DataFrame:
+def _placed(df: DataFrame, order: list, parts: int | None = None) -> DataFrame:
     """Rows in ranges of the order, each with the number of its range and its place there."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     m = F.monotonically_increasing_id()
     rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return written(rows.withColumn("_m", m).withColumn("_part", F.shiftright("_m", 33)).withColumn("_place", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m"))
@@ -58,14 +73,14 @@ def dense_id(df: DataFrame, order: list, name: str) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_first") + F.col("_place")).drop("_part", "_place", "_first")
 
 
-def segmented_sums(df: DataFrame, group: str, order: str, sums: dict[str, str]) -> DataFrame:
+def running_sums(df: DataFrame, group: str, order: str, sums: dict[str, str], parts: int | None = None) -> DataFrame:
     """Adds running sums (result: column) within each group, by falling `order`, the row itself included.
 
-    One sort by (group, order) in ranges; a large group runs over several of them. Only
+    One sort by (group, order) in `parts` ranges, as many as a shuffle has if not given; a large group runs over several of them. Only
     the first group of a range can have begun before it, so that what is carried over,
     and broadcast, is at most a row a range.
     """
-    rows = _placed(df, [group, F.desc(order)])
+    rows = _placed(df, [group, F.desc(order)], parts)
     totals = rows.groupBy(group, "_part").agg(*[F.sum(c).alias(f"_s_{r}") for r, c in sums.items()])
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(group, "_part", *[F.sum(f"_s_{r}").over(earlier).alias(f"_b_{r}") for r in sums], F.lag(F.lit(True)).over(Window.partitionBy(group).orderBy("_part")).alias("_on")).where("_on").drop("_on")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import dense_id, written
+from .enrich import folded
 
 KEYS = ["entity_1", "entity_2", "label_id", "label_name"]
 
@@ -29,9 +30,10 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.unpivot([], columns, "column", "missing")
 
 
-def name_conflicts(df: DataFrame) -> DataFrame:
-    """Of each direction (id to names, names to ids): how many keys have several values. Blank names are left out."""
-    named = df.where(F.trim("label_name") != "").select("label_id", "label_name").distinct()
+def name_conflicts(df: DataFrame, caseless: bool = False) -> DataFrame:
+    """Of each direction (id to names, names to ids): how many keys have several values. Blank names are left out; `caseless` names that differ in case alone are one."""
+    name = folded(F.col("label_name")) if caseless else F.col("label_name")
+    named = df.where(F.trim("label_name") != "").select("label_id", name.alias("label_name")).distinct()
     ids = named.groupBy("label_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("n_bad")).select(F.lit("id_to_names").alias("check"), "n_bad")
     names = named.groupBy("label_name").count().where("count > 1").agg(F.count(F.lit(1)).alias("n_bad")).select(F.lit("name_to_ids").alias("check"), "n_bad")
     return ids.unionByName(names)

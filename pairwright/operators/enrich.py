@@ -16,17 +16,22 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+#: Compares and orders strings without regard to case in any script, a final sigma like another one.
+CASELESS = "UNICODE_CI"
+
+
 def folded(x: Column) -> Column:
-    return F.lower(F.trim(x))
+    """The trimmed text, equal to and ordered with others whatever their case; capitals make ss of a sharp s, which the collation alone keeps apart."""
+    return F.collate(F.upper(F.trim(x)), CASELESS)
 
 
 def first_spellings(names: Column, drop: Column | None = None) -> Column:
-    """Trimmed names without blanks, one a case-folded spelling (the first), without `drop`, sorted by the folded name. Null gives none."""
+    """Trimmed names without blanks, one a spelling that differs by more than case (the first), without `drop`, in an order without case. Null gives none."""
     trimmed = F.filter(F.transform(F.coalesce(names, _none()), lambda x: F.trim(x)), lambda x: x != "")
-    kept = F.filter(trimmed, lambda x, i: F.array_position(F.transform(trimmed, F.lower), F.lower(x)) == i + 1)
+    kept = F.filter(trimmed, lambda x, i: F.array_position(F.transform(trimmed, folded), folded(x)) == i + 1)
     if drop is not None:
-        kept = F.filter(kept, lambda x: ~F.lower(x).eqNullSafe(folded(drop)))
-    keyed = F.array_sort(F.transform(kept, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v"))))
+        kept = F.filter(kept, lambda x: ~folded(x).eqNullSafe(folded(drop)))
+    keyed = F.array_sort(F.transform(kept, lambda x: F.struct(folded(x).alias("k"), x.alias("v"))))
     return F.transform(keyed, lambda s: s["v"])
 
 

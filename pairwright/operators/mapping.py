@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .checks import counted
 from .clean import stripped
+from .enrich import folded
 
 
 def mapping_checks(mapping: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -45,8 +46,8 @@ def eligibility(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def case_differences(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows whose two names differ after trimming and case folding; null counts as empty."""
-    folded = lambda c: F.lower(F.coalesce(stripped(c), F.lit("")))
-    return df.where(folded(a) != folded(b))
+    plain = lambda c: folded(F.coalesce(stripped(c), F.lit("")))
+    return df.where(plain(a) != plain(b))
 
 
 def status_ladder(key: Column, pattern: str, found: Column, payload: Column, valid: Column) -> Column:

@@ -227,3 +227,14 @@ def linear_evaluation(s: SparkSession, d: str) -> DataFrame:
 
     t = metrics.best_threshold(part("val")).first()["t"] / 100
     return reports.aggregates(part("test"), t)
+
+
+@query("linear_fit")
+def linear_fit(s: SparkSession, d: str) -> DataFrame:
+    """label_index, passes, loss, gradient_norm, converged of the training on train pairs. No SQL states a training."""
+    p, x = splitted(s, d)
+    rows = shared_frame(s, d, "examples", lambda: linear.examples(vectors.pair_vectors(p.pairs, entity_vectors(s, d)), p.positives).join(x.select("pair_id", "split"), "pair_id"))
+    dims = _table(s, d, "embeddings").selectExpr("max(size(embedding))").first()[0]
+    end = linear.fitted(rows.where("split = 'train'"), p.labels.count(), dims)
+    cells = [(i, int(n), float(f), float(g), bool(g <= 1e-9)) for i, (n, f, g) in enumerate(zip(end.passes, end.loss, end.gradient))]
+    return s.createDataFrame(cells, "label_index long, passes long, loss double, gradient_norm double, converged boolean")

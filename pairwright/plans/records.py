@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import enrich
+from ..operators import enrich, landing
 from ..sources import artifacts
 
 SCHEMES = {"P1": "nation number", "P2": "nation node"}
@@ -100,11 +100,64 @@ UNION ALL SELECT p_partkey, 'name', CASE WHEN p_size <= 5 THEN 'SMILES:' || p_br
 query("key_batches", "SELECT (r // 100)::BIGINT AS batch, string_agg(k::VARCHAR, ',' ORDER BY k) AS keys, count(*)::BIGINT AS n FROM (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer) GROUP BY 1", False)(
     lambda s, d: artifacts.batches(_table(s, d, "customer"), "c_custkey", 100).select("batch", F.concat_ws(",", F.transform("keys", lambda k: k.cast("string"))).alias("keys"), F.size("keys").cast("long").alias("n"))
 )
-FINGERPRINTED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-FIELDS = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in FINGERPRINTED)
-query("table_fingerprint", f"SELECT count(*) AS n_rows, sum(('0x' || substr(md5({FIELDS}), 1, 8))::BIGINT)::BIGINT AS digest FROM orders", False)(
-    lambda s, d: artifacts.fingerprint(_table(s, d, "orders").select(FINGERPRINTED))
+# all columns of orders; dates and fractions in a form that both engines write alike
+ORDER_FIELDS = {"o_orderkey": "o_orderkey::VARCHAR", "o_custkey": "o_custkey::VARCHAR", "o_orderstatus": "o_orderstatus", "o_totalprice": "(o_totalprice * 100)::BIGINT::VARCHAR", "o_orderdate": "epoch_us(o_orderdate)::VARCHAR", "o_orderpriority": "o_orderpriority"}
+FIELDS = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ORDER_FIELDS.values())
+SUMS = ", ".join(f"(sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) % 4294967296)::BIGINT AS h{i}" for i in range(4))
+query("table_fingerprint", f"SELECT count(*) AS n_rows, {SUMS} FROM (SELECT md5({FIELDS}) AS h FROM orders)", False)(lambda s, d: artifacts.fingerprint(plain_orders(s, d)))
+
+
+def plain_orders(s: SparkSession, d: str) -> DataFrame:
+    plain = {"o_totalprice": F.round(F.col("o_totalprice") * 100).cast("long"), "o_orderdate": F.unix_micros(F.col("o_orderdate").cast("timestamp"))}
+    return _table(s, d, "orders").select(*[plain.get(c, F.col(c)).alias(c) for c in ORDER_FIELDS])
+
+
+RANGES = f"SELECT level, k // (64 * (1::BIGINT << (4 * level)::INT)) AS \"range\", count(*) AS n_rows, {SUMS} FROM (SELECT o_orderkey AS k, md5({FIELDS}) AS h FROM orders), range(4) t(level) GROUP BY 1, 2"
+query("range_fingerprints", f"SELECT level::INT AS level, \"range\", n_rows, h0, h1, h2, h3 FROM ({RANGES})", False)(lambda s, d: artifacts.range_fingerprints(plain_orders(s, d), "o_orderkey", 64))
+
+
+def changed_orders(o: DataFrame) -> DataFrame:
+    """Orders with other prices for some, some missing, some twice, and some of new keys."""
+    k = F.col("o_orderkey")
+    some = o.where(k % 2003 != 5).withColumn("o_totalprice", F.when(k % 1009 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return some.unionByName(o.where(k % 3001 == 11)).unionByName(o.where(k % 4001 == 13).withColumn("o_orderkey", k + 10_000_000))
+
+
+query("differing_ranges", """WITH o AS (SELECT o_orderkey AS k FROM orders), c AS (SELECT k // 64 AS r, 1 AS a, (k % 2003 <> 5)::INT + (k % 3001 = 11)::INT AS b, (k % 2003 = 5 OR k % 1009 = 7 OR k % 3001 = 11)::INT AS x FROM o
+UNION ALL SELECT (k + 10000000) // 64, 0, 1, 1 FROM o WHERE k % 4001 = 13) SELECT r::BIGINT AS "range", sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b FROM c GROUP BY 1 HAVING sum(x) > 0""", False)(
+    lambda s, d: (lambda o: artifacts.differing_ranges(artifacts.range_fingerprints(o, "o_orderkey", 64), artifacts.range_fingerprints(changed_orders(o), "o_orderkey", 64)))(plain_orders(s, d))
+)
+
+
+def landed_bodies(s: SparkSession, d: str) -> DataFrame:
+    """key, http_status, body: a response a customer; some unknown, some failed, some broken, claims as strings, objects, numbers, nulls and single values."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    value = (
+        F.when(k % 5 == 0, F.concat(F.lit('["'), nation, F.lit('", "b", "b"]'))).when(k % 5 == 1, F.concat(F.lit('[{"id": "N'), nation, F.lit('"}, {"no": 1}]')))
+        .when(k % 5 == 2, F.concat(F.lit("["), nation, F.lit(", null, true]"))).when(k % 5 == 3, F.lit("null")).otherwise(F.concat(F.lit('"'), nation, F.lit('"')))
+    )
+    body = F.when(k % 11 == 3, F.lit('{"claims": {"P1"')).otherwise(F.concat(F.lit('{"claims": {"P1": '), value, F.lit("}}")))
+    return _table(s, d, "customer").select(k.alias("key"), F.when(k % 13 == 4, 404).when(k % 17 == 5, 503).when(k % 19 != 6, 200).cast("int").alias("http_status"), body.alias("body"))
+
+
+STATE = "CASE WHEN c_custkey % 13 = 4 THEN 'empty' WHEN c_custkey % 17 = 5 OR c_custkey % 19 = 6 THEN 'failed' WHEN c_custkey % 11 = 3 THEN 'malformed' ELSE 'ok' END"
+query("landed_claims", f"""SELECT c_custkey AS key, {STATE} AS state, CASE WHEN {STATE} <> 'ok' OR c_custkey % 5 = 3 THEN '' WHEN c_custkey % 5 = 0 THEN c_nationkey || '|b' WHEN c_custkey % 5 = 1 THEN 'N' || c_nationkey
+WHEN c_custkey % 5 = 2 THEN c_nationkey || '|true' ELSE c_nationkey::VARCHAR END AS p1 FROM customer""", False)(
+    lambda s, d: landing.landed(landed_bodies(s, d)).select("key", "state", F.concat_ws("|", landing.claim_texts(F.col("parsed"), "P1")).alias("p1"))
 )
+query("landed_states", f"SELECT state, count(*) AS n, count_if(state IN ('failed', 'malformed')) AS again FROM (SELECT {STATE} AS state FROM customer) GROUP BY 1", False)(lambda s, d: landing.states(landing.landed(landed_bodies(s, d))))
+
+
+def landed_compounds(s: SparkSession, d: str) -> DataFrame:
+    """key, http_status, body: a response a part, with its compound alone or in a list; the id is sometimes text."""
+    k = F.col("p_partkey")
+    one = F.concat(F.lit('{"CID": '), F.when(k % 4 == 1, F.concat(F.lit('"'), k.cast("string"), F.lit('"'))).otherwise(k.cast("string")), F.lit(', "SMILES": "'), F.col("p_brand"), F.lit('", "Title": '), F.when(k % 6 == 2, F.lit("null")).otherwise(F.concat(F.lit('"'), "p_name", F.lit('"'))), F.lit("}"))
+    body = F.concat(F.lit('{"PropertyTable": {"Properties": '), F.when(k % 3 == 0, one).otherwise(F.concat(F.lit("["), one, F.lit("]"))), F.when(k % 10 == 7, F.lit("")).otherwise(F.lit("}}")))
+    return _table(s, d, "part").select(k.alias("key"), F.when(k % 9 == 8, 404).otherwise(200).alias("http_status"), body.alias("body"))
+
+
+query("landed_compounds", """SELECT p_partkey AS key, CASE WHEN p_partkey % 9 = 8 THEN 'empty' WHEN p_partkey % 10 = 7 THEN 'malformed' ELSE 'ok' END AS state, CASE WHEN state = 'ok' THEN p_partkey END AS id, CASE WHEN state = 'ok' THEN p_brand END AS payload,
+CASE WHEN state = 'ok' AND p_partkey % 6 <> 2 THEN p_name END AS name FROM part""", False)(lambda s, d: landing.compounds(landing.landed(landed_compounds(s, d))))
 query("keys_to_fetch", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)", False)(
     lambda s, d: artifacts.to_fetch(_table(s, d, "orders"), _table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") >= 0, "ok").otherwise("failed").alias("status")), "o_custkey")
 )

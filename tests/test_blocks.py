@@ -34,13 +34,13 @@ def test_no_sort_and_no_written_frame(spark, monkeypatch):
     assert {r["split"]: r["count"] for r in split.split_pairs(pairs).groupBy("split").count().collect()} == {"train": 2400, "val": 300, "test": 300}
 
 
-def test_segmented_sums_of_a_hot_group(spark):
+def test_running_sums_of_a_hot_group(spark):
     r = random.Random(4)
     rows = [(0 if r.random() < 0.9 else r.randrange(1, 5), round(0.5 + r.random() / 1e6, 12), r.randrange(4)) for _ in range(4000)]  # scores close together
     df = spark.createDataFrame(rows, "g int, s double, x long").groupBy("g", "s").agg(F.sum("x").alias("x"))
     placed = shared._placed(df, ["g", F.desc("s")])
     assert placed.where("g = 0").select("_part").distinct().count() >= 3  # the hot group is in several ranges
-    got = {(x.g, x.s): x.t for x in shared.segmented_sums(df, "g", "s", {"t": "x"}).collect()}
+    got = {(x.g, x.s): x.t for x in shared.running_sums(df, "g", "s", {"t": "x"}).collect()}
     want, steps = {}, {}
     for g, s, x in rows:
         steps[g, s] = steps.get((g, s), 0) + x

@@ -58,16 +58,27 @@ def test_linear_scorer_against_numpy(spark):
     x = rng.normal(size=(60, 3))
     y = np.stack([x[:, 0] > 0, x[:, 1] + x[:, 2] > 0.3], 1).astype(int)
     df = spark.createDataFrame([(i, [float(a) for a in r], [int(j) for j in np.flatnonzero(t)]) for i, (r, t) in enumerate(zip(x, y))], "pair_id long, v array<float>, labels array<bigint>")
-    got = linear.fit(df, 2, 3, rounds=4)
+    end = linear.fitted(df, 2, 3, ridge=1e-2)
+    got = end.weights
     h = x.astype(np.float32).astype(float)
     h = np.hstack([h / np.linalg.norm(h, axis=1, keepdims=True), np.ones((60, 1))])
     w = np.zeros((2, 4))
-    for _ in range(4):
-        w -= 4.0 * (1 / (1 + np.exp(-h @ w.T)) - y).T @ h / 60
-    assert np.allclose(got, w)
+    for _ in range(20_000):
+        w -= 1.5 * ((1 / (1 + np.exp(-h @ w.T)) - y).T @ h / 60 + 1e-2 * w)
+    assert np.abs(got - w).max() < 1e-6 and end.gradient.max() <= 1e-9 and end.passes.max() < 15
     scores = {(r.pair_id, r.label_index): r.score for r in linear.score(df, got).collect()}
     assert len(scores) == 120 and scores[(5, 1)] == pytest.approx(1 / (1 + np.exp(-h[5] @ w[1])))
-    assert not linear.fit(df.limit(0), 2, 3, rounds=1).any()
+    assert not linear.fit(df.limit(0), 2, 3).any()
+
+
+def test_linear_scorer_in_blocks_of_labels(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 2))
+    df = spark.createDataFrame([(i, r.tolist(), [j for j in range(5) if r[0] > j / 4 - 0.5] if i % 9 else []) for i, r in enumerate(x)], "pair_id long, v array<double>, labels array<bigint>").repartition(3)
+    whole = linear.fitted(df, 6, 2)  # the last label has no positives
+    monkeypatch.setattr(linear, "BLOCK_VALUES", 20)
+    blocks = linear.fitted(df, 6, 2)
+    assert np.abs(whole.weights - blocks.weights).max() < 1e-6 and whole.gradient.max() <= 1e-9 and whole.loss[5] < 0.2
 
 
 def test_names_and_lists(spark):
