@@ -29,6 +29,20 @@ def profile(df: DataFrame) -> DataFrame:
     return counts.groupBy("column").agg(F.sum("n").alias("n_rows"), null.alias("n_null"), F.round(100 * null / F.sum("n"), 2).alias("null_pct"), F.count("value").alias("n_distinct"))
 
 
+def whole_profile(df: DataFrame, order: str) -> DataFrame:
+    """column, type, n_rows, n_null, null_pct, n_distinct, first (the value as text in the row of the smallest `order`) of every column. An empty table gives no rows."""
+    kinds = df.sparkSession.createDataFrame(df.dtypes, "column string, type string")
+    first = df.agg(F.min_by(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]), order).alias("r"))
+    long = first.select("r.*").unpivot([], [f"`{c}`" for c in df.columns], "column", "first").withColumn("column", F.regexp_replace("column", "`", ""))
+    return profile(df).join(F.broadcast(kinds), "column").join(F.broadcast(long), "column").select("column", "type", "n_rows", "n_null", "null_pct", "n_distinct", "first")  # a row a column on the right
+
+
+def rows_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: distinct keys, and the least, median, mean and most rows of one."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
+    return n.agg(F.count(F.lit(1)).alias("n_keys"), F.min("k").alias("least"), F.percentile("k", F.lit(0.5)).alias("median"), F.round(F.avg("k"), 6).alias("mean"), F.max("k").alias("most"))
+
+
 def id_profile(df: DataFrame, column: str, pattern: str) -> DataFrame:
     """One row: missing, matching, malformed and distinct ids, and the range of the number in the pattern's first group."""
     c = F.col(column)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import unit_gram, vector_sums
+from ..functions.shared import dense_id
 from .vectors import norm
 
 
@@ -29,6 +30,20 @@ def token_audit(texts: DataFrame, limit: int = 64) -> DataFrame:
     )
 
 
+def over_limit(texts: DataFrame, key: str, limit: int = 64) -> DataFrame:
+    """key, n_words of the texts of more words than the limit."""
+    n = F.size(F.split("text", r"\s+"))
+    return texts.where("text IS NOT NULL").select(key, n.cast("long").alias("n_words")).where(F.col("n_words") > limit)
+
+
+def text_index(texts: DataFrame, key: str, limit: int = 64) -> DataFrame:
+    """place, key, hash, n_words, truncated: one row a text, its place from 0 in the order of the keys, its SHA-256, its words and whether they exceed the limit; null counts as empty."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.size(F.split(text, r"\s+")).cast("long")
+    rows = texts.select(key, F.sha2(text, 256).alias("hash"), n.alias("n_words"), (n > limit).alias("truncated"))
+    return dense_id(rows, [key], "place")
+
+
 def diagnostics(vectors: DataFrame) -> DataFrame:
     """One row: mean and deviation of norms, mean and deviation of the cosines of all pairs, groups of equal vectors, zero vectors.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import dense_id
+
 BINDINGS = "results struct<bindings: array<struct<key: struct<value: string>, item: struct<value: string>>>>"
 ENTITIES = (
     "entities map<string, struct<missing: string, labels: map<string, struct<value: string>>, descriptions: map<string, struct<value: string>>, "
@@ -141,6 +143,25 @@ def duplicate_groups(rows: DataFrame, key: str, attributes: list[str]) -> DataFr
     return long.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).where("n > 1")
 
 
+def duplicate_members(rows: DataFrame, key: str, attributes: list[str]) -> DataFrame:
+    """attribute, place, value, n, member: the groups of duplicate_groups, numbered from 0 within their attribute from the largest, with a row for each member; ties by value.
+
+    Members stay rows, so that a group of any size is spread over tasks.
+    """
+    groups = duplicate_groups(rows, key, attributes)
+    by = ["attribute", F.desc("n"), "value"]
+    numbered = dense_id(groups.select("attribute", "value", "n"), by, "_i")
+    firsts = numbered.groupBy("attribute").agg(F.min("_i").alias("_first"))  # a row an attribute
+    placed = numbered.join(F.broadcast(firsts), "attribute").select("attribute", "value", "n", (F.col("_i") - F.col("_first")).alias("place"))
+    long = rows.select(F.col(key).alias("member"), *[F.col(a).cast("string") for a in attributes]).unpivot(["member"], attributes, "attribute", "value")
+    return long.join(placed, ["attribute", "value"]).select("attribute", "place", "value", "n", "member")
+
+
+def key_number(key: Column, pattern: str = "^[A-Za-z]+([0-9]{9})$") -> Column:
+    """The number in a key of the pattern's form, null for any other."""
+    return F.nullif(F.regexp_extract(key, pattern, 1), F.lit("")).cast("long")
+
+
 def semantic_types(found: Column) -> Column:
     """Distinct trimmed names without blanks, sorted; null gives none."""
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(found, _none()), lambda x: F.trim(x)), lambda x: x != "")))

@@ -26,10 +26,20 @@ def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An association file, all columns as strings; gzip by its extension."""
+#: Texts that count as missing where a file is read.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def without_tokens(df: DataFrame, tokens: list[str] = MISSING) -> DataFrame:
+    """String columns with null for each value that is one of the tokens exactly as it stands."""
+    text = {f.name for f in df.schema if f.dataType.typeName() == "string"}
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) if c in text else F.col(f"`{c}`") for c in df.columns])
+
+
+def raw_csv(spark: SparkSession, path: str, tokens: list[str] = MISSING) -> DataFrame:
+    """An association file, all columns as strings, missing values null; gzip by its extension."""
     names = ["entity_1", "entity_2", "label_id", "label_name"]
-    return spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True).csv(path)
+    return without_tokens(spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True).csv(path), tokens)
 
 
 def typed_csv(spark: SparkSession, path: str) -> DataFrame:
