@@ -149,13 +149,13 @@ def repaired(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     rows = written(rows, "turns")
     n = partitions(spark)
 
-    # conversations of more rows than a piece are numbered and cut; there is at most one for each `piece` rows of the table
+    # conversations of more rows than a piece are numbered and cut; there is at most one for each `piece` rows of the table, broadcast only while Spark finds them small
     long = written(rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece).select(F.col("conv_id").alias("_conv")), "long")
     is_long = F.col("conv_id").eqNullSafe(F.col("_conv"))
-    short = rows.join(F.broadcast(long), is_long, "left_anti").withColumn("piece", F.lit(0).cast("long"))
-    numbered = dense_id(rows.join(F.broadcast(long), is_long, "left_semi"), [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")], "_at")
+    short = rows.join(long, is_long, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    numbered = dense_id(rows.join(long, is_long, "left_semi"), [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")], "_at")
     firsts = numbered.groupBy("conv_id").agg(F.min("_at").alias("_from")).withColumnRenamed("conv_id", "_conv")
-    pieces = numbered.join(F.broadcast(firsts), is_long).withColumn("piece", F.floor((F.col("_at") - F.col("_from")) / piece)).drop("_conv", "_at", "_from")
+    pieces = numbered.join(firsts, is_long).withColumn("piece", F.floor((F.col("_at") - F.col("_from")) / piece)).drop("_conv", "_at", "_from")
 
     # their matrices, chained per conversation
     cut = pieces.repartition(n, "conv_id", "piece")

@@ -39,6 +39,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Ends the index, with its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS `{self.name}`")
+
     def append(self, rows: DataFrame) -> None:
         # dealt out as the buckets are, so that each task writes one file per bucket it holds
         (
@@ -142,7 +146,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents"), fresh_index(spark), BATCHES)
+    index = fresh_index(spark)
+    out = deduplicated(table(spark, sf_dir, "documents"), index, BATCHES)
+    index.drop()  # what the result reads is written by now
+    return out
 
 
 ORACLE_SQL = r"""

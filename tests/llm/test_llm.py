@@ -473,3 +473,17 @@ def test_packing(spark, limits):
             assert r.offset == at
             at += r.length
         assert at <= min(tokens, loss) and len(s) <= segments
+
+
+def test_digest_index_outlives_a_table_and_is_dropped_by_its_query(spark):
+    index = op6_exact.fresh_index(spark)
+    first = {r.doc_id: r for r in op6_exact.deduplicated(docs(spark, ["a  b", "c", "a b"]), index, 2).collect()}
+    assert [(first[i].keep_id, first[i].kept) for i in range(3)] == [(0, True), (1, True), (0, False)]
+    later = spark.createDataFrame([(10, "c"), (11, "d"), (12, "a\tb")], "doc_id long, text string")
+    second = {r.doc_id: r for r in op6_exact.deduplicated(later, index).collect()}
+    assert {k: (r.keep_id, r.kept) for k, r in second.items()} == {10: (1, False), 11: (11, True), 12: (0, False)} and index.read().count() == 3
+    index.drop()
+    assert not index.exists()
+    before = {t.name for t in spark.catalog.listTables()}
+    out = op6_exact.query(spark, "/root/testdata/sf0.001")
+    assert {t.name for t in spark.catalog.listTables()} == before and out.count() == 200
