@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from ..functions import blocks as blocks_
 from ..functions.shared import dense_id, written
 
-#: Bytes of weights that are broadcast at once, and cells of a run aimed at.
-WEIGHT_BYTES, BLOCK = 64_000_000, 65_536
+#: Bytes of weights that are broadcast at once, cells of a run aimed at, and numbers of its cells and reps that are summed at once.
+WEIGHT_BYTES, BLOCK, RUN_VALUES = 64_000_000, 65_536, 2_000_000
 
 
 def hash48(key: Column, seed: int) -> Column:
@@ -149,14 +149,15 @@ def macro_auprc(blocks: DataFrame, w: Broadcast, name: str) -> DataFrame:
             out = np.zeros((b.num_rows, 2 * reps))
             for i, ((r, y, ends), before) in enumerate(zip(_read(b), b.column("before").to_pylist())):
                 carry = np.zeros(2 * reps) if before is None else np.array(before)
-                step = max(1, min(reps, 2_000_000 // len(r)))
+                step = max(1, min(reps, RUN_VALUES // len(r)))
                 for k in range(0, reps, step):
-                    x = w.value[r, k : k + step].astype(np.float64)
+                    e = min(reps, k + step)
+                    x = w.value[r, k:e].astype(np.float64)
                     tp, seen = np.cumsum(x * y[:, None], axis=0)[ends], np.cumsum(x, axis=0)[ends]
                     p = np.diff(tp, axis=0, prepend=0)
-                    tp, seen = tp + carry[k : k + step][: tp.shape[1]], seen + carry[reps + k : reps + k + step][: tp.shape[1]]
-                    out[i, k : k + step] = (p * tp / np.maximum(seen, 1)).sum(axis=0)
-                    out[i, reps + k : reps + k + step] = p.sum(axis=0)
+                    tp, seen = tp + carry[k:e], seen + carry[reps + k : reps + e]
+                    out[i, k:e] = (p * tp / np.maximum(seen, 1)).sum(axis=0)
+                    out[i, reps + k : reps + e] = p.sum(axis=0)
             yield pa.RecordBatch.from_arrays([b.column("label_index"), blocks_.arrays(out)], ["label_index", "v"])
 
     sums = blocks_.vector_sums(rows.mapInArrow(run, "label_index long, v array<double>"), "label_index")

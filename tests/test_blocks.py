@@ -112,8 +112,9 @@ def plain_bootstrap(rows, reps, seed=13, threshold=0.5, k=50):
     return out
 
 
-@pytest.mark.parametrize("block, size", [(65_536, 64_000_000), (7, 60 * 2 * 3)])
-def test_bootstrap_kernel(spark, monkeypatch, block, size):
+@pytest.mark.parametrize("block, size, values", [(65_536, 64_000_000, 60 * 3), (7, 60 * 2 * 3, 2_000_000), (7, 64_000_000, 20)])
+def test_bootstrap_kernel(spark, monkeypatch, block, size, values):
+    monkeypatch.setattr(bootstrap, "RUN_VALUES", values)  # some reps at a time, the last ones fewer
     monkeypatch.setattr(bootstrap, "BLOCK", block)  # labels of many runs
     monkeypatch.setattr(bootstrap, "WEIGHT_BYTES", size)  # three reps at a time
     r = random.Random(8)
