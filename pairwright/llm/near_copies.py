@@ -47,11 +47,11 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(joined[a:e], seed) for a, e in zip(starts[:m].tolist(), ends[words - 1 :].tolist())), np.uint64, m)
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """Signed 64-bit number of a set of shingles (sorted hashes)."""
+def node_of(hashes: np.ndarray) -> bytes:
+    """16 bytes that stand for a set of shingles (sorted hashes)."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -121,30 +121,33 @@ def marks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t or "", WORDS)) for t in b.column("text").to_pylist()]
-            nodes, keys = pa.array(map(node_of, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))
+            nodes, keys = pa.array(map(node_of, sets), pa.binary()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), nodes, keys], ["doc_id", "row", "node", "keys"])
 
-    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row binary, node long, keys array<long>")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row binary, node binary, keys array<long>")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """node and sketch of each row of docs."""
+    """node and sketch of the rows of docs; a task sends each node once, so that one that most rows share stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 sets = [np.unique(shingle_hashes(t or "", WORDS)) for t in b.column("text").slice(k, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())], ["node", "sketch"])
+                fresh = {n: s for n, s in zip(map(node_of, sets), sets) if n not in sent}
+                sent.update(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(map(sketch, fresh.values()), pa.binary())], ["node", "sketch"])
 
-    return docs.select("text").mapInArrow(run, "node long, sketch binary")
+    return docs.select("text").mapInArrow(run, "node binary, sketch binary")
 
 
 def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Spanning links (u, v) among the nodes of `rows` = marks(docs)."""
     spark = docs.sparkSession
     keyed = written(rows.select("node", F.explode("keys").alias("key")).distinct(), "keyed")
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    counts = groups.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"members{k}") for k in (1, 2)]).where("n > 1")
+    counts = groups.groupBy("n", "members1", "members2").agg(F.min("key").alias("key")).select("key", "n")
     counts = written(counts.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")), "counts")
     shared = written(spread_join(keyed, counts, "key", "n", keyed.count()), "shared")
     sets = sketches(docs).join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
@@ -153,9 +156,9 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     unit = F.least("own", "other") * F.col("slices") + F.greatest("own", "other")
     dealt = shared.select("key", "node", "slices", own.alias("own"), other.alias("other")).select("key", "node", unit.alias("unit")).join(sets, "node")
 
-    def linked(key: tuple | None, nodes: list[int], some: list[bytes]) -> pa.RecordBatch:
+    def linked(key: tuple | None, nodes: list[bytes], some: list[bytes]) -> pa.RecordBatch:
         edges = similar(some) if len(nodes) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in edges], pa.int64()), pa.array([nodes[j] for _, j in edges], pa.int64())], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in edges], pa.binary()), pa.array([nodes[j] for _, j in edges], pa.binary())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, some = None, [], []
@@ -168,4 +171,4 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 some.append(s)
         yield linked(now, nodes, some)
 
-    return dealt.repartition(partitions(spark), "key", "unit").sortWithinPartitions("key", "unit").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(partitions(spark), "key", "unit").sortWithinPartitions("key", "unit").mapInArrow(run, "u binary, v binary").distinct()

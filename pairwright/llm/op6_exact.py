@@ -121,15 +121,25 @@ def row_key(doc_id: Column, text_digest: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")).cast("binary"), F.lit(":").cast("binary"), text_digest)))
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+def keep_rows(docs: DataFrame, keys: DataFrame, key: Column, seen: DataFrame) -> DataFrame:
     """The rows of `docs` whose key is one of `keys` (one binary column), of rows of an equal key one.
 
-    Texts cross once: the join and the choice of one go by the same key. The keys grow
-    with the documents, so they are never broadcast.
+    `seen` has the key of every row, in a written frame. Texts cross once: the join and
+    the choice of one go by the same key. The keys grow with the documents, so they are
+    never broadcast, but for those of more than a share of the rows, at most 4 x
+    partitions: rows of such a key aren't brought together, each task sends on one.
     """
     name = free_name(docs, "row")
-    keyed = docs.withColumn(name, key)
-    return keyed.join(keys.toDF(name).hint("merge"), name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed, keys, columns = docs.withColumn(name, key), keys.toDF(name), [F.col(f"`{c}`") for c in docs.columns]
+    limit = max(1, seen.count() // (4 * partitions(docs.sparkSession)))
+    counts = seen.toDF(name).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    crowded = written(counts.where(F.col("n") > limit).select(name), "crowded")
+    if crowded.isEmpty():
+        return keyed.join(keys.hint("merge"), name, "left_semi").dropDuplicates([name]).select(*columns)
+    hot = F.broadcast(crowded)
+    few = keyed.join(F.broadcast(crowded.join(keys, name, "left_semi")), name, "left_semi").dropDuplicates([name])
+    many = keyed.join(hot, name, "left_anti").join(keys.hint("merge"), name, "left_semi").dropDuplicates([name])
+    return few.unionByName(many).select(*columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -140,9 +150,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their text has one. Null and empty texts are equal; an empty table gives none.
     """
     index = fresh_index(spark)
-    in_batches(written(digests(docs), "digests"), index, BATCHES)
-    kept = index.read().select(row_key(F.col("doc_id"), F.col("digest")).alias("row"))
-    return keep_rows(docs, kept, row_key(docs["doc_id"], F.unhex(digest(text_or_empty()))))
+    rows = written(digests(docs), "digests")
+    in_batches(rows, index, BATCHES)
+    key = row_key(F.col("doc_id"), F.col("digest")).alias("row")
+    return keep_rows(docs, index.read().select(key), row_key(docs["doc_id"], F.unhex(digest(text_or_empty()))), rows.select(key))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

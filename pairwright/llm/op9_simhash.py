@@ -159,7 +159,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     roots = components(near_copies.similar_links(named, rows))
     placed = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = written(placed.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "kept")
-    return keep_rows(docs, kept, key)
+    return keep_rows(docs, kept, key, rows.select("row"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
