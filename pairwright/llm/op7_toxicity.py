@@ -92,8 +92,22 @@ class Model:
         return np.add.reduceat(self.weights[grams], starts) / counts
 
 
-def _bag(text: str) -> Counter:
-    return Counter(w for w in map(plain, words_of(text)) if w)
+def _bags(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order; and text, word and share of each distinct word of each text."""
+    known: dict[str, int] = {}
+    docs, words, shares = [], [], []
+    for i, t in enumerate(texts):
+        ids = np.array([known.setdefault(w, len(known)) for w in map(plain, words_of(t)) if w], np.int32)
+        found, first, n = np.unique(ids, return_index=True, return_counts=True)
+        order = np.argsort(first)
+        docs.append(np.full(len(found), i, np.int32))
+        words.append(found[order])
+        shares.append(n[order] / max(1, len(ids)))
+    listed = sorted(known)
+    rank = np.empty(len(listed), np.int32)
+    rank[[known[w] for w in listed]] = np.arange(len(listed))
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return listed, join(docs, np.int32), rank[join(words, np.int32)], join(shares, np.float64)
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
@@ -109,19 +123,14 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     bias0 = float(np.log((prior + 1e-4) / (1 - prior + 1e-4)))
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), bias0)
-    bags = [_bag(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
-    if not vocabulary:
+    listed, doc, word, share = _bags(texts)
+    if not listed:
         return Model(np.zeros(BUCKETS), bias0)
-    n_texts, listed = len(bags), list(vocabulary)
-    made = [gram_buckets(listed[k : k + 20_000]) for k in range(0, len(listed), 20_000)]
-    grams, counts = np.concatenate([g.astype(np.int32) for g, _ in made]), np.concatenate([c for _, c in made])
-    del made
-    gram_word = np.repeat(np.arange(len(counts)), counts)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    word = np.fromiter((vocabulary[w] for b in bags for w in b), np.int64, len(doc))
-    share = np.fromiter((n / sum(b.values()) for b in bags for n in b.values()), np.float64, len(doc))
-    del bags, vocabulary, listed
+    n_texts = len(texts)
+    made = [(g.astype(np.int32), c) for g, c in (gram_buckets(listed[k : k + 5000]) for k in range(0, len(listed), 5000))]
+    grams, counts = np.concatenate([g for g, _ in made]), np.concatenate([c for _, c in made])
+    del made, listed
+    gram_word = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     # in how many texts of either class the words of a bucket are
     seen = [np.bincount(word[labels[doc] == k], minlength=len(counts)).astype(np.float64) for k in (0, 1)]
     in_class = [np.bincount(grams, s[gram_word], minlength=BUCKETS) for s in seen]
@@ -143,12 +152,18 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     doc, word, share = doc[some], word[some], share[some]
     if not len(doc):
         return Model(np.zeros(BUCKETS), bias0)
-    size = have[word]
-    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[word], size)
-    used, slot = np.unique(grams[place], return_inverse=True)
-    cell, at = np.unique(np.repeat(doc, size) * len(used) + slot, return_inverse=True)
-    value = np.bincount(at, np.repeat(share / counts[word], size)).astype(np.float32)
-    del at, place, grams, gram_word, word, share
+    used = np.unique(grams)
+    slots = np.searchsorted(used, grams).astype(np.int32)
+    cells, values = [], []
+    cuts = np.searchsorted(doc, np.arange(0, n_texts + 50, 50))  # 50 texts at a time
+    for a, e in zip(cuts.tolist(), cuts[1:].tolist()):
+        size, w = have[word[a:e]], word[a:e]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[w], size)
+        cell, at = np.unique(np.repeat(doc[a:e].astype(np.int64), size) * len(used) + slots[place], return_inverse=True)
+        cells.append(cell)
+        values.append(np.bincount(at, np.repeat(share[a:e] / counts[w], size)).astype(np.float32))
+    cell, value = np.concatenate(cells), np.concatenate(values)
+    del cells, values, grams, slots, gram_word, word, share
     doc, slot = cell // len(used), cell % len(used)
     filled, doc_at = np.unique(doc, return_index=True)
     by_slot = np.argsort(slot, kind="stable")
