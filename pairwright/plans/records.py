@@ -117,10 +117,16 @@ query("range_fingerprints", f"SELECT level::INT AS level, \"range\", n_rows, h0,
 
 
 def changed_orders(o: DataFrame) -> DataFrame:
-    """Orders with other prices for some, some missing, some twice, and some of new keys."""
-    k = F.col("o_orderkey")
-    some = o.where(k % 2003 != 5).withColumn("o_totalprice", F.when(k % 1009 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return some.unionByName(o.where(k % 3001 == 11)).unionByName(o.where(k % 4001 == 13).withColumn("o_orderkey", k + 10_000_000))
+    """Orders with other prices for some, some missing, some twice, and some of new keys.
+
+    An order that is both missing and added again, the first of which has a key beyond a
+    million, comes back with another price, and so do those of new keys, which may be
+    there already: no change takes back another one.
+    """
+    k, other = F.col("o_orderkey"), F.col("o_totalprice") + 1
+    some = o.where(k % 2003 != 5).withColumn("o_totalprice", F.when(k % 1009 == 7, other).otherwise(F.col("o_totalprice")))
+    again = o.where(k % 3001 == 11).withColumn("o_totalprice", F.when(k % 2003 == 5, other).otherwise(F.col("o_totalprice")))
+    return some.unionByName(again).unionByName(o.where(k % 4001 == 13).withColumns({"o_orderkey": k + 10_000_000, "o_totalprice": other}))
 
 
 query("differing_ranges", """WITH o AS (SELECT o_orderkey AS k FROM orders), c AS (SELECT k // 64 AS r, 1 AS a, (k % 2003 <> 5)::INT + (k % 3001 = 11)::INT AS b, (k % 2003 = 5 OR k % 1009 = 7 OR k % 3001 = 11)::INT AS x FROM o
