@@ -81,6 +81,34 @@ def test_linear_scorer_in_blocks_of_labels(spark, monkeypatch):
     assert np.abs(whole.weights - blocks.weights).max() < 1e-6 and whole.gradient.max() <= 1e-9 and whole.loss[5] < 0.2
 
 
+def test_training_sums_curvatures_where_steps_are_slow_alone(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 5))
+    hits = rng.random((4000, 3)) < 1 / (1 + np.exp(3 - 0.3 * x[:, :3]))
+    df = spark.createDataFrame([(i, r.tolist(), np.flatnonzero(h).tolist()) for i, (r, h) in enumerate(zip(x, hits))], "pair_id long, v array<float>, labels array<bigint>")
+    curved, sums = [], linear._sums
+    monkeypatch.setattr(linear, "_sums", lambda *a: (curved.append(len(a[-1])), sums(*a))[1])
+    end = linear.fitted(df, 3, 5)
+    assert sum(curved) <= 3 and 4 < len(curved) < 12 and end.gradient.max() <= 1e-9  # after the one Gram matrix at most one curvature a label
+    h = x.astype(np.float32).astype(float)
+    h = np.hstack([h / np.linalg.norm(h, axis=1, keepdims=True), np.ones((4000, 1))])
+    slope = (1 / (1 + np.exp(-h @ end.weights.T)) - hits).T @ h / 4000 + 1e-3 * end.weights
+    assert np.abs(slope).max() < 1e-8
+
+
+def test_examples_and_their_truth(spark):
+    v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, 0.0])], "entity string, v array<float>")
+    pairs = spark.createDataFrame([(0, "a", "b", "train"), (1, "a", "a", "test"), (2, "a", "none", "test")], "pair_id long, e1 string, e2 string, split string")
+    positives = spark.createDataFrame([(0, 2), (0, 0), (2, 1)], "pair_id long, label_index long")
+    rows = linear.examples(pairs, v, positives)
+    assert {r.pair_id: (r.split, r.labels, r.v) for r in rows.collect()} == {0: ("train", [0, 2], [1.5, 2.0]), 1: ("test", [], [2.0, 4.0])}
+    w = np.arange(9.0).reshape(3, 3)
+    got, plan = linear.judged(rows, w), linear.judged(rows, w)._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.pair_id, r.label_index) for r in got.collect() if r.y} == {(0, 0), (0, 2)} and got.count() == 6 and plan.count("Join") == 1  # labels to pairs, nothing to cells
+    scores = {(r.pair_id, r.label_index): r.score for r in linear.score(rows, w).collect()}
+    assert {(r.pair_id, r.label_index): r.score for r in got.collect()} == scores
+
+
 def test_names_and_lists(spark):
     df = spark.createDataFrame([(["  Ab", "aB ", "", "Pref", "aa"], "pref", '[1, "x"]', "umls-2024AB"), (None, None, None, "x")], "n array<string>, p string, j string, r string")
     got = df.select(enrich.first_spellings(F.col("n"), F.col("p")).alias("n"), enrich.as_list(F.col("j")).alias("j"), enrich.release(F.col("r")).alias("r")).collect()
