@@ -124,3 +124,16 @@ def test_bootstrap_kernel(spark, monkeypatch, block, size, values):
     want = {k: v for k, v in plain_bootstrap(rows, 7).items() if v is not None}
     assert {k for k in got if k[1] != "ap_at_k"} == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
     assert bootstrap.paired(df.limit(0), 3).count() == 0
+
+
+def test_weights_are_summed_between_steps_with_positives(spark, monkeypatch):
+    w = np.random.default_rng(4).integers(0, 9, (50, 3)).astype(np.uint8)
+    rows, starts = np.arange(49, 9, -1), np.array([0, 1, 5, 30])
+    want = [w[rows[a:e]].sum(axis=0).tolist() for a, e in zip(starts, [*starts[1:], len(rows)])]
+    for values in (12, 10**6):  # chunks of a row, and all rows at once
+        monkeypatch.setattr(bootstrap, "RUN_VALUES", values)
+        assert bootstrap.segment_sums(w, rows, starts).tolist() == want
+    assert bootstrap.draws(97, range(5, 9), 13).tolist() == [int(hashlib.md5(b"%d:13" % i).hexdigest()[:12], 16) % 97 for i in range(5, 9)]
+    assert bootstrap.weight_block(spark, 40, range(2, 5), 13).dtype == np.uint8  # a byte a pair and rep
+    drawn = bootstrap.weight_block(spark, 1, range(2), 13)
+    assert drawn.tolist() == [[1, 1]]
