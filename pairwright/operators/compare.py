@@ -1,6 +1,10 @@
 """Two scorers over the same cells (pair_id, label_index, y, a, b)."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,10 +27,35 @@ def pearson(cells: DataFrame) -> DataFrame:
     return cells.agg(F.round(F.corr("a", "b"), 6).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
+def first_of_pairs(cells: DataFrame, k: int) -> DataFrame:
+    """pair_id, label_index, a, b without the cells that have, for either scorer, k cells of their pair before them in their batch: at most 2 * k a pair and batch reach a shuffle."""
+    names = ["pair_id", "label_index", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pair, label = (b.column(c).to_numpy(zero_copy_only=False) for c in names[:2])
+            keep = np.zeros(len(pair), bool)
+            for c in "ab":
+                null = b.column(c).is_null().to_numpy(zero_copy_only=False)
+                score = np.where(null, np.nan, b.column(c).to_numpy(zero_copy_only=False).astype(np.float64))
+                # Spark's falling order: not a number, numbers, null
+                kind = np.where(null, 2, np.where(np.isnan(score), 0, 1))
+                order = np.lexsort((label, -np.where(kind == 1, score, 0.0), kind, pair))
+                start = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0]))
+                place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+                keep[order[place < k]] = True
+            yield b.filter(pa.array(keep))
+
+    kinds = {"pair_id": "long", "label_index": "long", "a": "double", "b": "double"}
+    return cells.select(*[F.col(c).cast(t) for c, t in kinds.items()]).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
 def jaccard(cells: DataFrame, k: int = 10) -> DataFrame:
     """Overlap of a pair's first k labels of both scorers: mean, median, population deviation, extremes; an empty union is 1."""
     rank = lambda c: F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc(c), "label_index"))
-    r = cells.withColumns({"ra": rank("a"), "rb": rank("b")})
+    r = first_of_pairs(cells, k).withColumns({"ra": rank("a"), "rb": rank("b")})
     a, b = F.col("ra") <= k, F.col("rb") <= k
     per = r.groupBy("pair_id").agg(F.count_if(a & b).alias("i"), F.count_if(a | b).alias("u"))
     j = F.when(F.col("u") > 0, F.col("i") / F.col("u")).otherwise(1.0)

@@ -3,8 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from pairwright import catalog
 from pairwright.functions import shared
-from pairwright.operators import clean, graph, metrics, vectors
+from pairwright.operators import clean, compare, graph, metrics, vectors
 from pairwright.plans import records
 from pairwright.sources import artifacts, associations
 
@@ -88,3 +89,27 @@ def test_vectors_come_to_pairs(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan  # no row with a vector of one end is shuffled to the other
     assert vectors.both_ends(pairs, v.limit(0)).count() == 0 == vectors.both_ends(pairs.limit(0), v).count()
+
+
+def test_each_query_makes_the_frames_that_it_needs(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog, "_MADE", {})
+    made = lambda: {k[-1] for k in catalog._MADE}
+    n = catalog.n_labels(spark, d)
+    assert made() == {"names", "triples", "labels"}  # the number of labels takes no pairs
+    p, x = catalog.splitted(spark, d)
+    got, want = catalog.cells(spark, d), graph.structural_cells(x, p.positives, p.labels)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and p.labels.count() == n
+    assert "cells" not in made()  # a row a pair and a row a label are stored, not their product
+
+
+def test_first_cells_of_pairs_without_a_shuffle_of_all(spark):
+    rng = random.Random(6)
+    some = lambda: rng.choice([None, float("nan"), *[i / 5 for i in range(6)]])
+    rows = [(p, label, some(), some()) for p in range(30) for label in range(40)]
+    cells = spark.createDataFrame(rows, "pair_id long, label_index long, a double, b double").repartition(3)
+    first = compare.first_of_pairs(cells, 4).collect()
+    key = lambda i: lambda r: (2 if r[i] is None else 0 if r[i] != r[i] else 1, 0 if r[i] is None or r[i] != r[i] else -r[i], r[1])
+    want = {r[:2] for p in range(30) for i in (2, 3) for r in sorted((r for r in rows if r[0] == p), key=key(i))[:4]}
+    assert want <= {(r.pair_id, r.label_index) for r in first} and len(first) <= 3 * 30 * 8 < len(rows)
+    assert "MapInArrow" in compare.jaccard(cells, 4)._jdf.queryExecution().optimizedPlan().toString()
