@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import LINKS, V, entity_vectors, prepared, query
+from ..catalog import LINKS, V, entity_vectors, n_labels, prepared, query
 from ..functions.shared import dense_id, written
 from ..operators import audits, clean, enrich, graph, linear, mapping, vectors
 from ..sources.associations import associations
@@ -114,9 +114,9 @@ def pair_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def layered(s: SparkSession, d: str) -> DataFrame:
     v = pair_vectors(s, d)
-    dims = (v.select(F.size("v")).first() or [0])[0]
+    dims = entity_vectors(s, d).agg(F.max(F.size("v"))).first()[0] or 0  # of the vectors themselves: a first pair would take all of them to all pairs once more
     weights = lambda n, m, a, b, c, scale: ((np.arange(m + 1)[None] * a + np.arange(n)[:, None] * b) % c - c // 2) / scale
-    return linear.forward(v, [weights(HIDDEN, dims, 7, 3, 11, 50), weights(prepared(s, d).labels.count(), HIDDEN, 5, 2, 13, 10)])
+    return linear.forward(v, [weights(HIDDEN, dims, 7, 3, 11, 50), weights(n_labels(s, d), HIDDEN, 5, 2, 13, 10)])
 
 
 query("layered_scores", PV + f""", i1 AS (SELECT pair_id, unnest(range(len(v) + 1)) AS i, unnest(v || [1.0::DOUBLE]) AS x FROM pv),
