@@ -1,12 +1,14 @@
-"""Near copies by shingle similarity: min-hash bands for candidates, shingle sets for the decision.
+"""Near copies by shingle similarity: SimHash blocks and min-hash bands for candidates, shingle sets for the decision.
 
 Two texts are linked if the Jaccard similarity of their sets of shingles is at least
-`LEAST`. A text's min-hashes are cut into bands, each a join key; at similarity s a
-pair shares a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9996 at 0.8. Texts
-that share a key are compared by their sets themselves, or, beyond `SKETCH` shingles,
-by the smallest hashes of these. Texts of equal sets collapse before the join, keys
-of equal members count once, and a key that many share is dealt out over pairs of
-slices; each group of a key returns a spanning forest of its links.
+`LEAST`. Candidates are all texts whose SimHash fingerprints link by blocks (the caller
+gives them as groups) and, as a pair at 0.8 mostly differs in more bits than blocks can
+bridge, those that share a band: a text's min-hashes are cut into bands, each a join
+key; at similarity s a pair shares a key with probability 1 - (1 - s ** ROWS) ** BANDS,
+0.9996 at 0.8. Texts of a group or key are compared by their sets themselves, or,
+beyond `SKETCH` shingles, by the smallest hashes of these. Texts of equal sets collapse
+before the join, groups and keys of equal members count once, and one that many share
+is dealt out over pairs of slices; each returns a spanning forest of its links.
 """
 from __future__ import annotations
 
@@ -47,6 +49,19 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(joined[a:e], seed) for a, e in zip(starts[:m].tolist(), ends[words - 1 :].tolist())), np.uint64, m)
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes, repeats included: a bit is 1 if set in over half of them; 0 if there are none."""
+    m = len(hashes)
+    if not m:
+        return 0
+    rows = -(-m // 255)
+    padded = np.zeros(rows * 255, np.uint64)
+    padded[:m] = hashes
+    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).reshape(rows, 255, 64)
+    ones = np.add.reduce(bits, axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)  # a sum of 255 bits fits a byte
+    return int.from_bytes(np.packbits(2 * ones > m).tobytes(), "big")
+
+
 def node_of(hashes: np.ndarray) -> bytes:
     """16 bytes that stand for a set of shingles (sorted hashes)."""
     import xxhash
@@ -116,15 +131,17 @@ def similar(sketches: list[bytes], least: float = LEAST) -> list[tuple[int, int]
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, row, node, keys of each row of docs (doc_id, text, row). Null text counts as empty."""
+    """doc_id, row, node, fp, keys of each row of docs (doc_id, text, row). Null text counts as empty; the set of no shingle has no fp and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t or "", WORDS)) for t in b.column("text").to_pylist()]
             nodes, keys = pa.array(map(node_of, sets), pa.binary()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), nodes, keys], ["doc_id", "row", "node", "keys"])
+            fps = np.array([simhash(s) for s in sets], np.uint64).view(np.int64)
+            fps = pa.array(fps, mask=np.array([len(s) == 0 for s in sets], bool))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), nodes, fps, keys], ["doc_id", "row", "node", "fp", "keys"])
 
-    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row binary, node binary, keys array<long>")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row binary, node binary, fp long, keys array<long>")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -142,12 +159,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, sketch binary")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Spanning links (u, v) among the nodes of `rows` = marks(docs)."""
+def similar_links(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Spanning links (u, v) among the nodes of `rows` = marks(docs); `groups` has the node and key of the candidates by fingerprints, each node once."""
     spark = docs.sparkSession
-    keyed = written(rows.select("node", F.explode("keys").alias("key")).distinct(), "keyed")
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"members{k}") for k in (1, 2)]).where("n > 1")
-    counts = groups.groupBy("n", "members1", "members2").agg(F.min("key").alias("key")).select("key", "n")
+    # a key of a band that is also one of a group only adds candidates
+    keyed = written(rows.select("node", F.explode("keys").alias("key")).unionByName(groups.select("node", "key")).distinct(), "keyed")
+    members = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"members{k}") for k in (1, 2)]).where("n > 1")
+    counts = members.groupBy("n", "members1", "members2").agg(F.min("key").alias("key")).select("key", "n")
     counts = written(counts.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")), "counts")
     shared = written(spread_join(keyed, counts, "key", "n", keyed.count()), "shared")
     sets = sketches(docs).join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])

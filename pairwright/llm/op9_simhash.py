@@ -28,16 +28,7 @@ SLICE = 2000
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of a whole text over shingles of words, repeats included; 0 if it has no word."""
-    h = near_copies.shingle_hashes(text, words, seed)
-    m = len(h)
-    if not m:
-        return 0
-    rows = -(-m // 255)
-    padded = np.zeros(rows * 255, np.uint64)
-    padded[:m] = h
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).reshape(rows, 255, 64)
-    ones = np.add.reduce(bits, axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)  # a sum of 255 bits fits a byte
-    return int.from_bytes(np.packbits(2 * ones > m).tobytes(), "big")
+    return near_copies.simhash(near_copies.shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
@@ -143,20 +134,32 @@ def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, seed: int =
     return spread_join(rows, named, "fp", "n", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def linked_fingerprints(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """node, key: nodes (node, fp, each once) of one key are those whose fingerprints reach each other over links of at most `most` bits."""
+    nodes = nodes.where("fp IS NOT NULL")
+    fps = written(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fps")
+    roots = components(links(fps.select("fp"), most))
+    placed = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("key")), "placed")
+    return spread_join(nodes, placed, "fp", "n", nodes.count()).select("node", "key")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: that of its smallest doc_id, a null one only if it has no other; then of the smallest key.
 
     Columns stay as they are. Rows of null or repeated doc_id are told apart by their
     texts; rows equal in doc_id and text count once. Null and empty texts are equal; long
-    texts count whole; an empty table gives no rows. Links are those of near_copies: five
-    words, similarity 0.8. The bounds of near_duplicates are the contract of its query only.
+    texts count whole; an empty table gives no rows. Texts whose fingerprints of five-word
+    shingles link by blocks are candidates, and so are those that share a band of
+    near_copies; those of similarity 0.8 are linked. The bounds of near_duplicates are
+    the contract of its query only.
     """
     key = row_key(docs["doc_id"], text_or_empty().cast("string").cast("binary"))
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("row"))
     rows = written(near_copies.marks(named), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    nodes = written(rows.groupBy("node").agg(first), "nodes")
-    roots = components(near_copies.similar_links(named, rows))
+    nodes = written(rows.groupBy("node").agg(first, F.any_value("fp").alias("fp")), "nodes")
+    groups = linked_fingerprints(nodes.select("node", "fp"))
+    roots = components(near_copies.similar_links(named, rows, groups))
     placed = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = written(placed.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "kept")
     return keep_rows(docs, kept, key, rows.select("row"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pairwright.llm import op3_secrets, op6_exact, op7_toxicity, op9_simhash
+from pairwright.llm import near_copies, op3_secrets, op6_exact, op7_toxicity, op9_simhash
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -129,6 +129,33 @@ def test_near_dedup_by_shingle_similarity(spark):
     assert got == {i for i, r in enumerate(root) if r == i}
 
 
+def test_near_dedup_by_simhash_blocks(spark):
+    # a pair of similarity 0.806 that shares no band: its fingerprints differ in 4 bits, so blocks find it
+    rng = random.Random(138759)
+    a = [str(rng.random())[2:8] for _ in range(60)]
+    b = a[:25] + ["z"] + a[26:59] + ["y"]
+    sets = [np.unique(near_copies.shingle_hashes(" ".join(w), 5)) for w in (a, b)]
+    assert len(np.intersect1d(*sets)) >= 0.8 * len(np.union1d(*sets)) and not set(near_copies.band_keys(sets[0])) & set(near_copies.band_keys(sets[1]))
+    other = [" ".join(str(rng.random())[2:8] for _ in range(60)) for _ in range(20)]
+    rows = [(0, " ".join(a)), (1, " ".join(b)), (2, None), (3, " ")] + [(10 + i, t) for i, t in enumerate(other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in op9_simhash.stage(spark, docs, "").collect())
+    assert got == [0, 2, *range(10, 30)]
+
+
+def test_groups_of_linked_fingerprints(spark):
+    rng = random.Random(16)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    fps = base + [f ^ 0b1111 << 20 for f in base[:10]] + [f ^ 0b11111 << 20 for f in base[10:20]] + base[20:25]  # 4 bits, 5 bits, equal
+    fps += [base[0] ^ 0b1111 << 20 ^ 0b1111 << 40]  # over another one only
+    nodes = [(i.to_bytes(16, "big"), f - (f >> 63 << 64)) for i, f in enumerate(fps)] + [(b"none" * 4, None)]
+    groups = {}
+    for r in op9_simhash.linked_fingerprints(spark.createDataFrame(nodes, "node binary, fp long").repartition(3)).collect():
+        groups.setdefault(r.key, set()).add(int.from_bytes(bytes(r.node), "big"))
+    want = [{i, 30 + i} | ({55} if i == 0 else set()) for i in range(10)] + [{i} for i in range(10, 20)] + [{30 + i} for i in range(10, 20)] + [{i, 30 + i} for i in range(20, 25)] + [{i} for i in range(25, 30)]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+
+
 def test_stages_keep_columns_and_rows_of_null_and_repeated_ids(spark):
     rng = random.Random(15)
     some = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(60))
