@@ -15,14 +15,14 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from itertools import compress, count, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks of a worker's dictionary, and bytes of its chunks; it starts anew when it grows beyond.
-CACHE_ENTRIES, CACHE_BYTES = 900_000, 64_000_000
+#: Chunks of a worker's dictionary, and bytes of its chunks; when it grows beyond, those stay that were met again.
+CACHE_ENTRIES, CACHE_BYTES = 400_000, 32_000_000
 #: Bytes of text that are cut and gathered at once, unless one text has more.
 BATCH_BYTES = 8_000_000
 
@@ -87,13 +87,29 @@ class IdStore:
         self.bytes = 0
         # number 0 stands for the end of a text
         self.flat, self.start, self.size = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.again = np.zeros(1, bool)  # met again since the last sweep
+
+    def _sweep(self) -> None:
+        """Keeps the keys that were met again, under new numbers in the old order; none if they are more than half of what may be kept."""
+        kept = list(compress(self.known, self.again[1:].tolist()))  # the keys stand in the order of their numbers
+        size = sum(map(len, kept))
+        if 2 * len(kept) > CACHE_ENTRIES or 2 * size > CACHE_BYTES:
+            return self._forget()
+        old = np.flatnonzero(self.again)
+        ids, at = self.gather(old)
+        self.known, self.bytes = dict(zip(kept, count(1))), size
+        self.flat = np.concatenate([self.flat[:1], ids])
+        self.start = np.concatenate([self.start[:1], 1 + at[:-1]])
+        self.size = np.concatenate([self.size[:1], self.size[old]])
+        self.again = np.zeros(len(self.start), bool)
 
     def numbers(self, keys: list) -> np.ndarray:
         """The number of each of some distinct keys."""
         if len(self.known) + len(keys) > CACHE_ENTRIES or self.bytes > CACHE_BYTES:
-            self._forget()
+            self._sweep()
         got = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(got < 0)
+        self.again[got[got > 0]] = True
         if len(new):
             names = [keys[i] for i in new.tolist()]
             ids = list(self.encode(names))
@@ -101,6 +117,7 @@ class IdStore:
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
+            self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
             self.known.update(zip(names, range(first, first + len(names))))
             self.bytes += sum(map(len, names))

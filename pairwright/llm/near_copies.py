@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, spread_join, written
+from .common import partitions, small, spread_join, written
 
 WORDS, LEAST = 5, 0.8
 #: BANDS keys of ROWS min-hashes each.
@@ -134,7 +134,7 @@ def marks(docs: DataFrame) -> DataFrame:
     """doc_id, row, node, fp, keys of each row of docs (doc_id, text, row). Null text counts as empty; the set of no shingle has no fp and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sets = [np.unique(shingle_hashes(t or "", WORDS)) for t in b.column("text").to_pylist()]
             nodes, keys = pa.array(map(node_of, sets), pa.binary()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))
             fps = np.array([simhash(s) for s in sets], np.uint64).view(np.int64)

@@ -141,8 +141,8 @@ def packed(docs: DataFrame, file: str, end_id: int = 0, tokens: int = 1024, segm
             return pa.RecordBatch.from_arrays(cols, names)
 
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                some = b.slice(k, 2000)
+            for k in range(0, b.num_rows, 1000):
+                some = b.slice(k, 1000)
                 ids = encoder.lists(some.column("text"), end_id)
                 prompts = some.column("prompt").to_pylist()
                 heads = [0] * len(ids)

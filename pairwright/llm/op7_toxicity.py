@@ -33,8 +33,8 @@ MOST_CHARS = 50_000
 #: Largest share of toxic texts that a text without evidence is taken to have: below the threshold, so that such a text is never rejected.
 MOST_PRIOR = 0.25
 EPOCHS, RATE, SEED = 150, 0.05, 7
-#: Distinct words whose numbers a worker keeps.
-CACHE_WORDS = 1_500_000
+#: Distinct words of a generation; a worker keeps the numbers of two.
+CACHE_WORDS = 250_000
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>*#%$&-_=+/\\|~`^"
 
 
@@ -228,16 +228,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 class Scorer:
-    """Scores of texts in one worker; keeps the numbers of words it has met."""
+    """Scores of texts in one worker; keeps the numbers of words it has met in this generation and the one before."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.older = model, {}, {}
 
     def __call__(self, texts: list[str]) -> list[float]:
         parts = [words_of(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set().union(*parts).difference(self.known))
+            self.known, self.older = {}, self.known
+        new = set().union(*parts).difference(self.known)
+        met = new.intersection(self.older)
+        self.known.update(zip(met, map(self.older.__getitem__, met)))
+        new = list(new.difference(met))
         forms = [plain(w) for w in new]
         distinct = list(set(f for f in forms if f))
         value = dict(zip(distinct, self.model.word_values(distinct).tolist()))
