@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import CELLS, V, cells, entity_vectors, prepared, query, scored, shared_frame, splitted
+from ..catalog import CELLS, V, cells, entity_vectors, label_counts, prepared, query, scored, splitted
 from ..functions.shared import written
 from ..operators import audits, checks, compare, edge_scores, edges, encoder, enrich, graph, history, linear, losses, mapping, metrics, prompts, reports, split, vectors
 from .scores import EDGES, WINS, _hash, daily, frozen, linear_examples
@@ -63,7 +63,7 @@ SELECT split, row_number() OVER (PARTITION BY split ORDER BY round(abs(pv - fv),
 )
 query("entity_relations", """, e AS (SELECT e, string_agg(split, '+' ORDER BY split) AS splits FROM (SELECT DISTINCT split, e1 AS e FROM splits UNION SELECT DISTINCT split, e2 FROM splits) GROUP BY 1)
 SELECT splits, count(*) AS n_entities, round(100 * count(*)::DOUBLE / (SELECT count(*) FROM e), 2) AS pct FROM e GROUP BY 1""")(lambda s, d: split.entity_relations(splitted(s, d)[1]))
-query("top_labels", "SELECT label_id, n FROM freq ORDER BY n DESC, label_id LIMIT 20")(lambda s, d: shared_frame(s, d, "labels", lambda: prepared(s, d).labels).orderBy(F.desc("n"), "label_id").limit(20).select("label_id", "n"))
+query("top_labels", "SELECT label_id, n FROM freq ORDER BY n DESC, label_id LIMIT 20")(lambda s, d: label_counts(s, d).orderBy(F.desc("n"), "label_id").limit(20))
 
 # ---- samples and prompts
 

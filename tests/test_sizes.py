@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pairwright import catalog
 from pairwright.functions import shared
 from pairwright.operators import clean, compare, graph, metrics, vectors
@@ -113,3 +114,28 @@ def test_first_cells_of_pairs_without_a_shuffle_of_all(spark):
     want = {r[:2] for p in range(30) for i in (2, 3) for r in sorted((r for r in rows if r[0] == p), key=key(i))[:4]}
     assert want <= {(r.pair_id, r.label_index) for r in first} and len(first) <= 3 * 30 * 8 < len(rows)
     assert "MapInArrow" in compare.jaccard(cells, 4)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _small_tables(spark, path, orders):
+    """The tables that associations come from: an order with two or three suppliers, a nation a customer."""
+    write = lambda t, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{path}/{t}.parquet")
+    write("nation", [(i, f"N{i}") for i in range(4)], "n_nationkey int, n_name string")
+    write("customer", [(i, i) for i in range(4)], "c_custkey long, c_nationkey int")
+    write("orders", [(k, c, "1-URGENT") for k, (c, _) in enumerate(orders)], "o_orderkey long, o_custkey long, o_orderpriority string")
+    write("lineitem", [(k, s, i) for k, (_, supp) in enumerate(orders) for i, s in enumerate(supp)], "l_orderkey long, l_suppkey long, l_linenumber int")
+    write("embeddings", [(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<float>")
+
+
+def test_top_labels_by_themselves_after_others_and_with_rare_labels(spark, monkeypatch, tmp_path):
+    queries = entry.queries()
+    for d in ("/root/testdata/sf0.001", str(tmp_path)):
+        if d == str(tmp_path):
+            _small_tables(spark, d, [(0, [1, 2, 3]), (0, [4, 5, 6]), (0, [4, 7]), (2, [1, 2]), (1, [2, 1]), (1, [5, 5])])
+        counts = clean.frequency(clean.triples(associations.associations(spark, d))).select("label_id", "n")
+        want = sorted((tuple(r) for r in counts.collect()), key=lambda r: (-r[1], r[0]))[:20]
+        for first in ((), ("label_table",)):
+            monkeypatch.setattr(catalog, "_MADE", {})
+            for name in first:
+                queries[name](spark, d).collect()
+            assert [tuple(r) for r in queries["top_labels"](spark, d).collect()] == want
+    assert want == [("C0000001", 7), ("C0000011", 1), ("C0000021", 1)]  # one label stays, three are counted
