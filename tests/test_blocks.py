@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.functions import blocks, selection, shared
+from pairwright.functions import blocks, md5, selection, shared
 from pairwright.operators import bootstrap, metrics, split
 
 
@@ -137,3 +137,50 @@ def test_weights_are_summed_between_steps_with_positives(spark, monkeypatch):
     assert bootstrap.weight_block(spark, 40, range(2, 5), 13).dtype == np.uint8  # a byte a pair and rep
     drawn = bootstrap.weight_block(spark, 1, range(2), 13)
     assert drawn.tolist() == [[1, 1]]
+
+
+def test_numbers_are_hashed_by_blocks():
+    for a, e in ((0, 3), (9_990, 12_500), (99_998, 131_000), (1_239_999_000, 1_240_004_000)):
+        got = np.concatenate(list(md5.first48(range(a, e), b":13")))
+        assert len(got) == e - a and all(got[i] == int(hashlib.md5(b"%d:13" % (a + i)).hexdigest()[:12], 16) for i in [*range(0, e - a, 97), e - a - 1])
+    w = bootstrap.drawn_of(2_500, 4, 13)
+    assert w.tolist() == np.bincount(bootstrap.draws(2_500, range(10_000, 12_500), 13), minlength=2_500).tolist() and w.dtype == np.uint8
+    assert bootstrap.drawn_of(1, 3, 13).tolist() == [1]
+
+
+@pytest.mark.parametrize("slices, values, together, entries", [(7, 2_000_000, True, 500_000), (32_768, 20, False, 500_000), (7, 2_000_000, True, 100)])
+def test_bootstrap_by_kinds_of_pairs(spark, monkeypatch, slices, values, together, entries):
+    monkeypatch.setattr(bootstrap, "SLICE", slices)
+    monkeypatch.setattr(bootstrap, "RUN_VALUES", values)
+    monkeypatch.setattr(bootstrap, "ENTRIES", entries)  # at 100 kinds are too many, and labels are sorted each
+    r = random.Random(9)
+    kinds = [([0, 1, 2, 3, 4][i % 3 :], [(round(r.random(), 1), round(r.random(), 1)) for _ in range(5)]) for i in range(40)]  # some lack labels
+    rows = [(100 - p, label, int(r.random() < (0.3 if label else 0)), *scores[label]) for p in range(90) for labels, scores in [r.choice(kinds)] for label in labels]
+    df = spark.createDataFrame(rows, "pair_id long, label_index long, y int, a double, b double")
+    df = df.coalesce(1) if together else df.repartition(3)
+    went, by_kinds = [], bootstrap._by_kinds
+    monkeypatch.setattr(bootstrap, "_by_kinds", lambda *a: (went.append(1), by_kinds(*a))[1])
+    got = {(x.rep, x.metric, s): (x.a, x.b)[s - 3] for x in bootstrap.paired(df, 7, k=2).collect() for s in (3, 4)}
+    want = {k: v for k, v in plain_bootstrap(rows, 7).items() if v is not None}
+    assert {k for k in got if k[1] != "ap_at_k"} == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    labels = bootstrap._by_labels(df, 7, 0.5, 2, 13).collect()
+    assert len(labels) == 21 and all(abs(got[x.rep, x.metric, s] - (x.a, x.b)[s - 3]) < 1e-9 for x in labels for s in (3, 4))
+    assert bool(went) == (entries > 100)
+
+
+def test_shared_scores_take_no_sort_of_all_cells(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "score_blocks", None)  # a sort of all cells for each scorer, and weights summed by label
+    rows = [(p, label, int(p % 5 == label), (p % 3 + label) / 9, label / 5) for p in range(50) for label in range(5)]
+    df = spark.createDataFrame(rows, "pair_id long, label_index long, y int, a double, b double")
+    assert df.count() == 250 and bootstrap.paired(df, 3).count() == 9
+
+
+def test_odd_cells_go_by_labels(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "_by_kinds", None)
+    rows = [(p, label, int(p % 3 == label), p / 20, label / 5) for p in range(20) for label in range(3)]
+    schema = "pair_id long, label_index long, y int, a double, b double"
+    whole = bootstrap._by_labels(spark.createDataFrame(rows, schema), 2, 0.5, 50, 13).count()
+    for odd in ((0, 0, 1, None, 0.1), (0, 0, 1, float("nan"), 0.1), (0, 2, 1, 0.3, 0.1)):  # the last one a label that is there twice
+        df = spark.createDataFrame([*rows[2 if odd[1] == 2 else 1 :], odd], schema)
+        assert bootstrap._kinds(df, 0.5, 50) is None
+    assert bootstrap.paired(spark.createDataFrame([*rows, (0, 2, 0, 0.3, 0.1)], schema), 2).count() == whole == 6
