@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairwright import catalog
 from pairwright.functions.shared import shared_dir
-from pairwright.operators import bootstrap, edges, enrich, history, linear, ranks
+from pairwright.operators import bootstrap, edges, enrich, history, linear, ranks, vectors
+from pairwright.plans import scores
 from pairwright.sources import artifacts
 
 
@@ -136,3 +138,35 @@ def test_artifacts(spark):
     keys = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k long")
     assert sorted(r.k for r in artifacts.to_fetch(keys, cache, "k").collect()) == [2, 3]
     assert artifacts.to_fetch(keys, None, "k").count() == 3
+
+
+@pytest.mark.parametrize("chunk", [262_144, 3])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_packed_examples_are_the_examples(spark, monkeypatch, chunk, kind):
+    monkeypatch.setattr(linear, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i % 9, rng.normal(size=3).tolist()) for i in range(10)], f"entity long, v array<{kind}>")  # one entity has two
+    pairs = spark.createDataFrame([(p, p % 10, p % 7, ("train", "test", "val")[p % 3]) for p in range(60)], "pair_id int, e1 long, e2 long, split string")
+    positives = spark.createDataFrame([(p, j) for p in range(0, 60, 2) for j in range(p % 4)], "pair_id long, label_index long")
+    rows, chunks = linear.examples(pairs, v, positives), linear.packed(pairs, v, positives)
+    weights = rng.normal(size=(4, 4))
+    for split in ("train", "val", "test", "none"):
+        some, of = rows.where(F.col("split") == split), linear.of_split(chunks, split)
+        want, got = (sorted(map(tuple, linear.judged(x, weights).collect())) for x in (some, of))
+        assert len(want) == len(got) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-12 for a, b in zip(want, got)) and bool(got) == (split != "none")
+    assert np.abs(linear.fit(rows.where("split = 'train'"), 3, 3) - linear.fit(linear.of_split(chunks, "train"), 3, 3)).max() < 1e-6
+    assert linear.packed(pairs.limit(0), v, positives).count() == 0
+
+
+def test_stored_examples_have_no_vector_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCKS", 2)
+    v = spark.createDataFrame([(i, [float(i)] * 8) for i in range(6)], "entity long, v array<float>")
+    pairs = spark.range(300).selectExpr("id AS pair_id", "id % 6 AS e1", "id DIV 6 % 6 AS e2", "'train' AS split")
+    assert linear.packed(pairs, v, pairs.selectExpr("pair_id", "0L AS label_index")).selectExpr("sum(length(v))").first()[0] <= 4 * 6 * 8 * 4 < 300 * 8 * 4
+    d = "/root/testdata/sf0.001"
+    rows, n, dims = scores.linear_examples(spark, d)
+    assert "first" in rows.columns
+    p, x = catalog.splitted(spark, d)
+    want = linear.examples(x, catalog.entity_vectors(spark, d), p.positives)
+    ids = lambda df: {(r.pair_id, r.label_index, r.y) for r in linear.judged(df, np.zeros((n, dims + 1))).collect()}
+    assert ids(linear.of_split(rows, "test")) == ids(want.where("split = 'test'"))
