@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions import blocks, md5, selection, shared
-from pairwright.operators import bootstrap, metrics, split
+from pairwright.operators import bootstrap, metrics, reports, split
 
 
 @pytest.mark.parametrize("buckets", [1 << 16, 4])
@@ -184,3 +184,27 @@ def test_odd_cells_go_by_labels(spark, monkeypatch):
         df = spark.createDataFrame([*rows[2 if odd[1] == 2 else 1 :], odd], schema)
         assert bootstrap._kinds(df, 0.5, 50) is None
     assert bootstrap.paired(spark.createDataFrame([*rows, (0, 2, 0, 0.3, 0.1)], schema), 2).count() == whole == 6
+
+
+@pytest.mark.parametrize("steps, sizes", [(2_000_000, 4_000_000), (5, 40)])
+def test_metrics_of_distinct_scores(spark, monkeypatch, steps, sizes):
+    monkeypatch.setattr(metrics, "STEPS", steps)  # labels that run over several passes
+    monkeypatch.setattr(metrics, "SORTED", sizes)
+    rng = random.Random(11)
+    rows = [(p, label, int(label != 3 and rng.random() < 0.3), round(rng.random(), 2 if label % 2 else 9)) for p in range(80) for label in range(5)]
+    shape = "pair_id long, label_index long, y int, score double"
+    for cells in (shared.written(spark.createDataFrame(rows, shape).coalesce(2)), shared.written(spark.createDataFrame(rows, shape).repartition(3))):
+        rounded = lambda df: sorted(tuple(None if x is None else round(x, 6) for x in r) for r in df.collect())
+        assert rounded(metrics.per_label_of_distinct(cells, 0.4)) == rounded(metrics.per_label(cells, 0.4))
+        assert rounded(metrics.micro_auprc_of_distinct(cells)) == rounded(metrics.micro_auprc(cells))
+        assert rounded(metrics.pair_ap_of_runs(cells, 3)) == rounded(metrics.pair_ap(cells, 3))
+    monkeypatch.setattr(metrics, "AGAIN", 0)
+    assert rounded(metrics.pair_ap_of_runs(cells, 3)) == rounded(metrics.pair_ap(cells, 3))
+
+
+def test_distinct_scores_are_not_shuffled(spark, monkeypatch):
+    cells = shared.written(spark.range(400).selectExpr("id DIV 4 AS pair_id", "id % 4 AS label_index", "CAST(id % 7 = 0 AS INT) AS y", "sin(id) AS score").coalesce(1))
+    want = sorted(map(tuple, reports.aggregates(cells, 0.3).collect()))
+    for name in ("running_sums", "prefix_sums", "pair_ap"):  # each sorts all cells
+        monkeypatch.setattr(metrics, name, None)
+    assert sorted(map(tuple, reports.aggregates(cells, 0.3, distinct=True).collect())) == want
